@@ -20,7 +20,8 @@ def get_spark(master: str | None = None, app: str = "panelwise", shuffle_partiti
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.driver.memory", os.environ.get("PANELWISE_DRIVER_MEMORY", "12g"))
-        builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (

@@ -26,7 +26,7 @@ if __name__ == "__main__":
             df = fn(spark, sf)
             if name in sqls:
                 res = compare(df, con, sqls[name])
-                n = df.count() if not res else -1
+                n = con.execute(f"SELECT count(*) FROM ({sqls[name]})").fetchone()[0]
             else:
                 n = len(df.collect())
                 res = "" if n else "no rows"
