@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.views import ACTIVITY, MONEY, ORDER, PANEL, SHIPMENT, LEDGER, with_rolled
+from checks.views import MONEY, PANEL, SUPPORT, with_rolled, with_wide
 from panelwise import config
 from panelwise.operators import cascades, daily, detection, incidents, ordering
 from panelwise.sources import star
@@ -50,11 +50,11 @@ zz AS (SELECT *, abs(z) > 3 AS f FROM z)"""
 
 
 def _z_out(df):
-    return r(r(text_date(df), "metric_value", "median", "mad", digits=8), "zscore")
+    return r(r(text_date(df), "metric_value", "median", "mad", "zscore", digits=8))
 
 
 _Z_SELECT = """SELECT m AS metric_name, strftime(d, '%Y-%m-%d') AS metric_date, round(v, 8) AS metric_value, round(med, 8) AS median,
-  round(mad, 8) AS mad, CAST(n AS INTEGER) AS baseline_count, round(z, 4) AS zscore, f AS is_anomaly FROM zz"""
+  round(mad, 8) AS mad, CAST(n AS INTEGER) AS baseline_count, round(z, 8) AS zscore, f AS is_anomaly FROM zz"""
 QUERIES["d1a_mad_zscore_joined"] = lambda s, d: _z_out(detection.mad_zscore_joined(money_long(s, d)))
 SQL["d1a_mad_zscore_joined"] = f"WITH {long_sql(MONEY, MONEY_METRICS)}, {Z} {_Z_SELECT}"
 QUERIES["d1b_mad_zscore"] = lambda s, d: _z_out(detection.mad_zscore(long_panel(s, d)))
@@ -252,18 +252,36 @@ def inc_sql(z=Z, gold=None):
 
 
 def inc_out(df):
-    return r(r(df, "primary_value", "primary_baseline", digits=8).select(
+    return r(r(df, "primary_value", "primary_baseline", "primary_zscore", digits=8).select(
         "incident_id", F.date_format("metric_date", "yyyy-MM-dd").alias("metric_date"), "incident_type", "severity",
         "confidence", F.concat_ws(",", "detection_methods").alias("detection_methods"), "primary_metric", "primary_value",
-        "primary_baseline", "primary_zscore"), "primary_zscore")
+        "primary_baseline", "primary_zscore"))
 
 
 INC_SELECT = """SELECT id AS incident_id, strftime(d, '%Y-%m-%d') AS metric_date, t AS incident_type, sev AS severity,
   CASE WHEN pf THEN 'medium' ELSE 'low' END AS confidence, 'mad_zscore' AS detection_methods, pm AS primary_metric,
-  round(pv, 8) AS primary_value, round(pb, 8) AS primary_baseline, round(pz, 4) AS primary_zscore FROM inc"""
+  round(pv, 8) AS primary_value, round(pb, 8) AS primary_baseline, round(pz, 8) AS primary_zscore FROM inc"""
+CUSTOMER_SIDE = ("support_load_surge", "churn_acceleration", "customer_satisfaction_regression")
+CUSTOMER_METRICS = config.CUSTOMER
+
+
+def customer_long(s, d):
+    return daily.to_long(daily.gold_wide(star.support_panel_events(s, d)).select("metric_date", *CUSTOMER_METRICS), keep_nulls=True)
+
+
+def customer_incidents(s, d):
+    return incidents.incidents(detection.mad_zscore(customer_long(s, d)))
+
+
+def customer_long_sql():
+    union = " UNION ALL ".join(f"SELECT d, '{m}' AS m, {m}::DOUBLE AS v FROM wide" for m in CUSTOMER_METRICS)
+    return f"{with_wide(SUPPORT)}, gold AS ({union})"
+
+
 for n, (kind, *_rest) in enumerate(RULES_SQL, 1):
-    QUERIES[f"i{n}_{kind}"] = lambda s, d, kind=kind: inc_out(panel_incidents(s, d).where(F.col("incident_type") == kind))
-    SQL[f"i{n}_{kind}"] = f"WITH {inc_sql()} {INC_SELECT} WHERE t = '{kind}'"
+    source = customer_incidents if kind in CUSTOMER_SIDE else panel_incidents
+    QUERIES[f"i{n}_{kind}"] = lambda s, d, kind=kind, source=source: inc_out(source(s, d).where(F.col("incident_type") == kind))
+    SQL[f"i{n}_{kind}"] = f"WITH {inc_sql(gold=customer_long_sql() if kind in CUSTOMER_SIDE else None)} {INC_SELECT} WHERE t = '{kind}'"
 QUERIES["i_all_incidents"] = lambda s, d: inc_out(panel_incidents(s, d))
 SQL["i_all_incidents"] = f"WITH {inc_sql()} {INC_SELECT}"
 
@@ -286,7 +304,7 @@ x AS (SELECT inc.*, coalesce(a, false) AS a, coalesce(c, false) AS c FROM inc LE
 SELECT id AS incident_id, strftime(d, '%Y-%m-%d') AS metric_date, t AS incident_type, sev AS severity,
   CASE WHEN NOT pf THEN 'low' WHEN a AND c THEN 'very_high' WHEN a OR c THEN 'high' ELSE 'medium' END AS confidence,
   'mad_zscore' || CASE WHEN a THEN ',isolation_forest' ELSE '' END || CASE WHEN c THEN ',changepoint' ELSE '' END AS detection_methods,
-  pm AS primary_metric, round(pv, 8) AS primary_value, round(pb, 8) AS primary_baseline, round(pz, 4) AS primary_zscore FROM x"""
+  pm AS primary_metric, round(pv, 8) AS primary_value, round(pb, 8) AS primary_baseline, round(pz, 8) AS primary_zscore FROM x"""
 
 EV_MAP = "em(t, et) AS (VALUES " + ", ".join(
     f"('{k}', '{e}')" for k, v in config.EVIDENCE_EVENTS.items() for e in v) + ")"
@@ -311,7 +329,7 @@ def _supporting(s, d):
     inc = panel_incidents(s, d)
     return r(inc.select("incident_id", F.explode("supporting_metrics").alias("x")).select(
         "incident_id", F.col("x.metric").alias("metric"), F.col("x.value").alias("value"),
-        F.col("x.baseline").alias("baseline"), F.round("x.zscore", 4).alias("zscore")), "value", "baseline", digits=8)
+        F.col("x.baseline").alias("baseline"), F.round("x.zscore", 8).alias("zscore")), "value", "baseline", digits=8)
 
 
 QUERIES["i11_supporting_metrics"] = _supporting
@@ -322,7 +340,7 @@ SQL["i11_supporting_metrics"] = f"""WITH {inc_sql()}, sup(t, m) AS (VALUES {", "
     ('liquidity_crunch_risk', ['net_cash_proxy', 'ar_aging_amount']),
     ('supplier_dependency_failure', ['supplier_delay_rate', 'supplier_delay_severity']),
     ('customer_satisfaction_regression', ['review_score_avg', 'review_score_trend'])] for m in ms)})
-SELECT id AS incident_id, zz.m AS metric, round(zz.v, 8) AS value, round(zz.med, 8) AS baseline, round(zz.z, 4) AS zscore
+SELECT id AS incident_id, zz.m AS metric, round(zz.v, 8) AS value, round(zz.med, 8) AS baseline, round(zz.z, 8) AS zscore
 FROM inc JOIN sup USING (t) JOIN zz ON zz.m = sup.m AND zz.d = inc.d WHERE sup.m <> pm"""
 
 # --- cascades ------------------------------------------------------------------

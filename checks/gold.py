@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.views import ACTIVITY, MONEY, PANEL, SHIPMENT, LEDGER, ORDER, with_rolled, with_wide
+from checks.views import ACTIVITY, LEDGER, MONEY, ORDER, PANEL, SHIPMENT, SUPPORT, with_rolled, with_wide
 from panelwise import config
 from panelwise.operators import daily
 from panelwise.sources import star
@@ -54,9 +54,32 @@ def _wide(name, view, events, cols):
     SQL[name] = (f"WITH {with_wide(events)} SELECT strftime(d, '%Y-%m-%d') AS metric_date, {', '.join(cols)} FROM wide")
 
 
-_wide("g13_review_trend", star.activity_events, ACTIVITY, ["review_score_trend"])
-_wide("g14_churn_proxy", star.order_panel_events, PANEL, ["churn_proxy"])
-_wide("g15_concentration", star.order_events, ORDER, ["customer_concentration"])
+
+
+def _trend(s, d):
+    spined = daily.on_spine(daily.daily_base(star.support_panel_events(s, d)))
+    return _day(spined.select("metric_date", F.round(daily.review_trend(), 6).alias("review_score_trend")))
+
+
+def _churn(s, d):
+    ev = star.order_panel_events(s, d)
+    spined = daily.on_spine(daily.daily_base(ev))
+    rolled = daily.rolling_metrics(spined).select("metric_date", "_churned_30d")
+    out = daily.churn_proxy(ev, spined.select("metric_date"), rolled)
+    return _day(daily.rounded(out))
+
+
+def _conc(s, d):
+    ev = star.order_events(s, d)
+    spine = daily.date_spine(daily.daily_base(ev))
+    return _day(daily.rounded(daily.concentration(ev, spine)))
+
+
+for _name, _fn, _events, _col in [("g13_review_trend", _trend, SUPPORT, "review_score_trend"),
+                                  ("g14_churn_proxy", _churn, PANEL, "churn_proxy"),
+                                  ("g15_concentration", _conc, ORDER, "customer_concentration")]:
+    QUERIES[_name] = _fn
+    SQL[_name] = f"WITH {with_wide(_events)} SELECT strftime(d, '%Y-%m-%d') AS metric_date, {_col} FROM wide"
 _wide("g_all_metrics_orders", star.order_panel_events, PANEL, config.METRICS)
 _wide("g_all_metrics_activity", star.activity_events, ACTIVITY, config.METRICS)
 

@@ -140,6 +140,27 @@ def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                               amount=F.lit(None)))
 
 
+def support_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets and reviews derived from order priorities, with paid invoices and churn."""
+    o = table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
+    customer, ticket, priority = _entity("customer", "o_custkey"), _entity("ticket", key), F.col("o_orderpriority")
+    return _fan_out(
+        o,
+        F.when(priority.isin("1-URGENT", "2-HIGH"),
+               _event("support_ticket_opened", key, day, "ticket", ticket, customer=customer)),
+        F.when(priority == "5-LOW",
+               _event("support_ticket_closed", key, day, "ticket", ticket, customer=customer,
+                      resolution_time_hours=F.col("o_orderkey") % 72)),
+        F.when(priority == "3-MEDIUM",
+               _event("review_submitted", key, day, "order", _entity("order", key), customer=customer,
+                      score=1 + F.col("o_custkey") % 5)),
+        F.when(F.col("o_orderstatus") == "F",
+               _event("invoice_paid", key, day, "invoice", _entity("invoice", key), amount=F.col("o_totalprice"),
+                      customer=customer, days_to_pay=F.col("o_orderkey") % 45 + 1)),
+    ).unionByName(churn_events(spark, sf_dir))
+
+
 def order_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of the order panel (1995-2001)."""
     return (
