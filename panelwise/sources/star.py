@@ -207,3 +207,93 @@ def activity_from(e: DataFrame) -> DataFrame:
             score=F.when(F.col("event_type") == "view", 1 + k % 5),
         ).alias("attributes"),
     )
+
+
+# --- raw (bronze) records ------------------------------------------------------
+def _ref(value: Column, cond: Column | None = None) -> Column:
+    s = F.struct(value.cast("string").alias("value"))
+    return s if cond is None else F.when(cond, s)
+
+
+def _record(df: DataFrame, entity_type: str, key: Column, payload: Column, created: Column, operation: str = "Create") -> DataFrame:
+    return df.select(
+        F.concat_ws(":", F.lit(entity_type), key).alias("record_id"), key.alias("entity_id"),
+        F.lit(entity_type).alias("entity_type"), F.lit("acct").alias("source"), F.lit(operation).alias("operation"),
+        F.to_json(payload).alias("raw_payload"), created.cast("timestamp").alias("created_at"))
+
+
+def _iso(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def bronze_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounting-style raw JSON records derived row by row from the star tables."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("string")) \
+        .withColumn("day", F.to_date("o_orderdate")).withColumn("total", F.col("o_totalprice"))
+    created = F.date_add("day", (F.col("o_orderkey") % 40).cast("int"))
+    text_day = F.col("day").cast("string")
+    has_customer = F.col("o_custkey") % 50 != 0
+
+    def sale(amount: Column) -> Column:
+        return F.struct(F.lit("SalesItemLineDetail").alias("DetailType"), amount.alias("Amount"),
+                        F.struct(F.lit(1.0).alias("Qty"), _ref(F.col("o_custkey")).alias("ItemRef")).alias("SalesItemLineDetail"))
+    subtotal = F.struct(F.lit("SubTotalLineDetail").alias("DetailType"), F.col("total").alias("Amount"),
+                        F.lit(None).cast("struct<Qty:double,ItemRef:struct<value:string>>").alias("SalesItemLineDetail"))
+    paid_at = F.date_add("day", (F.col("o_orderkey") % 45 + 1).cast("int")).cast("timestamp")
+    invoice = _record(o, "Invoice", F.col("k"), F.struct(
+        F.when(F.col("o_orderkey") % 97 != 0, F.col("k")).alias("Id"), F.concat(F.lit("INV-"), "k").alias("DocNumber"),
+        text_day.alias("TxnDate"), F.date_add("day", 30).cast("string").alias("DueDate"), F.col("total").alias("TotalAmt"),
+        F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", F.col("total") / 2).alias("Balance"),
+        _ref(F.col("o_custkey"), has_customer).alias("CustomerRef"), F.struct(F.lit("USD").alias("value")).alias("CurrencyRef"),
+        F.array(sale(F.col("total") * 0.75), sale(F.col("total") * 0.25), subtotal).alias("Line"),
+        F.when(F.col("o_orderstatus") == "F", F.struct(_iso(paid_at).alias("LastUpdatedTime"))).alias("MetaData")), created)
+    off = F.when(F.col("o_orderkey") % 20 == 0, F.col("total") - 1).otherwise(F.col("total"))
+    payment = _record(o.where("o_orderstatus = 'F'"), "Payment", F.concat(F.lit("P"), "k"), F.struct(
+        F.concat(F.lit("P"), "k").alias("Id"), F.date_add("day", 10).cast("string").alias("TxnDate"), off.alias("TotalAmt"),
+        _ref(F.col("o_custkey"), has_customer).alias("CustomerRef"),
+        F.struct(F.col("o_orderpriority").alias("name")).alias("PaymentMethodRef"),
+        F.array(F.struct(off.alias("Amount"), F.array(
+            F.struct(F.col("k").alias("TxnId"), F.lit("Invoice").alias("TxnType")),
+            F.struct(F.lit("J1").alias("TxnId"), F.lit("JournalEntry").alias("TxnType"))).alias("LinkedTxn"))).alias("Line")), created)
+    li = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate")).withColumn(
+        "k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date("day"))).withColumn("total", F.col("l_extendedprice"))
+    l_created, l_day = F.date_add("day", (F.col("l_orderkey") % 40).cast("int")), F.col("day").cast("string")
+    vendor = _ref(F.col("l_suppkey"), F.col("l_suppkey") % 25 != 0)
+    account = F.struct(F.lit("AccountBasedExpenseLineDetail").alias("DetailType"), F.col("total").alias("Amount"), F.struct(F.struct(
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("name"), F.lit("7").alias("value")).alias("AccountRef"))
+        .alias("AccountBasedExpenseLineDetail"))
+
+    def line_record(df: DataFrame, kind: str, prefix: str, **fields: Column) -> DataFrame:
+        key = F.concat(F.lit(prefix), "k")
+        return _record(df, kind, key, F.struct(key.alias("Id"), l_day.alias("TxnDate"), F.col("total").alias("TotalAmt"),
+                                               *[c.alias(n) for n, c in fields.items()]), l_created)
+    bill = line_record(li, "Bill", "B", VendorRef=vendor, DueDate=F.date_add("day", 15).cast("string"), Line=F.array(account))
+    bill_payment = line_record(li.where("l_linestatus = 'F'"), "BillPayment", "BP", VendorRef=vendor, PaymentType=F.lit("Check"), Line=F.array(
+        F.struct(F.col("total").alias("Amount"), F.array(F.struct(F.concat(F.lit("B"), "k").alias("TxnId"), F.lit("Bill").alias("TxnType"))).alias("LinkedTxn"))))
+    part_ref = _ref(F.col("l_partkey"))
+    memo = line_record(li.where("l_returnflag = 'A'"), "CreditMemo", "CM", CustomerRef=part_ref, CustomerMemo=_ref(F.col("l_linestatus")))
+    refund = line_record(li.where("l_returnflag = 'R'"), "RefundReceipt", "RR", CustomerRef=part_ref, PaymentType=F.lit("Card"))
+    po = line_record(li.where("l_linestatus = 'O'"), "PurchaseOrder", "PO", VendorRef=vendor, ShipDate=F.date_add("day", 7).cast("string"))
+    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey").cast("string"))
+    made = F.to_timestamp(F.lit("1994-01-01 00:00:00"))
+    touched = F.when(F.col("c_custkey") % 3 == 0, F.lit("1994-01-01T00:00:30Z")).otherwise(F.lit("1994-01-06T00:00:00Z"))
+    customer = _record(c, "Customer", F.col("k"), F.struct(
+        F.col("k").alias("Id"), F.col("c_name").alias("DisplayName"), F.col("c_acctbal").alias("Balance"),
+        F.when(F.col("c_custkey") % 3 != 2, F.struct(F.lit("1994-01-01T00:00:00Z").alias("CreateTime"), touched.alias("LastUpdatedTime"))).alias("MetaData")), made)
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    unknown = _record(n, "Estimate", F.col("k"), F.struct(F.col("k").alias("Id")), made)
+    out = invoice
+    for part in (payment, bill, bill_payment, memo, refund, po, customer, unknown):
+        out = out.unionByName(part)
+    return out
+
+
+def bronze_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several operations per customer: every order of a customer is one version of its record."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_custkey").cast("string").alias("entity_id"),
+        F.lit("Customer").alias("entity_type"), F.lit("acct").alias("source"),
+        F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'Delete' WHEN o_orderkey % 11 = 0 THEN 'Void' ELSE 'Update' END").alias("operation"),
+        F.to_json(F.struct(F.col("o_totalprice").alias("Balance"))).alias("raw_payload"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
