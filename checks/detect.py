@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.shared import keep
 from checks.views import MONEY, PANEL, SUPPORT, with_rolled, with_wide
 from panelwise import config
 from panelwise.operators import cascades, daily, detection, incidents, ordering
@@ -177,8 +178,13 @@ SELECT k AS detector, round(coalesce(f1, 0), 4)::DOUBLE AS f1, round(greatest(co
 
 
 # --- incidents ---------------------------------------------------------------
+def gold_table(s, d):
+    """The order panel as a written table, for queries that read it several times."""
+    return keep(("gold", d), lambda: long_panel(s, d))
+
+
 def panel_incidents(s, d, window_days=1):
-    return incidents.incidents(detection.mad_zscore(long_panel(s, d)), window_days=window_days)
+    return keep(("incidents", d, window_days), lambda: incidents.incidents(detection.mad_zscore(gold_table(s, d)), window_days=window_days))
 
 
 _M = {m: m for m in incidents.RULE_METRICS}
@@ -348,6 +354,10 @@ LOOK = 7
 
 
 def pairs(s, d):
+    return keep(("pairs", d), lambda: _pairs(s, d))
+
+
+def _pairs(s, d):
     return cascades.cascade_pairs_from_events(panel_incidents(s, d, LOOK), star.order_panel_events(s, d))
 
 

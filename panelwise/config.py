@@ -149,3 +149,37 @@ SUPPRESSION_HOURS = 4
 
 # --- root-cause score weights (fixed values) ---------------------------------
 CAUSE_WEIGHTS = {"anomaly": 0.30, "temporal": 0.30, "proximity": 0.25, "quality": 0.15}
+
+# --- incident type -> metric whose causes are searched (fixed values) ----------
+INCIDENT_METRIC = {
+    "refund_spike": "refund_rate",
+    "fulfillment_sla_degradation": "delivery_delay_rate",
+    "support_load_surge": "ticket_volume",
+    "churn_acceleration": "churn_proxy",
+    "margin_compression": "margin_proxy",
+    "liquidity_crunch_risk": "net_cash_proxy",
+    "supplier_dependency_failure": "supplier_delay_rate",
+    "customer_satisfaction_regression": "review_score_avg",
+}
+# --- metric -> event types that explain it (fixed values) ------------------------
+METRIC_EVENTS = {
+    "refund_rate": ["refund_issued", "credit_memo_issued"],
+    "daily_revenue": ["invoice_paid", "payment_received"],
+    "daily_expenses": ["expense_posted"],
+    "delivery_delay_rate": ["order_late"],
+    "fulfillment_backlog": ["order_placed", "order_delivered"],
+    "ticket_volume": ["support_ticket_opened"],
+    "ticket_backlog": ["support_ticket_opened", "support_ticket_closed"],
+    "review_score_avg": ["review_submitted"],
+    "churn_proxy": ["customer_churned"],
+    "supplier_delay_rate": ["shipment_delayed"],
+    "margin_proxy": ["invoice_paid", "expense_posted", "refund_issued"],
+}
+# --- blast radius ladder: severity, customers, revenue, refunds, downstream (fixed values)
+BLAST_LADDER = [
+    ("catastrophic", 2000, 500000.0, 100000.0, 3),
+    ("severe", 500, 100000.0, 25000.0, 2),
+    ("significant", 50, 10000.0, 2000.0, 1),
+]
+CHURN_RISK = 0.06
+CHURN_RISK_FACTOR = {"churn_acceleration": 2.0, "customer_satisfaction_regression": 2.0, "refund_spike": 1.5}

@@ -13,13 +13,26 @@ def safe_divide(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    A column referenced inside a lambda is otherwise inlined there and
+    recomputed for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     """Exact median of an array of doubles; NULL for an empty array."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    low = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2.0)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+    return bind(F.array_sort(values), middle)
+
+
+def array_mad(values: Column, centre: Column) -> Column:
+    """Median absolute deviation from ``centre``."""
+    return bind(centre, lambda c: array_median(F.transform(values, lambda v: F.abs(v - c))))
 
 
 def logistic(x: Column, mid: float, slope: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.functions.stats import array_median
+from panelwise.functions.stats import array_mad, array_median
 
 MAD_SCALE = 0.6745
 MAD_ZERO_SCORE = 10.0
@@ -45,7 +45,7 @@ def mad_zscore(gold: DataFrame, days: int = 30, threshold: float = 3.0, by: tupl
     history = F.collect_list("metric_value").over(_by_metric(by).rowsBetween(-days, -1))
     base = gold.withColumn("_h", history)
     base = base.withColumn("baseline_count", F.size("_h")).withColumn("median", array_median(F.col("_h")))
-    base = base.withColumn("mad", array_median(F.transform("_h", lambda v: F.abs(v - F.col("median")))))
+    base = base.withColumn("mad", array_mad(F.col("_h"), F.col("median")))
     return _scored(base, [*by, "metric_name", "metric_date"], threshold)
 
 
