@@ -3,8 +3,9 @@
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from checks.detect import MONEY_METRICS, gold_table, money_long, r, text_date, univariate
+from checks.detect import _UNI, MONEY_METRICS, gold_table, money_long, r, text_date, univariate
 from checks.features import order_star, t
+from checks.views import MONEY, with_rolled
 from panelwise.operators import causes, evaluation, features, forecast, learning, neighbours
 from panelwise.session import cut_lineage
 
@@ -29,6 +30,14 @@ def _lof(s, d):
     return r(neighbours.local_outlier_factor(panel_points(s, d).select("id", "features")), "lof", digits=5)
 
 
+SQL["d7_local_outlier_factor"] = f"""WITH {with_rolled(MONEY)}, {_UNI},
+f AS (SELECT date_diff('day', DATE '1970-01-01', d) AS id, [{", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in _U)}] AS x FROM u),
+p AS (SELECT a.id, b.id AS o, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS k FROM f a JOIN f b ON a.id <> b.id),
+n AS (SELECT * FROM p WHERE k <= 20), kd AS (SELECT id, max(dist) AS kd FROM n GROUP BY id),
+lr AS (SELECT n.id, 1 / (avg(greatest(kd.kd, n.dist)) + 1e-10) AS lrd FROM n JOIN kd ON kd.id = n.o GROUP BY n.id)
+SELECT n.id, round(avg(b.lrd) / any_value(a.lrd), 5) AS lof FROM n JOIN lr a ON a.id = n.id JOIN lr b ON b.id = n.o GROUP BY n.id"""
+
+
 @_add("d8_isolation_forest")
 def _forest(s, d):
     return learning.isolation_forest(panel_points(s, d).select("id", "features"))

@@ -76,8 +76,9 @@ def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
         rings = F.array(*[F.lit(o) for o in range(-outer, outer + 1) if abs(o) > inner])
         asked = open_rows.withColumn("tcell", F.explode(F.transform(rings, lambda o: F.col("qcell") + o))).where((F.col("tcell") >= 0) & (F.col("tcell") <= top))
         keys = asked.select("qcell", "tcell").distinct()
-        there = keys.join(base, F.col("tcell") == F.col("cell")).select("qcell", "tcell", "id", "features", "weight")
-        hits = asked.select("qcell", "tcell", "qid", "qvec").groupBy("qcell", "tcell").cogroup(there.groupBy("qcell", "tcell")).applyInPandas(
+        there = keys.join(base, F.col("tcell") == F.col("cell")).select(
+            F.col("qcell").alias("rq"), F.col("tcell").alias("rt"), "id", "features", "weight")
+        hits = asked.select("qcell", "tcell", "qid", "qvec").groupBy("qcell", "tcell").cogroup(there.groupBy("rq", "rt")).applyInPandas(
             search, "qid bigint, distance double, id bigint, weight bigint")
         new = hits.groupBy("qid").agg(F.collect_list(F.struct("distance", "id", "weight")).alias("new"))
         merged = open_rows.join(new, "qid", "left").withColumn("found", _take(F.concat("found", F.coalesce("new", none)), k)).drop("new")

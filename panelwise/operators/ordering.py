@@ -23,6 +23,8 @@ RANGES = 64
 
 def with_range(df: DataFrame, value: str, out: str = "_range", ranges: int = RANGES) -> DataFrame:
     """Add the number of the value range each row falls into (ascending)."""
+    if ranges < 2:
+        return df.withColumn(out, F.lit(0.0))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = sorted({c for c in df.approxQuantile(value, probs, 0.25 / ranges) if math.isfinite(c)})
     splits = [-math.inf, *cuts, math.inf]
