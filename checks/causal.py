@@ -92,7 +92,7 @@ ca0 AS (SELECT id, inc.d, target, u AS m, 1.0::DOUBLE / (h + 1) AS px, c.l AS x,
 ca1 AS (SELECT *, least(len(x), len(y)) AS n FROM ca0), ca2 AS (SELECT * EXCLUDE (x, y), x[len(x) - n + 1:] AS x, y[len(y) - n + 1:] AS y, least(14, n - 1) AS top FROM ca1),
 ca3 AS (SELECT id, m, k, n - k AS ov, corr(x[i], y[i + k]) AS r, var_pop(x[i]) AS vx, var_pop(y[i + k]) AS vy FROM ca2, range(0, 15) a(k), range(1, 16) b(i) WHERE k <= top AND i <= n - k GROUP BY id, m, k, n),
 ca4 AS (SELECT id, m, max({{'r': round(r, 9), 'g': -k}}) AS b FROM ca3 JOIN ca2 USING (id, m) WHERE ov >= 3 AND vx > 1e-12 * list_aggregate(x, 'var_pop') AND vy > 1e-12 * list_aggregate(y, 'var_pop') AND list_aggregate(x, 'stddev_pop') >= 1e-10 AND list_aggregate(y, 'stddev_pop') >= 1e-10 GROUP BY id, m),
-ca5 AS (SELECT ca2.*, coalesce(.6 * least(1, abs(b.r)) + .4 * CASE WHEN b.g < 0 THEN least(1, -b.g / top::DOUBLE) ELSE .5 END, 0) AS pr, coalesce(-b.g, 0) AS lg, coalesce(b.r, 0) AS mr, coalesce(abs(b.r) >= .3, false) AS sg FROM ca2 LEFT JOIN ca4 USING (id, m)),
+ca5 AS (SELECT ca2.*, CASE WHEN b.r IS NULL THEN 0 ELSE .6 * least(1, abs(b.r)) + .4 * CASE WHEN b.g < 0 THEN least(1, -b.g / top::DOUBLE) ELSE .5 END END AS pr, coalesce(-b.g, 0) AS lg, coalesce(b.r, 0) AS mr, coalesce(abs(b.r) >= .3, false) AS sg FROM ca2 LEFT JOIN ca4 USING (id, m)),
 ca AS (SELECT *, round(.3 / (1 + exp(-.5 * (abs(z) - 3))) + .3 * pr + .25 * px + .15 * q, 4) AS score FROM ca5)"""
 add("r3_temporal_precedence", lambda s, d: r(cands(s, d).select("incident_id", "metric_name", "precedence", "optimal_lag", "max_correlation", "significant"), "precedence", "max_correlation"),
     f"WITH RECURSIVE {CANDS} SELECT id AS incident_id, m AS metric_name, round(pr, 4) AS precedence, CAST(lg AS INTEGER) AS optimal_lag, round(mr, 4) AS max_correlation, sg AS significant FROM ca")

@@ -117,7 +117,8 @@ def temporal_precedence(pairs: DataFrame, x: str = "candidate_series", y: str =
     p = pairs.select("*", F.inline(F.array(F.struct(best.alias("_best"), F.least(F.lit(max_lag), n - 1).alias("_top")))))
     lag, r = -F.col("_best.neg_lag"), F.col("_best.r")
     lag_score = F.when(lag > 0, F.least(F.lit(1.0), lag / F.col("_top"))).otherwise(0.5)
-    score = CORRELATION_WEIGHT * F.least(F.lit(1.0), F.abs(r)) + LAG_WEIGHT * lag_score
+    # least() skips NULL, so a missing correlation is excluded explicitly
+    score = F.when(r.isNotNull(), CORRELATION_WEIGHT * F.least(F.lit(1.0), F.abs(r)) + LAG_WEIGHT * lag_score)
     return p.withColumn("precedence", F.coalesce(score, F.lit(0.0))).withColumn("optimal_lag", F.coalesce(lag, F.lit(0))) \
         .withColumn("max_correlation", F.coalesce(r, F.lit(0.0))) \
         .withColumn("significant", F.coalesce(F.abs(r) >= MIN_CORRELATION, F.lit(False))) \

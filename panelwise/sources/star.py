@@ -37,24 +37,46 @@ def _entity(kind: str, key: str | Column) -> Column:
 
 def _event(kind: str, key: Column, time: Column, entity_type: str, entity: Column, *, amount: Column | None = None,
            customer: Column | None = None, vendor: Column | None = None, product: Column | None = None,
-           order: Column | None = None, **attributes: Column) -> Column:
+           order: Column | None = None, **attributes: Column) -> dict:
+    """Column expressions of one event kind; see ``_fan_out``."""
     related = {"customer": customer, "vendor": vendor, "product": product, "order": order}
     pairs = [x for name, col in related.items() if col is not None for x in (F.lit(name), col)]
-    related_map = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    return F.struct(
-        F.concat_ws(":", F.lit(kind), key).alias("event_id"),
-        F.lit(kind).alias("event_type"),
-        time.cast("timestamp").alias("event_time"),
-        F.lit(entity_type).alias("entity_type"),
-        entity.alias("entity_id"),
-        related_map.alias("related"),
-        (F.lit(None) if amount is None else amount).cast("double").alias("amount"),
-        _attributes(**attributes).alias("attributes"),
-    )
+    return {
+        "kind": kind, "event_id": F.concat_ws(":", F.lit(kind), key), "event_time": time.cast("timestamp"),
+        "entity_type": F.lit(entity_type), "entity_id": entity,
+        "related": F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>"),
+        "amount": (F.lit(None) if amount is None else amount).cast("double"), "attributes": attributes,
+    }
+
+
+def _on(condition: Column, event: dict) -> dict:
+    return {**event, "condition": condition}
+
 
+def _fan_out(df: DataFrame, *events: dict) -> DataFrame:
+    """One row per event that applies.
 
-def _fan_out(df: DataFrame, *events: Column) -> DataFrame:
-    return df.select(F.inline(F.array_compact(F.array(*events))))
+    Only the event kinds are exploded; every other column is chosen by kind
+    after the explode, so columns a query does not read are never computed.
+    """
+    kinds = [F.when(e["condition"], e["kind"]) if "condition" in e else F.lit(e["kind"]) for e in events]
+    x = df.withColumn("event_type", F.explode(F.array_compact(F.array(*kinds))))
+
+    def pick(choose) -> Column:
+        out = None
+        for e in events:
+            here = F.col("event_type") == e["kind"]
+            out = F.when(here, choose(e)) if out is None else out.when(here, choose(e))
+        return out
+    fields = []
+    for part in ATTRIBUTES.split(", "):
+        name, kind = part.split(" ")
+        having = any(name in e["attributes"] for e in events)
+        value = pick(lambda e, name=name, kind=kind: e["attributes"].get(name, F.lit(None)).cast(kind)) if having else F.lit(None).cast(kind)
+        fields.append(value.alias(name))
+    plain = ("event_time", "entity_type", "entity_id", "related", "amount")
+    return x.select(pick(lambda e: e["event_id"]).alias("event_id"), "event_type",
+                    *[pick(lambda e, c=c: e[c]).alias(c) for c in plain], F.struct(*fields).alias("attributes"))
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +92,9 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _event("order_placed", key, day, "order", _entity("order", key), amount=total, customer=customer),
         _event("invoice_issued", key, day, "invoice", invoice, amount=total, customer=customer, due_date=due,
                balance=F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(total)),
-        F.when(F.col("o_orderstatus") == "F",
-               _event("invoice_paid", key, day, "invoice", invoice, amount=total, customer=customer,
+        _on(F.col("o_orderstatus") == "F", _event("invoice_paid", key, day, "invoice", invoice, amount=total, customer=customer,
                       days_to_pay=F.col("o_orderkey") % 45 + 1)),
-        F.when(F.col("o_orderstatus") == "O",
-               _event("invoice_overdue", key, day, "invoice", invoice, amount=total, customer=customer,
+        _on(F.col("o_orderstatus") == "O", _event("invoice_overdue", key, day, "invoice", invoice, amount=total, customer=customer,
                       balance_remaining=total, days_overdue=F.col("o_orderkey") % 120, original_due_date=due)),
     )
 
@@ -91,13 +111,10 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fan_out(
         li,
         _event("expense_posted", key, day, "expense", _entity("expense", key), amount=tax, vendor=vendor),
-        F.when(F.col("l_returnflag") == "R",
-               _event("refund_issued", key, day, "payment", _entity("payment", key),
+        _on(F.col("l_returnflag") == "R", _event("refund_issued", key, day, "payment", _entity("payment", key),
                       amount=gross * (1 - F.col("l_discount")), product=product, order=order)),
-        F.when(F.col("l_linestatus") == "F",
-               _event("expense_paid", key, day, "expense", _entity("expense", key), amount=tax, vendor=vendor)),
-        F.when(F.col("l_linestatus") == "O",
-               _event("purchase_order_placed", key, day, "order", order, amount=gross, vendor=vendor,
+        _on(F.col("l_linestatus") == "F", _event("expense_paid", key, day, "expense", _entity("expense", key), amount=tax, vendor=vendor)),
+        _on(F.col("l_linestatus") == "O", _event("purchase_order_placed", key, day, "order", order, amount=gross, vendor=vendor,
                       product=product)),
     )
 
@@ -122,11 +139,9 @@ def shipment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fan_out(
         s,
         _event("order_delivered", key, day, "order", order, customer=customer, product=product),
-        F.when(taken > PROMISED_DAYS,
-               _event("order_late", key, day, "order", order, customer=customer, product=product,
+        _on(taken > PROMISED_DAYS, _event("order_late", key, day, "order", order, customer=customer, product=product,
                       days_late=taken - PROMISED_DAYS)),
-        F.when(taken > SUPPLIER_DAYS,
-               _event("shipment_delayed", key, day, "order", order, vendor=vendor, customer=customer,
+        _on(taken > SUPPLIER_DAYS, _event("shipment_delayed", key, day, "order", order, vendor=vendor, customer=customer,
                       days_delayed=taken - SUPPLIER_DAYS)),
     )
 
@@ -147,16 +162,12 @@ def support_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, ticket, priority = _entity("customer", "o_custkey"), _entity("ticket", key), F.col("o_orderpriority")
     return _fan_out(
         o,
-        F.when(priority.isin("1-URGENT", "2-HIGH"),
-               _event("support_ticket_opened", key, day, "ticket", ticket, customer=customer)),
-        F.when(priority == "5-LOW",
-               _event("support_ticket_closed", key, day, "ticket", ticket, customer=customer,
+        _on(priority.isin("1-URGENT", "2-HIGH"), _event("support_ticket_opened", key, day, "ticket", ticket, customer=customer)),
+        _on(priority == "5-LOW", _event("support_ticket_closed", key, day, "ticket", ticket, customer=customer,
                       resolution_time_hours=F.col("o_orderkey") % 72)),
-        F.when(priority == "3-MEDIUM",
-               _event("review_submitted", key, day, "order", _entity("order", key), customer=customer,
+        _on(priority == "3-MEDIUM", _event("review_submitted", key, day, "order", _entity("order", key), customer=customer,
                       score=1 + F.col("o_custkey") % 5)),
-        F.when(F.col("o_orderstatus") == "F",
-               _event("invoice_paid", key, day, "invoice", _entity("invoice", key), amount=F.col("o_totalprice"),
+        _on(F.col("o_orderstatus") == "F", _event("invoice_paid", key, day, "invoice", _entity("invoice", key), amount=F.col("o_totalprice"),
                       customer=customer, days_to_pay=F.col("o_orderkey") % 45 + 1)),
     ).unionByName(churn_events(spark, sf_dir))
 
