@@ -53,11 +53,16 @@ def _risk_out(df):
     return r(r(df.withColumn("factors", lst("factors")), "dso"), "risk_score", digits=5)
 
 
-ORDERING = [F.desc("risk_score"), F.desc("balance"), F.col("entity_id")]
+
+
+def ordering():
+    return [F.desc("risk_score"), F.desc("balance"), F.col("entity_id")]
+
+
 add("f11_receivable_risk", lambda s, d: _risk_out(receivables(s, d)), f"WITH {_RISK} SELECT {_RISK_COLS} FROM rk")
-add("k2_top_receivables", lambda s, d: _risk_out(ranking.top_n(receivables(s, d), ORDERING, 25)),
+add("k2_top_receivables", lambda s, d: _risk_out(ranking.top_n(receivables(s, d), ordering(), 25)),
     f"WITH {_RISK} SELECT {_RISK_COLS} FROM rk ORDER BY s DESC, balance DESC, entity_id LIMIT 25")
-add("k3_page", lambda s, d: _risk_out(ranking.page(receivables(s, d), ORDERING, 3, 20)),
+add("k3_page", lambda s, d: _risk_out(ranking.page(receivables(s, d), ordering(), 3, 20)),
     f"WITH {_RISK}, n AS (SELECT count(*) AS total FROM rk) SELECT {_RISK_COLS}, total FROM rk, n ORDER BY s DESC, balance DESC, entity_id LIMIT 20 OFFSET 40")
 add("k4_metric_cards", lambda s, d: r(ranking.metric_cards(long_panel(s, d), AS_OF).withColumn("sparkline", lst(F.transform("sparkline", lambda x: F.round(x).cast("long").cast("string")))),
                                       "current_value", "previous_value", "change_percent"),

@@ -49,19 +49,19 @@ SQL["t2_payment_events"] = _row("payment_received", "('P' || o_orderkey)", "CAST
 
 
 def _line(name, fn, kind, prefix, eid, where, extra, sql_extra, party="vendor"):
-    QUERIES[name] = lambda s, d: _ev(fn(bronze(s, d), AS_OF), *extra)
+    QUERIES[name] = lambda s, d: _ev(fn(bronze(s, d), AS_OF), *extra())
     who = dict(vendor=_LV, flags=_LF) if party == "vendor" else dict(customer="'customer:acct:' || l_partkey")
     SQL[name] = _row(kind, f"('{prefix}' || {_LKEY})", "CAST(l_shipdate AS DATE)", eid, amount="l_extendedprice", **who, **sql_extra) + f" FROM lineitem WHERE {where}"
 
 
-_line("t3_bill_events", silver.bill_events, "expense_posted", "B", "expense", "true", [A("category")],
+_line("t3_bill_events", silver.bill_events, "expense_posted", "B", "expense", "true", lambda: [A("category")],
       {"category": "CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '7' END"})
 _line("t4_bill_payment_events", silver.bill_payment_events, "expense_paid", "BP", "expense", "l_linestatus = 'F'",
-      [A("payment_method"), F.concat_ws(",", F.transform("attributes.linked", lambda x: x["id"])).alias("bills")],
+      lambda: [A("payment_method"), F.concat_ws(",", F.transform("attributes.linked", lambda x: x["id"])).alias("bills")],
       {"payment_method": "'Check'", "bills": f"'B' || {_LKEY}"})
-_line("t5_credit_events", silver.credit_events, "credit_memo_issued", "CM", "invoice", "l_returnflag = 'A'", [A("reason")], {"reason": "l_linestatus"}, "customer")
-_line("t5_refund_events", silver.refund_events, "refund_issued", "RR", "payment", "l_returnflag = 'R'", [A("payment_method")], {"payment_method": "'Card'"}, "customer")
-_line("t7_purchase_order_events", silver.po_events, "purchase_order_placed", "PO", "order", "l_linestatus = 'O'", [A("expected_date")],
+_line("t5_credit_events", silver.credit_events, "credit_memo_issued", "CM", "invoice", "l_returnflag = 'A'", lambda: [A("reason")], {"reason": "l_linestatus"}, "customer")
+_line("t5_refund_events", silver.refund_events, "refund_issued", "RR", "payment", "l_returnflag = 'R'", lambda: [A("payment_method")], {"payment_method": "'Card'"}, "customer")
+_line("t7_purchase_order_events", silver.po_events, "purchase_order_placed", "PO", "order", "l_linestatus = 'O'", lambda: [A("expected_date")],
       {"expected_date": "strftime(CAST(l_shipdate AS DATE) + 7, '%Y-%m-%d')"})
 QUERIES["t6_customer_events"] = lambda s, d: _ev(silver.customer_events(bronze(s, d), AS_OF), A("display_name"), A("balance"))
 SQL["t6_customer_events"] = f"""WITH c AS (SELECT *, CASE c_custkey % 3 WHEN 1 THEN 'updated' ELSE 'created' END AS k,
