@@ -37,8 +37,9 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def seeded(seed: int, *keys: Column) -> Column:
-    """A reproducible uniform number in [0, 1) for each row, from its keys alone."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)).cast("double") / float(1 << 53)
+    """A reproducible uniform number in [0, 1) for each row, from its keys alone: 48 bits of the MD5 of seed and keys."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def running_within(df: DataFrame, group: str, value: Column, order: Column, ties: list[str], out: str) -> DataFrame:
@@ -51,14 +52,14 @@ def running_within(df: DataFrame, group: str, value: Column, order: Column, ties
     Null is a group like any other. ``df`` should be a stored table: it is read
     three times.
     """
-    slices = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")) \
-        .select("_g", F.ceil(F.sqrt(F.col("_n").cast("double"))).alias("_slices"))
+    slices = stored(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+                    .select("_g", F.ceil(F.sqrt(F.col("_n").cast("double"))).alias("_slices")), "slices")
     cut = df.withColumn("_u", order).withColumn("_v", value) \
         .join(slices, F.col(group).eqNullSafe(F.col("_g"))).drop("_g") \
         .withColumn("_slice", F.floor(F.col("_u") * F.col("_slices"))).drop("_slices")
     totals = cut.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.sum("_v").alias("_t"))
     before = W.partitionBy("_g").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_g", "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    offsets = stored(totals.select("_g", "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset")), "offsets")
     inner = W.partitionBy(group, "_slice").orderBy("_u", *ties).rowsBetween(W.unboundedPreceding, -1)
     placed = cut.withColumn("_inner", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
     joined = placed.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import quality
-from panelwise.llm.common import crc_mod, stored
+from panelwise.llm import langid, mixing, packing, quality
+from panelwise.llm.common import crc_mod, stored, word_count
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,5 +21,28 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant,)}
+def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return stored(docs.select(*columns, word_count(F.col("text")).alias("size")), "sizes")
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_sized(spark, sf_dir, "doc_id", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "quota_words", "stream_start")
+
+
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = langid.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return langid.identify(docs.drop("lang"), model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"))
+
+
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sized(spark, sf_dir, "doc_id"), "size") \
+        .select("doc_id", "size", "bucket", "bucket_length", "batch", "slot", "padding")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_source_mix, op3_language_spans, op8_length_buckets)}
 SQL: dict[str, str] = {}
