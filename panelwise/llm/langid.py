@@ -161,22 +161,29 @@ def decode(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH, block
         begin, length = first[short], n[short]
         state, stay, best, row = _forward(scores, begin, length, np.zeros((len(short), 1, langs), np.float32), penalty)
         _backward(path, begin, length, row, stay, best, np.zeros(len(short), np.int64), state[:, 0].argmax(axis=1))
-    for i in np.flatnonzero(n > block):
-        begin = np.arange(first[i], first[i + 1], block)
-        length = np.minimum(block, first[i + 1] - begin)  # only the last may be shorter
+    long = np.flatnonzero(n > block)
+    if len(long):
+        parts = -(-n[long] // block)
+        base = np.concatenate([[0], np.cumsum(parts)])  # first block of each text
+        nth = np.arange(base[-1]) - np.repeat(base[:-1], parts)
+        begin = np.repeat(first[:-1][long], parts) + nth * block
+        length = np.minimum(block, np.repeat(first[1:][long], parts) - begin)
+        order = np.argsort(-length, kind="stable")
         init = np.tile(np.where(np.eye(langs, dtype=bool), np.float32(0), np.float32(-1e9)), (len(begin), 1, 1)).astype(np.float32)
-        init[0] = 0
-        state, stay, best, row = _forward(scores, begin, length, init, penalty)
-        total, came = state[0, 0].astype(float), [np.zeros(langs, np.int64)]
-        for k in range(1, len(begin)):
-            both = total[:, None] + state[k]
-            came.append(both.argmax(axis=0))
-            total = both.max(axis=0)
-        end = np.zeros(len(begin), np.int64)
-        end[-1] = total.argmax()
-        for k in range(len(begin) - 1, 0, -1):
-            end[k - 1] = came[k][end[k]]
-        _backward(path, begin, length, row, stay, best, np.concatenate([[0], end[:-1]]), end)
+        init[nth == 0] = 0
+        state, stay, best, row = _forward(scores, begin[order], length[order], init[order], penalty)
+        place = np.argsort(order)  # where each block went
+        leave, enter = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        for low, high in zip(base[:-1], base[1:]):
+            total, came = state[place[low], 0].astype(float), []
+            for k in range(low + 1, high):
+                both = total[:, None] + state[place[k]]
+                came.append(both.argmax(axis=0))
+                total = both.max(axis=0)
+            leave[high - 1] = total.argmax()
+            for k in range(high - 1, low, -1):
+                enter[k] = leave[k - 1] = came[k - low - 1][leave[k]]
+        _backward(path, begin[order], length[order], row, stay, best, enter[order], leave[order])
     return path
 
 
