@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import langid, mixing, packing, quality
+from panelwise.llm import hamming, langid, licences, mixing, neardup, packing, permutation, quality, urls, warc
 from panelwise.llm.common import crc_mod, stored, word_count
+from panelwise.session import literal_table, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,10 +42,51 @@ def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"))
 
 
+#: Fixed values of the query's contract: host, path prefix and verdict of each rule.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = literal_table(spark, URL_RULES, "host string, path string, verdict string")
+    return urls.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules) \
+        .select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_bits(F.col("embedding")).alias("bits"))
+    return hamming.top_k(codes, codes.where("id % 100 = 0"), length=64, k=10) \
+        .select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+
+
+def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_sized(spark, sf_dir, "doc_id"), "size") \
         .select("doc_id", "size", "bucket", "bucket_length", "batch", "slot", "padding")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_source_mix, op3_language_spans, op8_length_buckets)}
+def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index, keepers, files = warc.archive_index(pages)
+    archives = warc.write_archives(pages, keepers, files, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.read_records(index, archives).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path is its host and URL path. Pages have no licence files, so every page with a notice speaks for its directory."""
+    host, path = urls.host_and_path(F.col("url"))
+    files = _read(spark, sf_dir, "pages").select("page_id", F.concat(host, path).alias("path"), "html")
+    return licences.scan(files, "page_id", "path", licences.visible_text(F.col("html")), licence_file="")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_discriminant, op2_source_mix, op3_language_spans, op4_url_verdicts, op5_near_duplicates, op6_hamming_top_k,
+    op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan)}
 SQL: dict[str, str] = {}
