@@ -81,8 +81,8 @@ def top_k(codes: DataFrame, queries: DataFrame, length: int, k: int = 10, key: s
         for s in range(segments):
             wide = min(width, length - s * width)
             if radius <= wide:
-                part = active.select(F.col("code").alias("query"), F.lit(s).alias("segment"),
-                                     F.explode(F.transform(_masks(spark, wide, radius), lambda m, s=s: F.col("code")[s].bitwiseXOR(m))).alias("value"))
+                part = active.withColumn("masks", _masks(spark, wide, radius)).select("code", F.explode("masks").alias("mask")) \
+                    .select(F.col("code").alias("query"), F.lit(s).alias("segment"), F.col("code")[s].bitwiseXOR(F.col("mask")).alias("value"))
                 probes = part if probes is None else probes.unionByName(part)
         new = probes.join(postings, ["segment", "value"]).select("query", "code", "ids").distinct() \
             .select("query", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id"))

@@ -108,7 +108,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
         F.least(F.coalesce(words, F.lit(0)), F.col("source_size") * repeats).alias("quota_words"), F.lit(unit).cast("long").alias("block_words")), "mix-plan")
     laid = running_within(df, source, F.col(size), seeded(seed, F.col(key)), [key, size], "stream_start")
     joined = laid.join(plan, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    passes = F.expr("coalesce(quota_words div source_size, 0)")
+    passes = F.expr("quota_words div greatest(source_size, 1)")
     rest = F.col("quota_words") - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col(size), rest - F.col("stream_start")))
     return joined.withColumn("taken", (passes * F.col(size) + part).cast("long"))

@@ -309,7 +309,7 @@ def test_permutation_recall(spark):
 
 def test_permutation_edges(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)] + [(0, [1.0, 0, 0, 0])] + [(i, [1.0, 0, 0, 0]) for i in range(100, 140)]
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)] + [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 140)]
     bad = [(200, None), (300, [0.0] * 4), (400, [float("nan")] * 4), (500, [None, 1.0, 1.0, 1.0]), (600, [1.0]), (700, []), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     got = permutation.nearest(df, df.where("vec_id % 100 = 0"), k=5).collect()
