@@ -8,14 +8,15 @@ precisely where similarities are high. Candidates whose estimate is far below
 the threshold are dropped, all others are confirmed on their full sets.
 
 A bucket never yields all its pairs. Its members are first compared with one
-pivot; links make components; then only members of different components of
-the same bucket are compared, smaller components against the rest. Pairs
-inside a component are not needed to know the components, so no link between
-documents that share a bucket is lost, whatever the bucket's size.
+pivot, another in every band; links make components; then only members of
+different components of the same bucket are compared, smaller components
+against the rest. Pairs inside a component are not needed to know the
+components, so no link between documents that share a bucket is lost,
+whatever the bucket's size.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares a bucket with
-probability 1 - 5e-8; the sketch cut (an estimate of 0.55) lies more than
-five standard deviations below the threshold.
+probability 1 - 5e-8; the sketch cut (an estimate of 0.62) lies five standard
+deviations below the threshold.
 
 Defined results: documents without words have size 0 and are a component of
 their own; fewer words than a shingle are one shingle; rows with equal ids are
@@ -36,9 +37,9 @@ from panelwise.llm import words
 from panelwise.llm.common import small_batches, stored
 from panelwise.operators.graph import connected_components
 
-SAMPLES, BANDS, BITS = 128, 32, 512
-ROWS = SAMPLES // BANDS
-CUT = 0.55
+#: All samples are folded into the sketch; the first BANDS * ROWS of them are banded.
+SAMPLES, BANDS, ROWS, BITS = 256, 32, 4, 1024
+CUT = 0.62
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -86,7 +87,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 def band_keys(samples: np.ndarray) -> np.ndarray:
     key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(samples), 1))
     for j in range(ROWS):
-        key = words.mix(key * _FIRST + samples[:, j::ROWS].astype(np.uint64) * _SECOND + _THIRD)
+        key = words.mix(key * _FIRST + samples[:, j:BANDS * ROWS:ROWS].astype(np.uint64) * _SECOND + _THIRD)
     return key.view(np.int64)
 
 
@@ -156,16 +157,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = stored(seen.where("n > 0").groupBy("n", "f1", "f2").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
     entries = classes.where("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    crowds = stored(entries.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "buckets")
+    crowds = stored(entries.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min_by("rep", F.struct(F.xxhash64("rep", "band"), F.col("rep"))).alias("pivot"))
+                    .where("size > 1"), "buckets")
     members = stored(entries.join(crowds, ["band", "bucket"]), "bucket-members")
-    facts = classes.select("rep", "n", "odd")
+    facts = classes.select("rep", "n", "odd", "bands")
 
     def sided(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(facts.select(*[F.col(c).alias(x) for c, x in (("rep", side), ("n", f"n_{side}"), ("odd", f"odd_{side}"))]), side)
         return pairs.where(_plausible(F.col("n_a"), F.col("n_b"), F.col("odd_a"), F.col("odd_b"), percent)).select("a", "b")
 
-    stars = stored(sided(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "star-pairs")
+    stars = stored(sided(members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()), "star-pairs")
     links = stored(_confirmed(stars, docs, key, text, width, percent), "links")
     found = stored(connected_components(links, "a", "b"), "components")
 
@@ -173,16 +175,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = now.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    open_rows = stored(now.join(mixed, ["band", "bucket"]).join(facts, "rep"), "open-members")
+    open_rows = stored(now.join(mixed, ["band", "bucket"]), "open-members")
     largest = open_rows.groupBy("band", "bucket", "component").agg(F.count("*").alias("c")) \
         .groupBy("band", "bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    ranked = stored(open_rows.join(largest, ["band", "bucket"]), "open-ranked")
-    small = ranked.where("component <> main").select("band", "bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "odd")])
-    rest = ranked.select("band", "bucket", (F.col("component") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "odd")])
+    ranked = stored(open_rows.join(largest, ["band", "bucket"]).join(facts, "rep"), "open-ranked")
+    small = ranked.where("component <> main").select("band", "bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "odd", "bands")])
+    rest = ranked.select("band", "bucket", (F.col("component") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "odd", "bands")])
+    # a pair is taken in the first bucket it shares, not once per bucket
+    sooner = F.expr("arrays_overlap(slice(bands_a, 1, band), slice(bands_b, 1, band))")
     across = small.join(rest, ["band", "bucket"]).where(
         (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("rep_a") < F.col("rep_b")))
-        & _plausible(F.col("n_a"), F.col("n_b"), F.col("odd_a"), F.col("odd_b"), percent)) \
-        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        & _plausible(F.col("n_a"), F.col("n_b"), F.col("odd_a"), F.col("odd_b"), percent) & ~sooner) \
+        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).join(stars, ["a", "b"], "left_anti")
     more = stored(across, "cross-pairs")
     if not more.isEmpty():
         extra = _confirmed(more, docs, key, text, width, percent)

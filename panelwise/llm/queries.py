@@ -89,4 +89,66 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_discriminant, op2_source_mix, op3_language_spans, op4_url_verdicts, op5_near_duplicates, op6_hamming_top_k,
     op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan)}
-SQL: dict[str, str] = {}
+
+# --- DuckDB SQL where SQL can express a query; fitted models (1, 3), the approximate index (7) and the packing optimum (8) are tested otherwise ---
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_URL = rf"""u AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+v AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)"""
+
+_OP2 = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][pos % 3 + 1] AS weight, sum(source_size) OVER () AS total FROM s),
+lv AS (SELECT 0 AS i, 0.0::DOUBLE AS level UNION ALL
+  SELECT i + 1, (any_value(total) - sum(CASE WHEN 3 * source_size < level * weight THEN 3 * source_size ELSE 0 END))::DOUBLE / sum(CASE WHEN 3 * source_size < level * weight THEN 0 ELSE weight END) FROM lv, w WHERE i < 25 GROUP BY i, level),
+t AS (SELECT *, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM lv) * weight) AS target FROM w),
+b AS (SELECT greatest(1, least(1024, floor(min(target) FILTER (target > 0) / 200)))::BIGINT AS block, sum(target) AS whole FROM t),
+h AS (SELECT block, round(whole / block)::BIGINT AS house, whole FROM b),
+q AS (SELECT pos, target, unnest(range(1, floor(target / whole * house)::BIGINT + 25)) AS k, house FROM t, h WHERE target > 0),
+r AS (SELECT pos, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, pos) AS n, house FROM q),
+p AS (SELECT t.*, least(3 * source_size, coalesce(c.n, 0) * block)::BIGINT AS quota_words FROM t LEFT JOIN (SELECT pos, count(*) AS n FROM r WHERE n <= house GROUP BY pos) c USING (pos), h),
+x AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY substr(md5('7:' || doc_id), 1, 12), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_start FROM d),
+y AS (SELECT x.*, source_size, target, quota_words, quota_words // greatest(source_size, 1) AS passes FROM x JOIN p ON p.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, quota_words - passes * source_size - stream_start)))::BIGINT AS taken, quota_words, stream_start FROM y"""
+
+_OP4 = f"""WITH {_URL}, r(h, p, verdict) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
+f AS (SELECT page_id, url, host, path, h || p AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
+  FROM v LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
+
+_OP5 = rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")}, []) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g), e AS (SELECT doc_id, unnest(g) AS s FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), t AS (SELECT a AS d, a AS r FROM u UNION SELECT t.d, u.b FROM t JOIN u ON u.a = t.r),
+m AS (SELECT d, min(r) AS m FROM t GROUP BY d)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM n LEFT JOIN m ON d = doc_id"""
+
+_OP6 = """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: abs(q.b[i] - c.b[i])))::INT AS distance FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
+_OP9 = """WITH x AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS k FROM x WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN k IS NULL OR k = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k <> page_id THEN k END AS refers_to FROM x LEFT JOIN k USING (h)"""
+
+_weights = licences.Weights()
+_OP10 = rf"""WITH {_URL}, f AS (SELECT page_id, host || path AS path, unnest(string_split(regexp_replace(regexp_replace(html, '<[^>]*>', '
+', 'g'), '([.!?:;])\s+', '\1
+', 'g'), '
+')) AS line FROM v),
+l AS (SELECT DISTINCT line FROM f), w AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM l), tf AS (SELECT line, term, count(*) AS n FROM w GROUP BY 1, 2),
+i(term, idf) AS (VALUES {", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(_weights.idf.items()))}),
+tv(template, licence, term, weight) AS (VALUES {", ".join(f"({k}, '{licences.TEMPLATES[k][0]}', '{t}', {x!r}::DOUBLE)" for k, v in enumerate(_weights.vectors) for t, x in sorted(v.items()))}),
+o AS (SELECT line, term, n * coalesce(idf, {_weights.unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN i USING (term)), nm AS (SELECT line, sqrt(sum(x * x)) AS norm FROM o GROUP BY 1),
+sc AS (SELECT line, licence, template, round(sum(x * weight) / any_value(norm), 9) AS score FROM o JOIN tv USING (term) JOIN nm USING (line) GROUP BY 1, 2, 3),
+ow AS (SELECT page_id, licence, score FROM (SELECT page_id, licence, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, licence) AS k FROM f JOIN sc USING (line) WHERE score >= .6) WHERE k = 1),
+m AS (SELECT page_id, host || path AS path, CASE WHEN contains(host || path, '/') THEN regexp_extract(host || path, '(?s)^(.*/)', 1) ELSE host || path || '/' END AS dir, licence, score FROM v LEFT JOIN ow USING (page_id)),
+gr AS (SELECT dir, licence AS granted FROM (SELECT dir, licence, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) AS k FROM m WHERE licence IS NOT NULL GROUP BY dir, licence) WHERE k = 1),
+ne AS (SELECT d.dir, arg_max(granted, length(gr.dir)) AS granted, arg_max(gr.dir, length(gr.dir)) AS from_directory FROM (SELECT DISTINCT dir FROM m) d JOIN gr ON starts_with(d.dir, gr.dir) GROUP BY 1)
+SELECT page_id, path, coalesce(licence, granted) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'notice' WHEN granted IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+  CASE WHEN licence IS NULL THEN from_directory END AS from_directory FROM m LEFT JOIN ne USING (dir)"""
+
+SQL: dict[str, str] = {"op2_source_mix": _OP2, "op4_url_verdicts": _OP4, "op5_near_duplicates": _OP5, "op6_hamming_top_k": _OP6, "op9_warc_archives": _OP9, "op10_license_scan": _OP10}
