@@ -10,8 +10,9 @@ the threshold are dropped, all others are confirmed on their full sets.
 A bucket never yields all its pairs. Its members are first compared with one
 pivot, another in every band; links make components; then only members of
 different components of the same bucket are compared, smaller components
-against the rest. Pairs inside a component are not needed to know the
-components, so no link between documents that share a bucket is lost,
+against the rest; inside a large family (connected by plausible pairs) tile by
+tile, without a row per pair. Pairs inside a component are not needed to know
+the components, so no link between documents that share a bucket is lost,
 whatever the bucket's size.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares a bucket with
@@ -29,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ from panelwise.operators.graph import connected_components
 #: All samples are folded into the sketch; the first BANDS * ROWS of them are banded.
 SAMPLES, BANDS, ROWS, BITS = 256, 32, 4, 1024
 CUT = 0.62
+#: Families of more classes than ``FAMILY`` are compared in tiles of about ``TILE`` sets; up to ``BROADCAST_IDS`` ids (8 bytes each) are sent to every task.
+FAMILY, TILE, BROADCAST_IDS = 96, 256, 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -123,7 +127,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents in ``ids``."""
+    """(id, set) of the documents in ``ids``: texts are filtered in place while the ids are few enough to be sent along."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = list(shingle_sets(batch.column(1), width))
@@ -131,6 +135,9 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> D
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))], ["id", "set"])
 
+    ids = stored(ids, "set-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(build, "id long, set array<long>")
 
@@ -151,15 +158,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: in
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _tiled(crowd: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) inside large families, found without a row per pair.
+
+    ``crowd`` has (rep, family, component, main): family members outside the
+    main component are compared with the whole family, tile by tile. A tile
+    knows all its sets, counts shared shingles exactly and returns one link
+    for a document and another component.
+    """
+    sets = stored(_sets(docs, key, text, width, crowd.select(F.col("rep").alias("id")).distinct()), "family-sets")
+    counts = crowd.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("m"))
+    rows = crowd.join(counts.select("family", F.ceil(F.col("n") / TILE).alias("nb"), F.ceil(F.col("m") / TILE).alias("mb")), "family").where("mb > 0") \
+        .join(sets.withColumnRenamed("id", "rep"), "rep")
+    spread = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.col("mb")).cast("int")
+    every = rows.select("family", "rep", "component", "set", spread[0].alias("rb"), F.explode(F.sequence(F.lit(0), (F.col("mb") - 1).cast("int"))).alias("lb"))
+    outside = rows.where("component <> main").select("family", "rep", "component", "set", spread[1].alias("lb"), F.explode(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int"))).alias("rb"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            size = np.array([len(x) for x in right["set"]])
+            shingle = np.concatenate(right["set"].to_numpy())
+            order = np.argsort(shingle, kind="stable")
+            owner, (known, first) = np.repeat(np.arange(len(right)), size)[order], np.unique(shingle[order], return_index=True)
+            ends = np.append(first[1:], len(order))
+            reps, comps = right["rep"].to_numpy(), right["component"].to_numpy()
+            for rep, comp, own in zip(left["rep_l"], left["component_l"], left["set_l"]):
+                at = np.searchsorted(known, own)
+                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)]
+                span = ends[at] - first[at]
+                hits = owner[np.repeat(first[at] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())] if len(at) else np.zeros(0, np.int64)
+                shared = np.bincount(hits, minlength=len(right))
+                good = np.flatnonzero((100 * shared >= percent * (size + len(own) - shared)) & (comps != comp))
+                _, one = np.unique(comps[good], return_index=True)
+                out += [(rep, x) for x in reps[good[one]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    other = outside.toDF(*[f"{c}_l" for c in outside.columns])
+    return other.groupBy("family_l", "lb_l", "rb_l").cogroup(every.groupBy("family", "lb", "rb")).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row: components of documents linked by 100 * shared >= percent * union."""
     seen = stored(sketches(docs, key, text, width), "sketches")
     classes = stored(seen.where("n > 0").groupBy("n", "f1", "f2").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+    # a bucket's key holds its band; four orders of pivots, so that a member meets several but not 32 of them
     entries = classes.where("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    crowds = stored(entries.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min_by("rep", F.struct(F.xxhash64("rep", "band"), F.col("rep"))).alias("pivot"))
-                    .where("size > 1"), "buckets")
-    members = stored(entries.join(crowds, ["band", "bucket"]), "bucket-members")
+    turn = F.struct(F.xxhash64("rep", F.col("band") % 4), F.col("rep"))
+    crowds = stored(entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("rep", turn).alias("pivot")).where("size > 1").drop("size"), "buckets")
+    members = stored(entries.join(crowds, "bucket"), "bucket-members")
     facts = classes.select("rep", "n", "odd", "bands")
 
     def sided(pairs: DataFrame) -> DataFrame:
@@ -169,31 +217,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     stars = stored(sided(members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()), "star-pairs")
     links = stored(_confirmed(stars, docs, key, text, width, percent), "links")
-    found = stored(connected_components(links, "a", "b"), "components")
-
-    # members of one bucket that are not linked yet: smaller components against the rest
-    now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = now.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    open_rows = stored(now.join(mixed, ["band", "bucket"]), "open-members")
-    largest = open_rows.groupBy("band", "bucket", "component").agg(F.count("*").alias("c")) \
-        .groupBy("band", "bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    ranked = stored(open_rows.join(largest, ["band", "bucket"]).join(facts, "rep"), "open-ranked")
-    small = ranked.where("component <> main").select("band", "bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "odd", "bands")])
-    rest = ranked.select("band", "bucket", (F.col("component") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "odd", "bands")])
+    found = stored(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "components")
+    # families: what plausible pairs connect, whether they are links or not
+    family = stored(connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+                    .join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "families")
+    parts = family.groupBy("family", "component").agg(F.count("*").alias("c"))
+    large = stored(parts.groupBy("family").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("main")).where(F.col("n") > FAMILY), "large-families")
+    crowd = stored(family.join(large.select("family", "main"), "family"), "large-family-members")
+    more = _tiled(crowd, docs, key, text, width, percent)
+
+    # all other members of one bucket that are not linked yet, pair by pair: smaller components against the rest
+    now = members.join(family.join(large.select("family", F.lit(True).alias("big")), "family", "left"), "rep", "left").select(
+        "band", "bucket", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family"), F.coalesce("big", F.lit(False)).alias("big"))
+    # nothing is left to compare where all are linked, or all belong to one large family
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("family").alias("f1"), F.max("family").alias("f2"), F.min("big").alias("big")) \
+        .where("lo < hi AND NOT (big AND f1 = f2)").select("bucket")
+    open_rows = stored(now.join(mixed, "bucket"), "open-members")
+    largest = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("c")) \
+        .groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    ranked = stored(open_rows.join(largest, "bucket").join(facts, "rep"), "open-ranked")
+    columns = ("rep", "component", "family", "n", "odd", "bands")
+    small = ranked.where("component <> main").select("bucket", "band", "big", *[F.col(c).alias(f"{c}_a") for c in columns])
+    rest = ranked.select("bucket", (F.col("component") == F.col("main")).alias("is_main"), *[F.col(c).alias(f"{c}_b") for c in columns])
     # a pair is taken in the first bucket it shares, not once per bucket
     sooner = F.expr("arrays_overlap(slice(bands_a, 1, band), slice(bands_b, 1, band))")
-    across = small.join(rest, ["band", "bucket"]).where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("rep_a") < F.col("rep_b")))
+    across = small.join(rest, "bucket").where(
+        (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("rep_a") < F.col("rep_b"))) & ~(F.col("big") & (F.col("family_a") == F.col("family_b")))
         & _plausible(F.col("n_a"), F.col("n_b"), F.col("odd_a"), F.col("odd_b"), percent) & ~sooner) \
         .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).join(stars, ["a", "b"], "left_anti")
-    more = stored(across, "cross-pairs")
-    if not more.isEmpty():
-        extra = _confirmed(more, docs, key, text, width, percent)
-        found = stored(connected_components(stored(links.unionByName(extra), "all-links"), "a", "b"), "components")
+    extra = _confirmed(stored(across, "cross-pairs"), docs, key, text, width, percent)
+    late = stored(more.unionByName(extra), "late-links")
+    if not late.isEmpty():
+        found = stored(connected_components(stored(links.unionByName(late), "all-links"), "a", "b").withColumnRenamed("node", "rep"), "components")
 
     # only classes with copies or links can differ from the document's own id
-    joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR component IS NOT NULL") \
+    joined = classes.join(found, "rep", "left").where("copies > 1 OR component IS NOT NULL") \
         .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     table = stored(joined, "class-components")
     final = seen.select("id", "n", "f1", "f2").join(table, ["n", "f1", "f2"], "left")
