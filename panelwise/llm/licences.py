@@ -48,10 +48,13 @@ TEMPLATES = (
 )
 
 TERM = "[a-z0-9]+"
+#: Function words that carry no weight.
+STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "is", "it", "may", "not", "of", "on", "or", "that", "the", "this", "to",
+        "was", "with", "you", "your")
 
 
 def terms(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return [t for t in re.findall(TERM, text.lower()) if t not in STOP]
 
 
 class Weights:
@@ -67,10 +70,10 @@ class Weights:
             weights = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.vectors.append({t: w / norm for t, w in weights.items()})
-        # rarest terms first, until what is left of every template is too short to reach the threshold
+        # long terms first, which plain text seldom has, until what is left of every template is too short to reach the threshold
         self.anchors: set[str] = set()
         for vector in self.vectors:
-            for t in sorted(vector, key=lambda t: (-self.idf[t], -vector[t], t)):
+            for t in sorted(vector, key=lambda t: (len(t) < 5, -vector[t], t)):
                 if math.sqrt(sum(w * w for x, w in vector.items() if x not in self.anchors)) < threshold - 1e-6:
                     break
                 self.anchors.add(t)
@@ -94,7 +97,7 @@ def notices(files: DataFrame, key: str, text: Column, weights: Weights, template
     found = stored(files.select(F.col(key).alias("key"), F.explode(F.filter(statements(text), lambda s: s.rlike(anchor))).alias("line"))
                    .withColumn("k", F.md5(F.col("line").cast("binary"))), "statements")
     lines = found.groupBy("k").agg(F.first("line").alias("line"))
-    tf = lines.select("k", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
+    tf = lines.select("k", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term")).where(~F.col("term").isin(*STOP)).groupBy("k", "term").agg(F.count("*").alias("tf"))
     idf = literal_table(spark, sorted(weights.idf.items()), "term string, idf double")
     vectors = literal_table(spark, [(t, i, w) for i, v in enumerate(weights.vectors) for t, w in sorted(v.items())], "term string, template int, weight double")
     own = F.col("tf") * F.coalesce("idf", F.lit(weights.unknown))

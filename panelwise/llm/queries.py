@@ -139,7 +139,7 @@ _OP10 = rf"""WITH {_URL}, f AS (SELECT page_id, host || path AS path, unnest(str
 ', 'g'), '([.!?:;])\s+', '\1
 ', 'g'), '
 ')) AS line FROM v),
-l AS (SELECT DISTINCT line FROM f), w AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM l), tf AS (SELECT line, term, count(*) AS n FROM w GROUP BY 1, 2),
+l AS (SELECT DISTINCT line FROM f), w AS (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM l), tf AS (SELECT line, term, count(*) AS n FROM w WHERE term NOT IN {licences.STOP} GROUP BY 1, 2),
 i(term, idf) AS (VALUES {", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(_weights.idf.items()))}),
 tv(template, licence, term, weight) AS (VALUES {", ".join(f"({k}, '{licences.TEMPLATES[k][0]}', '{t}', {x!r}::DOUBLE)" for k, v in enumerate(_weights.vectors) for t, x in sorted(v.items()))}),
 o AS (SELECT line, term, n * coalesce(idf, {_weights.unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN i USING (term)), nm AS (SELECT line, sqrt(sum(x * x)) AS norm FROM o GROUP BY 1),
