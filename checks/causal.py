@@ -128,9 +128,27 @@ def all_causes(s, d):
     return causes.root_causes(panel_incidents(s, d), cands(s, d), causes.metric_edges(s))
 
 
+def _told(metric, depth, seen):
+    """The chain of a metric, by recursion (the operator walks with a stack)."""
+    seen.add(metric)
+    out = []
+    for a, b in config.METRIC_EDGES:
+        if b == metric and a not in seen and depth < 4:
+            out += _told(a, depth + 1, seen)
+    return out + [metric]
+
+
+def _chain_rows():
+    for m in sorted(set(config.INCIDENT_METRIC.values())):
+        chain = _told(m, 0, set())
+        if len(chain) == 1:
+            chain += [b for a, b in config.METRIC_EDGES if a == m][:1]
+        yield from (f"('{m}', {i}, '{x}', {0.95 if x == m else max(0.1, 0.9 - 0.15 * (i - 1))}::DOUBLE)" for i, x in enumerate(chain, 1))
+
+
 CAUSES = f"""{CANDS}, rk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, m) AS k, m, score, 'statistical' AS meth FROM ca),
-ch AS (SELECT m AS target, u AS m, row_number() OVER (PARTITION BY m ORDER BY h, u) AS k, h FROM cl),
-rc AS (SELECT * FROM rk WHERE k <= 5 UNION ALL SELECT id, k, ch.m, CASE WHEN h = 0 THEN .95 ELSE greatest(.1, .9 - (k - 1) * .15) END::DOUBLE, 'graph' FROM inc JOIN tm USING (t) JOIN ch USING (target) WHERE k <= 5 AND id NOT IN (SELECT id FROM ca))"""
+ch(target, k, m, sc) AS (VALUES {", ".join(_chain_rows())}),
+rc AS (SELECT * FROM rk WHERE k <= 5 UNION ALL SELECT id, k, ch.m, sc, 'graph' FROM inc JOIN tm USING (t) JOIN ch USING (target) WHERE id NOT IN (SELECT id FROM ca))"""
 add("r11_root_causes", lambda s, d: r(all_causes(s, d), "score"), f"WITH RECURSIVE {CAUSES} SELECT id AS incident_id, CAST(k AS INTEGER) AS rank, m AS metric_name, round(score, 4) AS score, meth AS method FROM rc")
 
 # --- blast radius --------------------------------------------------------------------------
@@ -266,6 +284,6 @@ def _feed(s, d):
 _ACT = "act(m, a) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in reports.METRIC_ACTIONS.items()) + ")"
 add("f16_recommendations", _feed, f"""WITH RECURSIVE {PM}, {_LAST}, {scored_sql('lv')}, {_ACT},
 al AS (SELECT a AS action, 'metric' AS source, CASE WHEN s < .2 THEN 1 ELSE 2 END AS priority FROM sc JOIN act USING (m) WHERE s < .5
-UNION ALL SELECT unnest(string_split(rec, '|')[1:2]), 'postmortem', 2 FROM (SELECT * FROM pm ORDER BY det DESC, id LIMIT 10)
-UNION ALL SELECT CASE WHEN rev > 5000 THEN '{reports.REVENUE_ACTION}' ELSE '{reports.CHURN_ACTION}' END, 'blast_radius', CASE WHEN rev > 5000 THEN 1 ELSE 2 END FROM (SELECT * FROM pm ORDER BY det DESC, id LIMIT 5) WHERE rev > 5000 OR ce > 3)
+UNION ALL SELECT unnest(string_split(rec, '|')[1:2]), 'postmortem', 2 FROM pm
+UNION ALL SELECT CASE WHEN rev > 5000 THEN '{reports.REVENUE_ACTION}' ELSE '{reports.CHURN_ACTION}' END, 'blast_radius', CASE WHEN rev > 5000 THEN 1 ELSE 2 END FROM pm WHERE rev > 5000 OR ce > 3)
 SELECT action, source, priority FROM (SELECT *, row_number() OVER (PARTITION BY substr(action, 1, 50), source ORDER BY priority, action) AS k FROM al) WHERE k = 1 ORDER BY priority, action LIMIT 12""")

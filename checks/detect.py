@@ -1,11 +1,12 @@
 """Anomaly detection, incident rules and cascades on the order panel."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.shared import keep
 from checks.views import MONEY, PANEL, SUPPORT, with_rolled, with_wide
 from panelwise import config
-from panelwise.operators import cascades, daily, detection, incidents, ordering
+from panelwise.operators import cascades, daily, detection, graph, incidents, ordering
 from panelwise.sources import star
 
 QUERIES, SQL = {}, {}
@@ -380,12 +381,25 @@ comp AS (SELECT n AS id, min(r) AS c FROM reach GROUP BY n)"""
 SQL["c2_components"] = f"WITH RECURSIVE {PAIR_SQL}, {COMP_SQL} SELECT id AS incident_id, c AS component FROM comp"
 
 
+def _order_links(s, d):
+    """Chains of one customer's orders, in an order that has nothing to do with their ids."""
+    o = star.table(s, d, "orders").select("o_orderkey", "o_custkey", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("h"))
+    return o.select(F.col("o_orderkey").alias("u"), after.alias("v")).where("v IS NOT NULL")
+
+
+QUERIES["c2_components_orders"] = lambda s, d: graph.connected_components(_order_links(s, d), "u", "v")
+SQL["c2_components_orders"] = """WITH RECURSIVE o AS (SELECT o_orderkey AS u, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY md5(o_orderkey::VARCHAR)) AS v FROM orders),
+e AS (SELECT u, v FROM o WHERE v IS NOT NULL UNION SELECT v, u FROM o WHERE v IS NOT NULL), r AS (SELECT u AS n, u AS r FROM e UNION SELECT r.n, e.v FROM r JOIN e ON e.u = r.r)
+SELECT n AS node, min(r) AS component FROM r GROUP BY n"""
+
+
 def _summary(s, d):
     inc, ev = panel_incidents(s, d, LOOK), star.order_panel_events(s, d)
     comp = cascades.components(pairs(s, d))
     full = inc.join(incidents.evidence_counts(inc, ev), "incident_id")
     out = cascades.cascade_summary(full, comp)
-    uniq = cascades.distinct_evidence(incidents.evidence_rows(inc, ev), comp) \
+    uniq = cascades.distinct_evidence(inc, ev, comp) \
         .withColumn("cascade_id", F.concat(F.lit("cascade:"), "component")).drop("component")
     return r(out.join(uniq, "cascade_id").drop("incident_ids").withColumn("cascade_path", F.concat_ws(">", "cascade_path")),
              "cascade_score")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.views import ACTIVITY, LEDGER, MONEY, ORDER, PANEL, SHIPMENT, SUPPORT, with_rolled, with_wide
 from panelwise import config
 from panelwise.operators import daily
+from panelwise.session import cut_lineage
 from panelwise.sources import star
 
 QUERIES, SQL = {}, {}
@@ -63,16 +64,16 @@ def _trend(s, d):
 
 def _churn(s, d):
     ev = star.order_panel_events(s, d)
-    spined = daily.on_spine(daily.daily_base(ev))
+    spined = daily.on_spine(cut_lineage(daily.daily_base(ev)))
     rolled = daily.rolling_metrics(spined).select("metric_date", "_churned_30d")
-    out = daily.churn_proxy(ev, spined.select("metric_date"), rolled)
+    out = daily.churn_proxy(daily.customer_days(ev), spined.select("metric_date"), rolled)
     return _day(daily.rounded(out))
 
 
 def _conc(s, d):
     ev = star.order_events(s, d)
     spine = daily.date_spine(daily.daily_base(ev))
-    return _day(daily.rounded(daily.concentration(ev, spine)))
+    return _day(daily.rounded(daily.concentration(daily.customer_days(ev), spine)))
 
 
 for _name, _fn, _events, _col in [("g13_review_trend", _trend, SUPPORT, "review_score_trend"),

@@ -1,13 +1,18 @@
 """Detectors and models that iterate or learn."""
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from checks.detect import _UNI, MONEY_METRICS, gold_table, money_long, r, text_date, univariate
+from checks.detect import _UNI, LOOK, MONEY_METRICS, gold_table, long_panel, money_long, r, text_date, univariate
 from checks.features import order_star, t
+from checks.raw import AS_OF, bronze
 from checks.views import MONEY, with_rolled
-from panelwise.operators import causes, evaluation, features, forecast, learning, neighbours
-from panelwise.session import cut_lineage
+from panelwise.operators import causes, daily, ensemble, evaluation, features, forecast, learning, neighbours
+from panelwise.plans import analysis
+from panelwise.session import cut_lineage, shared_folder
+from panelwise.sources import star
 
 QUERIES, SQL = {}, {}
 _U = ["value", "rolling_mean", "rolling_std", "deviation", "rate_of_change"]
@@ -54,7 +59,7 @@ def _forecast(s, d):
     return learning.forecast_model(f, [f"lag_{i}" for i in range(14)] + ["mean_7", "std_7", "mean_14", "std_14", "diff_1"])
 
 
-COLS = ["n_items", "installments", "price", "freight", "size", "dow", "month", "seller_orders", "daily_orders", "freight_ratio", "price_per_unit", "same_region"]
+COLS = ["n_items", "installments", "price", "freight", "weight", "dow", "month", "seller_orders", "daily_orders", "freight_ratio", "price_per_gram", "same_region"]
 
 
 def labelled(s, d):
@@ -131,8 +136,8 @@ def _calibrated(s, d):
 @_add("l13_batch_scoring")
 def _scoring(s, d):
     x = labelled(s, d)
-    holes = x.withColumn("size", F.when(F.col("order_id") % 5 != 0, F.col("size")))
-    return learning.score(holes, learning.fit_binary(x, COLS), {"size": 25.0}, 0.4).groupBy("split", "prediction").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    holes = x.withColumn("weight", F.when(F.col("order_id") % 5 != 0, F.col("weight")))
+    return learning.score(holes, learning.fit_binary(x, COLS), {"weight": 25.0}, 0.4).groupBy("split", "prediction").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
 @_add("e8_importance")
@@ -143,6 +148,35 @@ def _importance(s, d):
     return learning.permutation_importance(x.where("split = 'test'"), "order_id", COLS, m).join(own, "feature")
 
 
+@_add("d10_ensemble_days")
+def _ensemble(s, d):
+    wide = daily.rolling_gold(star.money_events(s, d), MONEY_METRICS)
+    return r(text_date(ensemble.anomalous_days(wide, MONEY_METRICS)), "weighted_score")
+
+
+def _folder(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _sizes(tables):
+    """Rows of every output table of a job."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_add("p1_ingest_to_gold")
+def _ingest(s, d):
+    return _sizes(analysis.ingest_to_gold(bronze(s, d), AS_OF, _folder(s, "ingest")))
+
+
+@_add("p2_analyse")
+def _analyse(s, d):
+    return _sizes(analysis.analyse(cut_lineage(long_panel(s, d)), star.order_panel_events(s, d), _folder(s, "analysis"), window_days=LOOK))
+
+
 @_add("r12_granger_edges")
 def _granger(s, d):
     return learning.granger_test(causes.metric_edges(s), gold_table(s, d))

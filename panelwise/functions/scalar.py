@@ -37,20 +37,44 @@ def text_shape(df: DataFrame, col: str) -> DataFrame:
     n = F.length(c)
     return df.withColumns({
         "n_characters": n, "n_words": F.size(words), "mean_word_length": F.coalesce(F.try_divide(letters, F.size(words)), F.lit(0.0)),
-        "has_digit": c.rlike("[0-9]").cast("int"), "has_percent": F.contains(c, F.lit("%")).cast("int"),
-        "upper_ratio": F.regexp_count(c, F.lit(r"[A-Z]")) / F.greatest(n, F.lit(1)),
+        "has_digit": c.rlike(r"\p{Nd}").cast("int"), "has_percent": F.contains(c, F.lit("%")).cast("int"),
+        "upper_ratio": F.regexp_count(c, F.lit(r"\p{Lu}")) / F.greatest(n, F.lit(1)),
         "exclamations": n - F.length(F.replace(c, F.lit("!"), F.lit(""))), "questions": n - F.length(F.replace(c, F.lit("?"), F.lit("")))})
 
 
 def lexicon_score(df: DataFrame, col: str, negative: list[str] = FRUSTRATION, positive: list[str] = CALM) -> DataFrame:
-    """+8 per negative stem contained, -3 per positive one, x 0.7 for short text, clamped to 0..100."""
-    text = F.lower(F.col(col))
-    def found(stems: list[str]) -> Column:
-        return F.filter(F.array(*[F.lit(s) for s in stems]), lambda s: F.contains(text, s))
-    d = df.withColumn("matched", found(negative)).withColumn("_p", F.size(found(positive)))
-    raw = (8.0 * F.size("matched") - 3.0 * F.col("_p")) * F.when(F.length(col) < 20, 0.7).otherwise(1.0)
+    """+8 per negative stem contained, -3 per positive one, x 0.7 for short text, clamped to 0..100.
+
+    ``matched`` names the negative stems, then the positive ones as
+    ``neutral:<stem>``; a text without anything but blanks has ``no_text``.
+    The text is lower-cased once and searched for all stems in one pass each.
+    """
+    lowered = df.withColumn("_low", F.lower(F.col(col)))
+
+    def found(stems: list[str], prefix: str = "") -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(s)), F.lit(prefix + s)) for s in stems]))
+
+    d = lowered.withColumn("_n", found(negative)).withColumn("_p", found(positive, "neutral:"))
+    raw = (8.0 * F.size("_n") - 3.0 * F.size("_p")) * F.when(F.length(col) < 20, 0.7).otherwise(1.0)
     s = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
-    return d.withColumn("score", s).withColumn("bucket", F.when(s < 15, "low").when(s < 35, "medium").when(s < 55, "high").otherwise("critical")).drop("_p")
+    blank = F.coalesce(F.trim(F.col(col)) == "", F.lit(True))
+    scored = d.withColumn("matched", F.when(blank, F.array(F.lit("no_text"))).otherwise(F.concat("_n", "_p"))) \
+        .withColumn("score", F.when(blank, 0.0).otherwise(s))
+    bucket = F.when(F.col("score") < 15, "low").when(F.col("score") < 35, "medium").when(F.col("score") < 55, "high").otherwise("escalating_frustration")
+    return scored.withColumn("bucket", bucket).drop("_low", "_n", "_p")
+
+
+def sentiment_summary(scored: DataFrame) -> DataFrame:
+    """One row over scored tickets: how many, how many escalating, how many at high risk, and the mean score."""
+    return scored.agg(
+        F.count("*").alias("tickets_analyzed"), F.count_if(F.col("bucket") == "escalating_frustration").alias("escalating_frustration_count"),
+        F.count_if(F.col("bucket").isin("high", "escalating_frustration")).alias("high_risk_count"),
+        F.coalesce(F.round(F.avg(F.round("score", 1)), 2), F.lit(0.0)).alias("avg_sentiment_score"))
+
+
+def top_tickets(scored: DataFrame, key: str, created: str, n: int = 20) -> DataFrame:
+    """The ``n`` tickets with the highest scores, oldest first among equals (a report)."""
+    return scored.orderBy(F.round("score", 1).desc(), F.col(created), F.col(key)).limit(n)
 
 
 def sentiment_label(df: DataFrame, score: str, text: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelwise import config
 from panelwise.functions.stats import erfc
 from panelwise.operators.incidents import _windows, daily_type_counts
-from panelwise.session import cut_lineage
+from panelwise.operators.graph import connected_components
 
 EMPTY_OVERLAP = 0.1
 
@@ -81,27 +81,9 @@ def cascade_pairs_from_events(inc: DataFrame, ev: DataFrame, threshold: float =
     return _scored(sized, threshold).select(*by, "a_id", "b_id", "temporal_weight", "overlap", "score")
 
 
-def components(pairs: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: int = 60) -> DataFrame:
-    """Connected components as (node, component): component is the smallest node id.
-
-    Each round every node takes the smallest label among itself, its
-    neighbours and its label's own label (pointer jumping), so long chains
-    settle in logarithmically many rounds. Every round is checkpointed.
-    """
-    edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = cut_lineage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                        .where("u <> v").distinct())
-    labels = cut_lineage(edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = cut_lineage(step.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            break
-    return labels.select(F.col("node").alias("incident_id"), F.col("label").alias("component"))
+def components(pairs: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
+    """Connected components as (incident_id, component): component is the smallest incident id."""
+    return connected_components(pairs, a, b).withColumnRenamed("node", "incident_id")
 
 
 def _map(values: dict) -> Column:
@@ -132,10 +114,16 @@ def cascade_summary(inc: DataFrame, comp: DataFrame) -> DataFrame:
         .alias("cascade_score"))
 
 
-def distinct_evidence(evidence: DataFrame, comp: DataFrame) -> DataFrame:
-    """Distinct evidence events per cascade, from (incident_id, event_id) rows."""
-    return evidence.join(comp, "incident_id").select("component", "event_id").distinct() \
-        .groupBy("component").agg(F.count("*").alias("unique_evidence_entities"))
+def distinct_evidence(inc: DataFrame, ev: DataFrame, comp: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct evidence events per cascade.
+
+    An event is evidence by its type and day, and every event id occurs once:
+    the distinct (type, day) cells of a cascade, weighted with the daily event
+    counts, give the number without touching an event.
+    """
+    cells = _windows(inc, by).join(comp, "incident_id").select(*by, "component", "event_type", "event_date").distinct()
+    return cells.join(daily_type_counts(ev, by), [*by, "event_type", "event_date"]) \
+        .groupBy(*by, "component").agg(F.sum("n").alias("unique_evidence_entities"))
 
 
 def recurring_patterns(inc: DataFrame, as_of: str | Column, lookback_days: int = 365) -> DataFrame:

@@ -201,16 +201,44 @@ def _coverage(actual: Column, expected: int) -> Column:
     return F.when(share >= 0.9, 1.0).when(share >= 0.7, 0.9).when(share >= 0.5, 0.75).otherwise(0.5)
 
 
+def fallback_chain(edges: list[tuple[str, str]], metric: str, deepest: int = 4) -> list[str]:
+    """The graph's account of a metric: everything upstream within ``deepest`` steps, causes before effects, the metric last.
+
+    Causes are visited in the order of the edges, each once. A metric without
+    causes is followed by its first effect instead.
+    """
+    causes_of: dict[str, list[str]] = {}
+    for src, dst in edges:
+        causes_of.setdefault(dst, []).append(src)
+    chain: list[str] = []
+    seen = {metric}
+    trail = [(metric, iter(causes_of.get(metric, [])))]
+    while trail:
+        at, left = trail[-1]
+        cause = next((c for c in left if c not in seen), None) if len(trail) <= deepest else None
+        if cause is None:
+            chain.append(at)
+            trail.pop()
+        else:
+            seen.add(cause)
+            trail.append((cause, iter(causes_of.get(cause, []))))
+    return chain if len(chain) > 1 else chain + [dst for src, dst in edges if src == metric][:1]
+
+
 def root_causes(inc: DataFrame, cands: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """Ranked causes; incidents without a qualifying candidate get the graph neighbours with decaying scores."""
+    """Ranked causes; incidents without a qualifying candidate get the graph's chain with decaying scores.
+
+    The graph has at most names x names edges, so its chains (one per incident
+    type) are a small table made on the driver.
+    """
     ranked = rank_causes(cands, k).select("incident_id", "rank", "metric_name", "score", F.lit("statistical").alias("method"))
     target = F.create_map(*[F.lit(x) for kv in config.INCIDENT_METRIC.items() for x in kv])
     none = inc.join(ranked.select("incident_id").distinct(), "incident_id", "left_anti") \
         .select("incident_id", F.element_at(target, F.col("incident_type")).alias("target"))
-    order = W.partitionBy("metric").orderBy("hops", "upstream")
-    chain = graph_closure(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        F.col("metric").alias("target"), "rank", F.col("upstream").alias("metric_name"),
-        F.when(F.col("hops") == 0, 0.95).otherwise(F.greatest(F.lit(0.1), 0.9 - (F.col("rank") - 1) * 0.15)).alias("score"))
+    known = [(r["src"], r["dst"]) for r in edges.select("src", "dst").collect()]
+    rows = [(m, i + 1, name, 0.95 if name == m else max(0.1, 0.9 - i * 0.15))
+            for m in sorted(set(config.INCIDENT_METRIC.values())) for i, name in enumerate(fallback_chain(known, m))]
+    chain = literal_table(inc.sparkSession, rows, "target string, rank int, metric_name string, score double")
     return ranked.unionByName(none.join(F.broadcast(chain), "target").select(
         "incident_id", "rank", "metric_name", "score", F.lit("graph").alias("method")))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwise import config
 from panelwise.functions.stats import safe_divide
+from panelwise.session import cut_lineage
 
 ROUNDING = 6
 EXACT = "decimal(38,6)"
@@ -148,16 +149,21 @@ def review_trend(by: tuple[str, ...] = (), days: int = 14, start: float = 3.0) -
 
 
 def customer_days(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct (customer, day): the event entity when it is a customer, and the related customer."""
-    seen = F.array_distinct(F.array_compact(F.array(
-        F.when(F.col("entity_type") == "customer", F.col("entity_id")),
-        F.element_at("related", F.lit("customer")))))
-    return ev.select(*by, F.to_date("event_time").alias("metric_date"), F.explode(seen).alias("customer")) \
-        .groupBy(*by, "customer", "metric_date").agg(F.lit(1).alias("_seen"))
+    """One row per customer and day with an event: the event entity when it is a customer, and the related customer.
+
+    ``paid`` is the day's revenue of the related customer, null without any.
+    Both customer metrics follow from this table, so events are read once for it.
+    """
+    related = F.element_at("related", F.lit("customer"))
+    seen = F.array_distinct(F.array_compact(F.array(F.when(F.col("entity_type") == "customer", F.col("entity_id")), related)))
+    revenue = F.when(F.col("event_type").isin(REVENUE) & (F.col("amount") != 0), F.col("amount").cast(EXACT))
+    each = F.transform(seen, lambda c: F.struct(c.alias("customer"), F.when(c == related, revenue).alias("paid")))
+    return ev.select(*by, F.to_date("event_time").alias("metric_date"), F.inline(each)) \
+        .groupBy(*by, "customer", "metric_date").agg(F.sum("paid").cast(EXACT).alias("paid"))
 
 
-def active_customers(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), days: int = 30) -> DataFrame:
-    """Distinct customers seen in the trailing window of every spine day.
+def active_customers(people: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), days: int = 30) -> DataFrame:
+    """Distinct customers of :func:`customer_days` seen in the trailing window of every spine day.
 
     A customer counts from each sighting until the window ends or the next
     sighting starts: +1 on the first day, -1 on the day after the last one.
@@ -166,7 +172,7 @@ def active_customers(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (),
     w = W.partitionBy(*by, "customer").orderBy("metric_date")
     ends = F.least(F.date_add("metric_date", days),
                    F.coalesce(F.lead("metric_date").over(w), F.date_add("metric_date", days)))
-    spans = customer_days(ev, by).withColumn("_end", ends)
+    spans = people.withColumn("_end", ends)
     deltas = spans.select(*by, F.inline(F.array(
         F.struct(F.col("metric_date"), F.lit(1).alias("d")),
         F.struct(F.col("_end").alias("metric_date"), F.lit(-1).alias("d"))))) \
@@ -183,14 +189,14 @@ def _running_on_spine(deltas: DataFrame, spine: DataFrame, by: tuple[str, ...],
         .where("_on").drop("_on")
 
 
-def churn_proxy(ev: DataFrame, spine: DataFrame, churned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def churn_proxy(people: DataFrame, spine: DataFrame, churned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """30-day churned events over distinct customers seen (at least 1)."""
     keys = [*by, "metric_date"]
-    return active_customers(ev, spine, by).join(churned, keys).select(
+    return active_customers(people, spine, by).join(churned, keys).select(
         *keys, safe_divide(F.col("_churned_30d"), F.greatest(F.col("active"), F.lit(1))).alias("churn_proxy"))
 
 
-def concentration(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), days: int = 30) -> DataFrame:
+def concentration(people: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), days: int = 30) -> DataFrame:
     """30-day revenue share of the top max(1, n div 10) customers, for every spine day.
 
     A customer's trailing revenue is constant between its change days, so it is
@@ -198,11 +204,7 @@ def concentration(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), day
     deltas; only the bucket that contains the cut rank is ranked exactly.
     """
     keys = [*by, "metric_date"]
-    paid = ev.where(F.col("event_type").isin(REVENUE)).select(
-        *by, F.to_date("event_time").alias("metric_date"),
-        F.element_at("related", F.lit("customer")).alias("customer"),
-        F.col("amount").cast(EXACT).alias("amount")).where("customer is not null and amount <> 0")
-    per_day = paid.groupBy(*by, "customer", "metric_date").agg(F.sum("amount").alias("amount"))
+    per_day = people.where("paid is not null").select(*by, "customer", "metric_date", F.col("paid").alias("amount"))
     changes = per_day.select(*by, "customer", F.inline(F.array(
         F.struct(F.col("metric_date"), F.col("amount"), F.lit(1).alias("n")),
         F.struct(F.date_add("metric_date", days).alias("metric_date"), (-F.col("amount")).alias("amount"),
@@ -240,10 +242,10 @@ def concentration(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), day
 
     inside = spans.select(*by, "bucket", "amount", F.explode(F.sequence(
         F.col("start"), F.date_sub("stop", 1), F.expr("interval 1 day"))).alias("metric_date")) \
-        .join(F.broadcast(cut.select(*keys, "bucket")), [*keys, "bucket"]) \
+        .join(cut.select(*keys, "bucket"), [*keys, "bucket"]) \
         .groupBy(*keys, "amount").agg(F.count(F.lit(1)).alias("n"))
     before = wd.orderBy(F.desc("amount")).rowsBetween(W.unboundedPreceding, -1)
-    part = inside.join(F.broadcast(cut.select(*keys, (F.col("take") - F.col("n_above")).alias("need"))), keys) \
+    part = inside.join(cut.select(*keys, (F.col("take") - F.col("n_above")).alias("need")), keys) \
         .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))) \
         .groupBy(*keys).agg(F.sum(F.col("amount") * F.greatest(
             F.lit(0), F.least(F.col("n"), F.col("need") - F.col("_before")))).alias("partial"))
@@ -254,14 +256,19 @@ def concentration(ev: DataFrame, spine: DataFrame, by: tuple[str, ...] = (), day
 
 def gold_wide(ev: DataFrame, by: tuple[str, ...] = (), lo: str | None = None, hi: str | None = None,
               digits: int = ROUNDING) -> DataFrame:
-    """All 27 metrics, one row per series and calendar day."""
+    """All 27 metrics, one row per series and calendar day.
+
+    Events are read twice, for the daily and for the customer-day table; both
+    are written and everything else is derived from them.
+    """
     keys = [*by, "metric_date"]
-    daily = daily_base(ev, by)
+    daily = cut_lineage(daily_base(ev, by))
+    people = cut_lineage(customer_days(ev, by))
     spined = on_spine(daily, by, lo, hi)
     rolled = rolling_metrics(spined, by)
     spine = spined.select(*keys)
-    wide = rolled.join(churn_proxy(ev, spine, rolled.select(*keys, "_churned_30d"), by), keys) \
-        .join(concentration(ev, spine, by), keys)
+    wide = rolled.join(churn_proxy(people, spine, rolled.select(*keys, "_churned_30d"), by), keys) \
+        .join(concentration(people, spine, by), keys)
     return rounded(wide.select(*keys, *config.METRICS), digits)
 
 

@@ -79,18 +79,19 @@ def series_metrics(pred: DataFrame, series: str, extra: tuple[str, ...] = ()) ->
                           "flag_rate": (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
 
 
-def roc_band(pred: DataFrame, key: str, draws: int = 50, grid: int = 20, seed: int = 11, bins: int = 1000) -> DataFrame:
+def roc_band(pred: DataFrame, key: str, draws: int = 1000, grid: int = 200, seed: int = 11, bins: int = 10_000) -> DataFrame:
     """Percentile band of the ROC curve over Poisson-weighted resamples.
 
     Weights follow from a hash of the row and the draw, so the result does not
     depend on partitioning. Counts are summed per draw and score bin (bounded)
-    before any cumulative step.
+    before any cumulative step. Every draw starts at (0, 0), so all of them
+    count at every false-positive rate.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    # inverse Poisson(1) distribution, cumulative probabilities up to 6
+    # inverse Poisson(1) distribution, cumulative probabilities up to 12
     weight = F.lit(0)
     total, term = 0.0, 0.36787944117144233
-    for j in range(7):
+    for j in range(13):
         total += term
         weight = weight + (u > total).cast("int")
         term /= j + 1
@@ -100,6 +101,7 @@ def roc_band(pred: DataFrame, key: str, draws: int = 50, grid: int = 20, seed: i
     w = W.partitionBy("draw").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
     a = W.partitionBy("draw")
     c = x.select("draw", (F.sum("p").over(w) / F.sum("p").over(a)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(a)).alias("fpr"))
-    at = c.withColumn("fpr_grid", F.explode(F.sequence(F.ceil(F.col("fpr") * grid).cast("int"), F.lit(grid)))).groupBy("draw", "fpr_grid").agg(F.max("tpr").alias("tpr"))
+    start = c.select("draw").distinct().select("draw", F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    at = c.unionByName(start).withColumn("fpr_grid", F.explode(F.sequence(F.ceil(F.col("fpr") * grid).cast("int"), F.lit(grid)))).groupBy("draw", "fpr_grid").agg(F.max("tpr").alias("tpr"))
     return at.groupBy("fpr_grid").agg(F.avg("tpr").alias("mean_tpr"), F.percentile("tpr", F.lit(0.025)).alias("low"), F.percentile("tpr", F.lit(0.975)).alias("high"))
 

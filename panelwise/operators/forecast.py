@@ -286,7 +286,7 @@ def propagate(scenarios: DataFrame, base: DataFrame) -> DataFrame:
     targets = edges.join(base.select(F.col("metric_name").alias("dst"), F.col("metric_value").alias("base")), "dst") \
         .groupBy("metric_name").agg(F.collect_list(F.struct("dst", "corr", "base")).alias("t")) \
         .agg(F.map_from_entries(F.collect_list(F.struct("metric_name", "t"))).alias("m"))  # one row, 14 edges
-    state = scenarios.join(F.broadcast(base), "metric_name").select(
+    state = scenarios.join(base, "metric_name").select(
         "scenario", "metric_name", F.col("metric_value").alias("base"), (F.col("metric_value") * (1 + F.col("change_pct") / 100.0)).alias("value"),
         F.lit(0).alias("depth")).withColumn("expanded", F.abs(F.col("value") - F.col("base")) <= 1e-6)
     for hop in range(MAX_HOPS):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.session import cut_lineage
+from panelwise.session import written
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,11 +20,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     very many neighbours is aggregated before the shuffle.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     near = both.where("u <> v")
     # the first round needs no pointers: everybody points to itself
     start = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("to"))
-    pointers = cut_lineage(start)
+    pointers = written(start)
     while True:
         to_u = pointers.select(F.col("node").alias("u"), F.col("to").alias("pu"))
         to_v = pointers.select(F.col("node").alias("v"), F.col("to").alias("pv"))
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         above = pointers.select(F.col("node").alias("to"), F.col("to").alias("up"))
         step = pointers.join(offers, "node", "left").join(above, "to", "left") \
             .select("node", F.col("to").alias("old"), F.least("to", "offer", "up").alias("to"))
-        step = cut_lineage(step)
+        step = written(step, "pointers")
         pointers = step.select("node", "to")
         if step.where("old <> to").isEmpty():
             return pointers.select("node", F.col("to").alias("component"))

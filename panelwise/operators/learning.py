@@ -15,7 +15,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,13 +26,21 @@ SEED = 42
 
 
 # --- isolation forest ------------------------------------------------------------
-def isolation_forest(points: DataFrame, trees: int = 100, sample: int = 256, contamination: float = 0.02) -> DataFrame:
-    """(id, score, is_anomaly): mean path length over trees grown on hash samples of the rows."""
+def isolation_forest(points: DataFrame, trees: int = 200, sample: int = 256, contamination: float = 0.02) -> DataFrame:
+    """(id, score, is_anomaly): mean path length over trees grown on hash samples of the rows.
+
+    Each tree takes about ``sample`` rows, whatever the table's size: a pool of
+    64 times as many rows is hashed from the table first, and the trees draw
+    from the pool, so the table is not multiplied by the number of trees.
+    """
     n = points.count()
-    rate = min(1.0, sample / max(n, 1))
     depth = math.ceil(math.log2(max(2, min(sample, n))))
-    picked = points.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")) \
-        .where(F.pmod(F.xxhash64("id", "tree"), F.lit(1_000_000)) < int(rate * 1_000_000))
+
+    def uniform(*keys: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    pool = cut_lineage(points.select("id", "features").where(uniform("id") < min(1.0, 64 * sample / max(n, 1))))
+    rate = min(1.0, sample / max(pool.count(), 1))
+    picked = pool.select("id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(uniform("id", "tree") < rate)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -154,8 +162,8 @@ def fit_stacked(train: DataFrame, key: str, columns: list[str], kinds: tuple[str
     return lambda df: score(apply(df, base), meta, {})
 
 
-def text_pipeline(kind: str, text: str = "text", vocabulary: int = 5000, min_df: int = 3) -> Pipeline:
-    """Tokens, bigrams, counts and idf in front of a text classifier."""
+def text_pipeline(kind: str, text: str = "text", vocabulary: int = 1 << 24, min_df: int = 3) -> Pipeline:
+    """Tokens, bigrams, counts and idf in front of a text classifier; all terms of at least ``min_df`` texts unless ``vocabulary`` is set."""
     model = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "bayes": lambda: NaiveBayes(),
              "forest": lambda: RandomForestClassifier(numTrees=20, seed=SEED), "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=15))}[kind]()
     return Pipeline(stages=[
@@ -237,7 +245,7 @@ def granger_test(pairs: DataFrame, gold: DataFrame, max_lag: int = 7, alpha: flo
     g = gold.where("metric_value is not null")
     a = g.select(F.col("metric_name").alias("src"), "metric_date", F.col("metric_value").alias("x"))
     b = g.select(F.col("metric_name").alias("dst"), "metric_date", F.col("metric_value").alias("y"))
-    series = a.join(F.broadcast(pairs.select("src", "dst")), "src").join(b, ["dst", "metric_date"])
+    series = a.join(pairs.select("src", "dst"), "src").join(b, ["dst", "metric_date"])
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("metric_date")
@@ -285,6 +293,26 @@ def discover_edges(gold: DataFrame, names: list[str], max_lag: int = 7) -> DataF
 
 
 def granger_like(pairs: DataFrame, gold: DataFrame, lags: int = 3) -> DataFrame:
-    """1 - p of the same test at one fixed lag order."""
-    t = granger_test(pairs, gold, max_lag=lags, min_extra=5)
-    return t.select("src", "dst", F.coalesce(1.0 - F.col("p_value"), F.lit(0.0)).alias("score"))
+    """1 - p of one F test: do ``lags`` past values of src explain dst beyond its own ``lags`` past values?
+
+    Both regressions are without intercept. Fewer than lags + 5 common days,
+    no spare degree of freedom or a perfect fit give 0. A group is one pair's
+    daily series (bounded by the calendar).
+    """
+    g = gold.where("metric_value is not null")
+    a = g.select(F.col("metric_name").alias("src"), "metric_date", F.col("metric_value").alias("x"))
+    b = g.select(F.col("metric_name").alias("dst"), "metric_date", F.col("metric_value").alias("y"))
+    series = a.join(pairs.select("src", "dst"), "src").join(b, ["dst", "metric_date"])
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("metric_date")
+        x, y, n, score = p["x"].to_numpy(), p["y"].to_numpy(), len(p), 0.0
+        if n >= lags + 5:
+            own = np.column_stack([y[lags - i:n - i] for i in range(1, lags + 1)])
+            both = np.column_stack([own, *[x[lags - i:n - i] for i in range(1, lags + 1)]])
+            rss = [float(((y[lags:] - m @ np.linalg.lstsq(m, y[lags:], rcond=None)[0]) ** 2).sum()) for m in (own, both)]
+            spare = n - lags - 2 * lags
+            if spare > 0 and rss[1] > 0:
+                score = max(0.0, 1.0 - f_tail(max(0.0, (rss[0] - rss[1]) / lags / (rss[1] / spare)), lags, spare))
+        return pd.DataFrame([(p["src"].iloc[0], p["dst"].iloc[0], round(score, 4))], columns=["src", "dst", "score"])
+    return series.groupBy("src", "dst").applyInPandas(test, "src string, dst string, score double")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwise import config
-from panelwise.session import literal_table
+from panelwise.session import literal_table, written
 
 _TOKEN = re.compile(r"\s*(?:(value|baseline)\b|(abs|min|max)\b|(\d+(?:\.\d+)?)|(>=|<=|==|!=|[-+*/()<>,])|(and|or|not)\b)")
 
@@ -67,26 +67,44 @@ def render_alerts(alerts: DataFrame, template: str) -> DataFrame:
 def suppress(alerts: DataFrame, hours: float = config.SUPPRESSION_HOURS) -> DataFrame:
     """Mark alerts that follow an emitted alert of the same monitor too closely.
 
-    Suppressed alerts do not extend the window, so the decision is a fold in
-    time order. A gap of at least ``hours`` always restarts it, so each monitor
-    is cut at such gaps and the stretches are folded independently; equal
-    timestamps of a monitor are folded once.
+    Suppressed alerts do not extend the window, so what an emitted alert leads
+    to is fixed: the monitor's first alert at least ``hours`` later. Times are
+    cut into buckets of that length, and each time finds its successor in the
+    next bucket or, if that has none, at the start of the next bucket in use.
+    An alert with nothing in the span before it is always emitted; from these
+    all others are reached by following successors, twice as far in every
+    round. No task holds the alerts of a whole monitor.
     """
     span = int(hours * 3600 * 1_000_000)
-    at = alerts.select("monitor_id", F.unix_micros("triggered_at").alias("t")).distinct()
-    w = W.partitionBy("monitor_id").orderBy("t")
-    cut = (F.col("t") - F.lag("t").over(w) >= span) | F.lag("t").over(w).isNull()
-    stretches = at.withColumn("stretch", F.sum(F.when(cut, 1).otherwise(0)).over(w)) \
-        .groupBy("monitor_id", "stretch").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    kept = F.aggregate("ts", F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-                       lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= span), F.struct(
-                           t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc),
-                       lambda acc: acc["kept"])
-    emitted = stretches.select("monitor_id", F.explode(kept).alias("_t")).withColumn("_e", F.lit(True))
-    first = W.partitionBy("monitor_id", "triggered_at").orderBy("alert_id")
-    return alerts.withColumn("_t", F.unix_micros("triggered_at")).withColumn("_first", F.row_number().over(first) == 1) \
-        .join(emitted, ["monitor_id", "_t"], "left") \
-        .withColumn("suppressed", ~(F.coalesce("_e", F.lit(False)) & F.col("_first"))).drop("_t", "_e", "_first")
+    times = written(alerts.where("triggered_at IS NOT NULL").select("monitor_id", F.unix_micros("triggered_at").alias("t")).distinct()
+                        .withColumn("b", F.floor(F.col("t") / span)))
+    wb = W.partitionBy("monitor_id").orderBy("b")  # one row per bucket in use
+    buckets = written(times.groupBy("monitor_id", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+                          .withColumns({"before": F.lag("hi").over(wb), "after": F.lead("lo").over(wb), "after_b": F.lead("b").over(wb), "after2": F.lead("lo", 2).over(wb)}))
+    w = W.partitionBy("monitor_id", "b").orderBy("t")
+    starts = times.withColumn("prev", F.lag("t").over(w)).join(buckets.select("monitor_id", "b", "before"), ["monitor_id", "b"]) \
+        .withColumn("prev", F.coalesce("prev", "before")).where("prev IS NULL OR t - prev >= " + str(span)).select("monitor_id", "t")
+    # ask the next bucket for the first time not below t + span
+    asked = times.select("monitor_id", (F.col("b") + 1).alias("b"), (F.col("t") + span).alias("at"), F.col("t").alias("of")) \
+        .unionByName(times.select("monitor_id", "b", F.col("t").alias("at"), F.lit(None).cast("long").alias("of")))
+    later = W.partitionBy("monitor_id", "b").orderBy("at").rangeBetween(0, W.unboundedFollowing)
+    near = asked.withColumn("found", F.min(F.when(F.col("of").isNull(), F.col("at"))).over(later)).where("of IS NOT NULL") \
+        .select("monitor_id", F.col("of").alias("t"), "found", (F.col("b") - 1).alias("b"))
+    beyond = F.when(F.col("after_b") == F.col("b") + 1, F.col("after2")).otherwise(F.col("after"))
+    jumps = written(near.join(buckets, ["monitor_id", "b"]).select("monitor_id", "t", F.coalesce("found", beyond).alias("to")).where("to IS NOT NULL"))
+    emitted = written(starts)
+    while True:
+        reached = emitted.join(jumps, ["monitor_id", "t"]).select("monitor_id", F.col("to").alias("t")).join(emitted, ["monitor_id", "t"], "left_anti").distinct()
+        reached = written(reached)
+        if reached.isEmpty():
+            break
+        emitted = written(emitted.unionByName(reached))
+        onward = jumps.select("monitor_id", F.col("t").alias("to"), F.col("to").alias("further"))
+        jumps = written(jumps.join(onward, ["monitor_id", "to"]).select("monitor_id", "t", F.col("further").alias("to")))
+    first = alerts.groupBy("monitor_id", F.unix_micros("triggered_at").alias("_t")).agg(F.min("alert_id").alias("_first"))
+    passed = first.join(emitted.select("monitor_id", F.col("t").alias("_t")), ["monitor_id", "_t"])
+    return alerts.withColumn("_t", F.unix_micros("triggered_at")).join(passed, ["monitor_id", "_t"], "left") \
+        .withColumn("suppressed", ~F.coalesce(F.col("alert_id") == F.col("_first"), F.lit(False))).drop("_t", "_first")
 
 
 def route(alerts: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,8 +48,9 @@ def metric_cards(gold: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key by ``order`` (ascending): an aggregate, so a hot key is reduced before the shuffle."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*named).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def timeseries(gold: DataFrame, name: str, as_of: str, days: int) -> DataFrame:

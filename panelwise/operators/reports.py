@@ -30,17 +30,17 @@ REVENUE_ACTION = "Contact customers with high revenue at risk — prioritize col
 CHURN_ACTION = "Reach out to churn-risk customers — offer retention incentives"
 
 
-def recommendations(scores: DataFrame, postmortems: DataFrame, blast: DataFrame, n: int = 5, recent: int = 10, recent_blast: int = 5) -> DataFrame:
+def recommendations(scores: DataFrame, postmortems: DataFrame, blast: DataFrame, n: int = 5, recent: int | None = None, recent_blast: int | None = None) -> DataFrame:
     """Union of weak metrics, recent postmortem actions and high exposure; deduplicated, top n.
 
-    ``recent`` and ``recent_blast`` are the listing lengths of the feed (newest incidents first).
+    All incidents count; ``recent`` and ``recent_blast`` restrict the feed to so many of the newest ones.
     """
     actions = F.create_map(*[F.lit(x) for kv in METRIC_ACTIONS.items() for x in kv])
     weak = scores.where(F.col("status").isin("critical", "warning")).select(
         F.element_at(actions, F.col("metric_name")).alias("action"), F.lit("metric").alias("source"), F.when(F.col("status") == "critical", 1).otherwise(2).alias("priority"))
     newest = [F.desc("detected_at"), F.col("incident_id")]
-    done = postmortems.orderBy(*newest).limit(recent).select(F.explode(F.slice("recommendations", 1, 2)).alias("action"), F.lit("postmortem").alias("source"), F.lit(2).alias("priority"))
-    risky = blast.orderBy(*newest).limit(recent_blast).withColumn("action", F.when(F.col("revenue_exposure") > 5000, REVENUE_ACTION)
+    done = (postmortems.orderBy(*newest).limit(recent) if recent else postmortems).select(F.explode(F.slice("recommendations", 1, 2)).alias("action"), F.lit("postmortem").alias("source"), F.lit(2).alias("priority"))
+    risky = (blast.orderBy(*newest).limit(recent_blast) if recent_blast else blast).withColumn("action", F.when(F.col("revenue_exposure") > 5000, REVENUE_ACTION)
                                                                  .when(F.col("churn_exposure") > 3, CHURN_ACTION)).where("action is not null") \
         .select("action", F.lit("blast_radius").alias("source"), F.when(F.col("revenue_exposure") > 5000, 1).otherwise(2).alias("priority"))
     both = weak.unionByName(done).unionByName(risky)

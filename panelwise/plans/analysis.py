@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.operators import blast, cascades, causes, daily, detection, incidents, quality, reports, silver
+from panelwise import config
+from panelwise.operators import blast, cascades, causes, daily, detection, ensemble, incidents, quality, reports, silver
 
 
 def _table(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
@@ -43,7 +44,10 @@ def analyse(gold: DataFrame, events: DataFrame, folder: str, window_days: int =
     """Incidents of every day with evidence, cascades, causes, blast radius and reports."""
     z = _table(detection.mad_zscore(gold), folder, "zscores")
     changes = _table(detection.break_flags(gold, detection.changepoints(gold)), folder, "changes")
-    inc = _table(incidents.incidents(z, breaks=changes, window_days=window_days), folder, "incidents")
+    names = [m for m in config.METRICS if m in {r[0] for r in gold.select("metric_name").distinct().collect()}]
+    wide = gold.groupBy("metric_date").pivot("metric_name", names).agg(F.first("metric_value")).fillna(0.0, subset=names)
+    days = _table(ensemble.anomalous_days(wide, names), folder, "anomalous_days")
+    inc = _table(incidents.incidents(z, ml=days, breaks=changes, window_days=window_days), folder, "incidents")
     counts = _table(incidents.evidence_counts(inc, events), folder, "evidence_counts")
     pairs = _table(cascades.cascade_pairs_from_events(inc, events), folder, "cascade_pairs")
     comp = cascades.components(pairs)
@@ -54,5 +58,5 @@ def analyse(gold: DataFrame, events: DataFrame, folder: str, window_days: int =
     spine = gold.select("metric_date").distinct()
     hit = _table(blast.blast_severity(blast.impact(inc, events, spine), blast.followups(inc)), folder, "blast")
     done = _table(reports.postmortems(inc, ranked, hit), folder, "postmortems")
-    return {"zscores": z, "incidents": inc, "evidence_counts": counts, "cascade_pairs": pairs, "cascades": summary, "candidates": cands,
+    return {"zscores": z, "anomalous_days": days, "incidents": inc, "evidence_counts": counts, "cascade_pairs": pairs, "cascades": summary, "candidates": cands,
             "causes": ranked, "blast": hit, "postmortems": done}

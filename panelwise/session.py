@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    For loops: a checkpoint keeps the size estimate of its plan, and estimates
+    of joins multiply from round to round; a table has its real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table built from literals inside the plan (no driver data transfer)."""
     fields = T.StructType.fromDDL(schema).fields

@@ -199,7 +199,7 @@ def _issue(name: str, df: DataFrame) -> DataFrame:
 
 
 def audit_dataset(invoices: DataFrame, bills: DataFrame, payments: DataFrame, customers: DataFrame,
-                  vendors: DataFrame, items: DataFrame, credit_memos: DataFrame) -> DataFrame:
+                  vendors: DataFrame, items: DataFrame) -> DataFrame:
     """Completeness, orphan references and payment consistency; one row per check.
 
     Invoices carry (Id, customer, TotalAmt), bills (vendor), payments
@@ -215,11 +215,9 @@ def audit_dataset(invoices: DataFrame, bills: DataFrame, payments: DataFrame, cu
     orphan_bill = bills.where("vendor is not null").join(vendors, F.col("vendor") == vendors["Id"], "left_anti")
     linked = payments.select(F.col("TotalAmt").alias("paid"), F.explode("linked").alias("_id"))
     off = linked.join(invoices.select(F.col("Id").alias("_id"), "TotalAmt"), "_id").where(F.abs(F.col("paid") - F.col("TotalAmt")) > 0.01)
-    few = credit_memos.agg(F.when(F.count("*") > 50, 0).otherwise(1).cast("long").alias("failures")) \
-        .select(F.lit("refund_spike_pattern_present").alias("check"), "failures")
     checks = complete.unionByName(_issue("invoice_customer_integrity", orphan_inv)) \
         .unionByName(_issue("bill_vendor_integrity", orphan_bill)) \
-        .unionByName(_issue("payment_amount_consistency", off)).unionByName(few)
+        .unionByName(_issue("payment_amount_consistency", off))
     done = checks.withColumn("passed", F.col("failures") == 0)
     return done.withColumn("quality_score", F.avg(F.col("passed").cast("int")).over(W.partitionBy()))
 
