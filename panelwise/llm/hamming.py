@@ -84,7 +84,8 @@ def top_k(codes: DataFrame, queries: DataFrame, length: int, k: int = 10, key: s
                 part = active.withColumn("masks", _masks(spark, wide, radius)).select("code", F.explode("masks").alias("mask")) \
                     .select(F.col("code").alias("query"), F.lit(s).alias("segment"), F.col("code")[s].bitwiseXOR(F.col("mask")).alias("value"))
                 probes = part if probes is None else probes.unionByName(part)
-        new = probes.join(postings, ["segment", "value"]).select("query", "code", "ids").distinct() \
+        # the size of exploded probes is not in Spark's estimates, which would send them to every task by way of the driver
+        new = probes.hint("merge").join(postings, ["segment", "value"]).select("query", "code", "ids").distinct() \
             .select("query", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id"))
         if found is not None:
             new = new.unionByName(found)
