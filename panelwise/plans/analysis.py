@@ -16,7 +16,9 @@ from panelwise.operators import blast, cascades, causes, daily, detection, ensem
 
 def _table(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
     path = f"{folder}/{name}"
-    writer = df.write.mode("overwrite")
+    # rows of one folder are brought together first, so that tasks do not each write a file into every folder
+    rows = df.repartition(by) if by else df
+    writer = rows.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
