@@ -2,12 +2,15 @@
 
 A file's text is cut into statements (lines and sentences). A statement whose
 TF-IDF vector has a cosine of at least ``threshold`` with a template is a
-notice of that licence. Only statements with an anchor term are looked at: the
-anchors are chosen so that, by the Cauchy-Schwarz bound, no statement without
-one can reach the threshold. Equal statements are scored once, so a notice
-that stands in a third of all files is one row. A licence file speaks for its
-directory; a file without a notice takes the licence of the nearest directory
-above it that has one.
+notice of that licence, and so is one that is longer than the template and has
+a stretch of the template's length that does, or that has one of the fixed
+phrases or is a licence file's title. Only statements with an anchor term are
+looked at: the anchors are chosen so that, by the Cauchy-Schwarz bound, no
+statement or stretch without one can reach the threshold; the same bound drops
+stretches whose terms of the template weigh too little. Equal statements and
+stretches are scored once, so a notice that stands in a third of all files is
+one row. A licence file speaks for its directory; a file without a notice takes
+the licence of the nearest directory above it that has one.
 
 Only DataFrame functions run here.
 
@@ -47,6 +50,31 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+#: What names a licence word for word wherever it stands in a statement.
+PHRASES = (
+    ("Apache-2.0", "under the Apache License, Version 2.0"),
+    ("BSD-3-Clause", "under the BSD 3-Clause License"),
+    ("CC-BY-4.0", "under CC BY 4.0"),
+    ("GPL-3.0", "under the GNU General Public License, version 3"),
+    ("MIT", "under the MIT License"),
+    ("MIT", "terms of the MIT License"),
+    ("MPL-2.0", "under the Mozilla Public License, v. 2.0"),
+)
+
+#: Statements that head licence files; the whole statement has these words.
+TITLES = (
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Version 2.0, January 2004"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+
 TERM = "[a-z0-9]+"
 #: Function words that carry no weight.
 STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "is", "it", "may", "not", "of", "on", "or", "that", "the", "this", "to",
@@ -85,29 +113,57 @@ def statements(text: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """HTML with every tag replaced by a line break."""
-    return F.regexp_replace(html, "<[^>]*>", "\n")
+    """HTML with every tag, and the marks around comments, replaced by a line break; what comments say is kept."""
+    return F.regexp_replace(html, "<!--|-->|<[^>]*>", "\n")
+
+
+def stretches(words: Column, template: int, length: int, vector: dict[str, float], threshold: float) -> Column:
+    """(template, words): the whole statement and every run of ``length`` words of a longer one, without those that cannot reach the threshold.
+
+    A cosine is at most the root of the squared template weights of the terms both have.
+    """
+    known = F.array(*[F.lit(t) for t in vector])
+    square = F.create_map(*[F.lit(x) for t, w in vector.items() for x in (t, w * w)])
+
+    def near(s: Column) -> Column:
+        return F.aggregate(F.array_intersect(s, known), F.lit(0.0), lambda a, t: a + F.element_at(square, t)) >= (threshold - 1e-6) ** 2
+
+    def marked(s: Column) -> Column:
+        return F.struct(F.lit(template).alias("template"), s.alias("words"))
+
+    starts = F.when(F.size(words) > length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.filter(F.transform(starts, lambda p: F.slice(words, p, length)), near)
+    return F.when(near(words), F.concat(F.array(marked(words)), F.transform(runs, marked))).otherwise(F.array().cast("array<struct<template:int,words:array<string>>>"))
 
 
 def notices(files: DataFrame, key: str, text: Column, weights: Weights, templates: tuple[tuple[str, str], ...] = TEMPLATES,
             threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, score): the best notice of every file that has one."""
     spark = files.sparkSession
-    anchor = r"(?i)(?<![a-z0-9])(" + "|".join(sorted(weights.anchors)) + r")(?![a-z0-9])"
+    fixed = [(name, " " + " ".join(terms(text)) + " ", whole) for group, whole in ((PHRASES, False), (TITLES, True)) for name, text in group]
+    anchors = weights.anchors | {max(text.split(), key=len) for _, text, _ in fixed if not weights.anchors & set(text.split())}
+    anchor = r"(?i)(?<![a-z0-9])(" + "|".join(sorted(anchors)) + r")(?![a-z0-9])"
     found = stored(files.select(F.col(key).alias("key"), F.explode(F.filter(statements(text), lambda s: s.rlike(anchor))).alias("line"))
                    .withColumn("k", F.md5(F.col("line").cast("binary"))), "statements")
-    lines = found.groupBy("k").agg(F.first("line").alias("line"))
-    tf = lines.select("k", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term")).where(~F.col("term").isin(*STOP)).groupBy("k", "term").agg(F.count("*").alias("tf"))
+    lines = found.groupBy("k").agg(F.first("line").alias("line")).select(
+        "k", F.filter(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0), lambda t: ~t.isin(*STOP)).alias("words"))
+    told = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    named = lines.select("k", F.explode(F.array_compact(F.array(*[
+        F.when(told == t if whole else told.contains(t), F.lit(name)) for name, t, whole in fixed]))).alias("licence")).withColumn("score", F.lit(1.0))
+    spans = stored(lines.select("k", F.explode(F.flatten(F.array(*[
+        stretches(F.col("words"), i, len(terms(templates[i][1])), v, threshold) for i, v in enumerate(weights.vectors)]))).alias("s"))
+        .select("k", "s.template", F.array_sort("s.words").alias("words")).withColumn("span", F.md5(F.array_join("words", " ").cast("binary"))), "stretches")
+    tf = spans.groupBy("span").agg(F.first("words").alias("words")).select("span", F.explode("words").alias("term")).groupBy("span", "term").agg(F.count("*").alias("tf"))
     idf = literal_table(spark, sorted(weights.idf.items()), "term string, idf double")
     vectors = literal_table(spark, [(t, i, w) for i, v in enumerate(weights.vectors) for t, w in sorted(v.items())], "term string, template int, weight double")
     own = F.col("tf") * F.coalesce("idf", F.lit(weights.unknown))
-    weighed = stored(tf.join(F.broadcast(idf), "term", "left").select("k", "term", own.alias("w")), "term-weights")
-    norm = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weighed.join(F.broadcast(vectors), "term").groupBy("k", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    weighed = stored(tf.join(F.broadcast(idf), "term", "left").select("span", "term", own.alias("w")), "term-weights")
+    norm = weighed.groupBy("span").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = weighed.join(F.broadcast(vectors), "term").groupBy("span", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     names = F.array(*[F.lit(name) for name, _ in templates])
-    scored = dot.join(norm, "k").select("k", F.element_at(names, F.col("template") + 1).alias("licence"), F.round(F.col("dot") / F.col("norm"), 9).alias("score")) \
-        .where(F.col("score") >= threshold)
-    best = stored(scored.groupBy("k").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence")), "notices")
+    scored = dot.join(norm, "span").select("span", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    reached = spans.join(scored, ["span", "template"]).select("k", F.element_at(names, F.col("template") + 1).alias("licence"), "score").unionByName(named)
+    best = stored(reached.groupBy("k").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence")), "notices")
     return found.select("key", "k").distinct().join(best, "k").groupBy("key").agg(
         F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence"), F.max("score").alias("score"))
 

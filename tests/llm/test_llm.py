@@ -414,6 +414,19 @@ def test_licences_against_brute_force(spark):
     assert licences.scan(files.where("false"), "k", "path", F.col("text")).count() == 0
 
 
+def test_ordinary_notices(spark):
+    mit, apache = "MIT", "Apache-2.0"
+    rows = [("This project is licensed under the MIT License.", mit), ("Available under the MIT License", mit), ("code under the terms of the MIT license", mit),
+            ("This project and all of its documentation is licensed under the Apache License, Version 2.0.", apache),
+            ("Released under the MIT License unless noted otherwise below by the author", mit), ("words " * 3000 + "released under the MIT License " + "more " * 3000, mit),
+            ("<p>x</p><!-- Licensed under CC BY-NC 4.0 --><p>y</p>", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("MIT License\n\nCopyright", mit),
+            ("Apache License\nVersion 2.0, January 2004", apache), ("BSD 3-Clause License", "BSD-3-Clause"),
+            ("under MIT supervision", None), ("Er kam mit einer Lizenz", None), ("the license of this work is unknown", None)]
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, (t, _) in enumerate(rows)], "k long, path string, text string")
+    got = {r["k"]: r["licence"] for r in licences.scan(files, "k", "path", licences.visible_text(F.col("text"))).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for _, name in rows]
+
+
 def test_word_count(spark):
     texts = ["a b", "", None, " x\ty\x0bz\u00a0w ", "é"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")).alias("n")).collect()
