@@ -354,6 +354,16 @@ def test_packing_batches(spark):
     assert packing.pack(df.where("false"), "size").count() == 0
 
 
+def test_packing_is_optimal_on_long_texts(spark):
+    rng = np.random.default_rng(11)
+    lengths = np.sort(rng.choice(np.arange(900, 20000), 14, replace=False))
+    counts = rng.integers(1, 6, 14)
+    df = stored(spark.createDataFrame([(i, int(n)) for i, n in enumerate(np.repeat(lengths, counts))], "doc_id long, size long"), "t")
+    got = packing.pack(df, "size", buckets=4).collect()
+    best = min(waste(lengths, counts, [*c, lengths[-1]]) for n in range(4) for c in itertools.combinations(lengths[:-1], n))
+    assert sum(r["padding"] for r in got) == best and max(r["bucket_length"] for r in got) == lengths[-1]
+
+
 # 9 archives
 
 def test_archive_round_trip(spark, tmp_path):
