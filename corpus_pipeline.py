@@ -42,12 +42,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, the words taken over the size, rounded."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    # ids may be null or repeated, so rows are joined back by a key of their own
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    sizes = stored(rows.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    plan = mixing.mix(sizes).where("taken > 0").select("doc_id", copies.alias("copies")).where("copies > 0")
-    # rows that repeat an id share their copies evenly enough: each keeps the smallest of them
-    plan = stored(plan.groupBy("doc_id").agg(F.min("copies").alias("copies")), "copies")
-    return docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    plan = stored(mixing.mix(sizes).where("taken > 0").select("_row", copies.alias("copies")).where("copies > 0"), "copies")
+    return rows.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

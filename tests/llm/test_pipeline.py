@@ -32,3 +32,17 @@ def test_odd_tables(spark, rows):
     for _, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "stage")
     assert docs.count() == 0 or docs.agg(F.max("size")).first()[0] == 3
+
+
+def test_mixing_keeps_null_and_repeated_ids(spark):
+    text = {i: f"text{i} " * 40 for i in range(30)}
+    rows = [(None if i < 10 else 7 if i < 20 else i, text[i], "en", "ab"[i % 2], 1) for i in range(30)]
+    docs = stored(spark.createDataFrame(rows, DOCS), "docs")
+    got = [r["text"] for r in pipeline.mixing_stage(spark, docs, SF).collect()]
+    sizes = stored(docs.select("text", "doc_id", "source", F.lit(40).cast("long").alias("size")), "sizes")
+    taken = {r["source"]: r["n"] for r in pipeline.mixing.mix(sizes).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    for source in "ab":
+        mine = [t for t in got if t in {text[i] for i in range(30) if "ab"[i % 2] == source}]
+        assert abs(40 * len(mine) - taken[source]) <= 40
+    # every row gets its own number of copies, the null ids among them
+    assert {text[i] for i in range(10)} & set(got) and len(got) > len(set(got))
