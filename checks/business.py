@@ -189,7 +189,7 @@ ft AS (SELECT *, CASE WHEN syy = 0 THEN 1 WHEN se = 0 THEN 0 ELSE greatest(0, 1
 
 
 def _fit(s, d):
-    return forecast.trend_fit(long_panel(s, d), AS_OF).where("n = 15")
+    return forecast.trend_fit(long_panel(s, d), AS_OF)
 
 
 add("f1_trend_fit", lambda s, d: r(_fit(s, d).select("metric_name", "n", "slope", "current_value", "projected_value", "projected_lower", "projected_upper", "p_value", "baseline"),

@@ -147,3 +147,25 @@ def test_constant_series_has_no_precedence(spark):
     df = spark.createDataFrame([([1.0] * 10, [float(i) for i in range(10)])], "candidate_series array<double>, target_series array<double>")
     r = causes.temporal_precedence(df).first()
     assert r["precedence"] == 0.0 and not r["significant"]
+
+
+def test_registered_trends_of_sparse_metrics(spark, monkeypatch):
+    from checks import business
+    rng = np.random.default_rng(3)
+    kept = {"full": range(15), "even": [0, 2, 3, 7, 9, 11, 12, 14], "odd": [1, 4, 5, 8, 13], "few": [2, 6, 9, 10]}
+    values = {m: [(f"2001-07-{6 + i:02d}", float(v)) for i, v in zip(days, rng.normal(size=len(days)).cumsum())] for m, days in kept.items()}
+    gold = spark.createDataFrame([(m, d, v) for m, rows in values.items() for d, v in rows], "metric_name string, metric_date string, metric_value double") \
+        .withColumn("metric_date", F.to_date("metric_date"))
+    monkeypatch.setattr(business, "long_panel", lambda s, d: gold)
+    got = {r["metric_name"]: r for r in business._fit(spark, "").collect()}
+    assert set(got) == {"full", "even", "odd"}
+    for m, row in got.items():
+        y = np.array([v for _, v in values[m]])
+        x, n = np.arange(len(y)), len(y)
+        slope, start = np.polyfit(x, y, 1)
+        se = math.sqrt(((y - start - slope * x) ** 2).sum() / (n - 2) / ((x - x.mean()) ** 2).sum())
+        # two-sided tail of Student's t: with u = sqrt(df) tan(a) the density is cos(a)^(df - 1)
+        a = np.linspace(0, math.pi / 2, 200001)
+        f = np.cos(a) ** (n - 3)
+        p = np.trapezoid(np.where(a >= math.atan(abs(slope / se) / math.sqrt(n - 2)), f, 0), a) / np.trapezoid(f, a)
+        assert row["n"] == n and abs(row["slope"] - slope) < 1e-9 and abs(row["p_value"] - p) < 1e-4
