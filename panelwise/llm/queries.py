@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import hamming, langid, licences, mixing, neardup, packing, permutation, quality, urls, warc
+from panelwise.llm import bpe, hamming, langid, licences, mixing, neardup, packing, permutation, quality, resampling, urls, warc, whitening
 from panelwise.llm.common import crc_mod, stored, word_count
 from panelwise.session import literal_table, shared_folder
 
@@ -86,11 +86,39 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files, "page_id", "path", licences.visible_text(F.col("html")), licence_file="")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector and component, numbered from 1 by falling variance."""
+    white = whitening.whiten(_read(spark, sf_dir, "embeddings"), parts=8)
+    return white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", "explained", F.posexplode("w").alias("_i", "whitened")) \
+        .select("vec_id", (F.col("_i") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("_i")].alias("explained"), "identity_error")
+
+
+def vocabulary_path() -> str:
+    """The byte-level vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load(vocabulary_path())
+    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    return bpe.decode(ids, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_discriminant, op2_source_mix, op3_language_spans, op4_url_verdicts, op5_near_duplicates, op6_hamming_top_k,
-    op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan)}
+    op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan, op11_embedding_whitening, op12_bpe_round_trip,
+    op13_importance_resampling)}
 
-# --- DuckDB SQL where SQL can express a query; fitted models (1, 3), the approximate index (7) and the packing optimum (8) are tested otherwise ---
+# --- DuckDB SQL where SQL can express a query; fitted models (1, 3), the approximate index (7), the packing optimum (8), eigenvectors (11) and
+# exact merges (12) are tested otherwise ---
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -151,4 +179,29 @@ ne AS (SELECT d.dir, arg_max(granted, length(gr.dir)) AS granted, arg_max(gr.dir
 SELECT page_id, path, coalesce(licence, granted) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'notice' WHEN granted IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
   CASE WHEN licence IS NULL THEN from_directory END AS from_directory FROM m LEFT JOIN ne USING (dir)"""
 
-SQL: dict[str, str] = {"op2_source_mix": _OP2, "op4_url_verdicts": _OP4, "op5_near_duplicates": _OP5, "op6_hamming_top_k": _OP6, "op9_warc_archives": _OP9, "op10_license_scan": _OP10}
+def _crc_table() -> list[int]:
+    """The byte table of CRC-32 (reflected polynomial 0xEDB88320)."""
+    def after(value: int) -> int:
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        return value
+
+    return [after(b) for b in range(256)]
+
+
+_FEATURES = rf"""SELECT {{0}} AS id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM (SELECT {{0}}, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {{1}} WHERE text IS NOT NULL)"""
+_OP13 = f"""WITH df AS ({_FEATURES.format("doc_id", "documents")}), bf AS ({_FEATURES.format("item_id", "benchmark")}),
+u AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)),
+c AS (SELECT f, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda p: ('0x' || p)::BIGINT), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS b FROM u),
+dc AS (SELECT id, b, count(*) AS n FROM df JOIN c USING (f) GROUP BY ALL), bc AS (SELECT b, count(*)::DOUBLE AS t FROM bf JOIN c USING (f) GROUP BY b),
+sc AS (SELECT b, sum(n)::DOUBLE AS s FROM dc GROUP BY b), tot AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS ss, (SELECT count(*) FROM bf)::DOUBLE AS tt),
+g AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1) * (ss + 10000)) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM sc LEFT JOIN bc USING (b), tot),
+w AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM dc JOIN g USING (b) GROUP BY id),
+x AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM documents LEFT JOIN w ON id = doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS able FROM x WHERE n_features >= 57)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * able // 100 THEN k END AS rank FROM x LEFT JOIN r USING (doc_id)"""
+
+SQL: dict[str, str] = {"op2_source_mix": _OP2, "op4_url_verdicts": _OP4, "op5_near_duplicates": _OP5, "op6_hamming_top_k": _OP6, "op9_warc_archives": _OP9, "op10_license_scan": _OP10,
+                       "op13_importance_resampling": _OP13}
