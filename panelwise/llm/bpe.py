@@ -249,17 +249,23 @@ class Encoder:
 
 
 class _Known(dict):
-    """Ids of pre-tokens as bytes, made when first asked for; emptied when full."""
+    """Ids of pre-tokens as bytes, made when first asked for. When it is full it becomes the older generation, from which words in use come back."""
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = pack("<%dI" % len(found := self.encoder.encode(word.encode().decode("latin-1"))), *found)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.encoder.encode(word if word.isascii() else word.encode().decode("latin-1"))
+            ids = pack("<%dI" % len(found), *found)
+            if len(word) > 64:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
