@@ -89,6 +89,12 @@ def _pattern(letters: str, numbers: str, space: str) -> str:
     return rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
+def _below(ranges: str, limit: int) -> str:
+    """The part of ``character_ranges`` below a code point."""
+    pairs = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", ranges)]
+    return "".join(f"\\U{a:08x}-\\U{min(b, limit - 1):08x}" for a, b in pairs if a < limit)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Bytes of every id, what each token was merged from, added tokens, and the ranges of the split; sent to the tasks."""
@@ -152,8 +158,10 @@ class Encoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         letters, numbers = vocabulary.letters, vocabulary.numbers
+        # the same split for all characters, for those up to U+00FF and for ASCII alone: small classes are bitmaps
         self.split = re.compile(_pattern(letters, numbers, _SPACE)).findall
-        self.split_ascii = re.compile(_pattern("A-Za-z", "0-9", r"\t-\r ")).findall
+        self.split_latin = re.compile(_pattern(_below(letters, 0x100), _below(numbers, 0x100), r"\t-\r \x85\xa0")).findall
+        self.split_ascii = re.compile(_pattern(_below(letters, 0x80), _below(numbers, 0x80), r"\t-\r ")).findall
         self.added = dict(vocabulary.added)
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.known = _Known(self)
@@ -244,8 +252,16 @@ class Encoder:
         return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
-        parts = (b"".join(map(self.known.__getitem__, (self.split_ascii if p.isascii() else self.split)(p))) for p in _pieces(text))
-        return b"".join(parts)
+        return b"".join(b"".join(map(self.known.__getitem__, self.pre_tokens(piece))) for piece in _pieces(text))
+
+    def pre_tokens(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split_ascii(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split(text)
+        return self.split_latin(text)
 
 
 class _Known(dict):
