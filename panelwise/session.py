@@ -60,13 +60,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Intermediate tables that this process has written and not dropped.
+_tables: list[str] = []
+
+
+def drop_tables(spark: SparkSession, keep: list[str], since: int = 0) -> None:
+    """Delete the intermediate tables from number ``since`` on, but those that hold one of the files in ``keep``."""
+    for path in _tables[since:]:
+        name = path.rstrip("/").rpartition("/")[2]
+        if not any(f"/{name}/" in f"{file}/" for file in keep):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _tables.remove(path)
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, to be found by ``drop_tables``."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     For loops: a checkpoint keeps the size estimate of its plan, and estimates
     of joins multiply from round to round; a table has its real size.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
