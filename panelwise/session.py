@@ -64,11 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _tables: list[str] = []
 
 
-def drop_tables(spark: SparkSession, keep: list[str], since: int = 0) -> None:
-    """Delete the intermediate tables from number ``since`` on, but those that hold one of the files in ``keep``."""
-    for path in _tables[since:]:
+def tables_made() -> list[str]:
+    return list(_tables)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], keep: list[str]) -> None:
+    """Delete intermediate tables, but those that hold one of the files in ``keep``."""
+    for path in paths:
         name = path.rstrip("/").rpartition("/")[2]
-        if not any(f"/{name}/" in f"{file}/" for file in keep):
+        if path in _tables and not any(f"/{name}/" in file for file in keep):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
             _tables.remove(path)
