@@ -126,6 +126,11 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(sketch, "id long, n long, f1 long, f2 long, bands array<long>, odd array<long>")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, sent to every task while it is small enough, so that texts stay where they are; beyond, both are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents in ``ids``: texts are filtered in place while the ids are few enough to be sent along."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +140,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> D
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))], ["id", "set"])
 
-    ids = stored(ids, "set-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _sent(stored(ids, "set-ids"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(build, "id long, set array<long>")
 
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
     # a bucket's key holds its band; four orders of pivots, so that a member meets several but not 32 of them
     entries = classes.where("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    turn = F.struct(F.xxhash64("rep", F.col("band") % 4), F.col("rep"))
+    turn = F.struct(F.xxhash64("rep", F.col("band") % 4).alias("place"), F.col("rep"))
     crowds = stored(entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("rep", turn).alias("pivot")).where("size > 1").drop("size"), "buckets")
     members = stored(entries.join(crowds, "bucket"), "bucket-members")
     facts = classes.select("rep", "n", "odd", "bands")
@@ -261,11 +264,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose document is not the smallest of its component; of rows with one id, one stays."""
+    """``docs`` without the rows whose document is not the smallest of its component; of rows with one id, one stays. Rows with a null id stay."""
     groups = stored(near_duplicates(docs, key, text, width, percent), "near-duplicates")
-    gone = groups.where(f"NOT kept AND {key} IS NOT NULL").select(key).distinct()
-    left = docs.join(gone, key, "left_anti")
-    again = groups.where("kept").groupBy(key).count().where("count > 1").select(key)
+    gone = stored(groups.where(f"NOT kept AND {key} IS NOT NULL").select(key).distinct(), "gone")
+    left = docs.join(_sent(gone), key, "left_anti")
+    again = stored(groups.where("kept").groupBy(key).count().where("count > 1").select(key), "repeated")
     if again.isEmpty():
         return left
+    again = _sent(again)
     return left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
