@@ -8,6 +8,13 @@ all entries whose footrule is at most ``cut`` times the typical footrule of
 unrelated vectors (measured between the pivots). No count limits the
 candidates.
 
+A query that the pivots say little about stays open after that: one that has
+fewer than ``LEAST`` candidates per wanted row, or is further from its nearest
+pivot than ``FAR`` times the median of the indexed vectors (shifted or scaled
+vectors see all data in nearly the same order). Open queries are compared with
+every vector, in blocks, and are exact; so every query gets k rows where there
+are as many candidates.
+
 Pivots are a bounded sample (``pivots`` vectors by a hash of their ids); every
 vector is indexed. A file is dealt out in blocks of about ``BLOCK`` entries,
 and the queries that visit it in blocks as well, so a popular pivot is many
@@ -38,6 +45,8 @@ PIVOTS = 128
 POSTS = 4
 PROBES = 48
 CUT = 0.95
+LEAST = 10
+FAR = 1.5
 BLOCK = 4096
 QUERY_BLOCK = 512
 
@@ -54,10 +63,13 @@ def proper(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("vec") == (sizes["n"] if sizes else 0))
 
 
+def _squares(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return (vectors ** 2).sum(1)[:, None] + (pivots ** 2).sum(1) - 2 * vectors @ pivots.T
+
+
 def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """For each vector the pivots from nearest to farthest; equal distances by pivot number."""
-    apart = (vectors ** 2).sum(1)[:, None] + (pivots ** 2).sum(1) - 2 * vectors @ pivots.T
-    return np.argsort(apart, axis=1, kind="stable").astype(np.int16)
+    return np.argsort(_squares(vectors, pivots), axis=1, kind="stable").astype(np.int16)
 
 
 def places(order: np.ndarray) -> np.ndarray:
@@ -72,17 +84,19 @@ def _matrix(values: pa.Array, n: int, width: int) -> np.ndarray:
 
 
 def _ordered(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``order``: the numbers of all pivots from nearest to farthest."""
+    """Add ``order``, the numbers of all pivots from nearest to farthest, and ``near``, the distance to the nearest."""
     width = pivots.shape[1]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = orders(_matrix(batch.column("vec"), batch.num_rows, width), pivots)
+            vectors = _matrix(batch.column("vec"), batch.num_rows, width)
+            seen = orders(vectors, pivots)
+            near = np.sqrt(np.maximum(_squares(vectors, pivots), 0).min(axis=1, initial=np.inf))
             ends = pa.array(np.arange(0, seen.size + 1, seen.shape[1]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.ListArray.from_arrays(ends, pa.array(seen.ravel(), pa.int16()))],
-                                             ["rep", "vec", "order"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), pa.ListArray.from_arrays(ends, pa.array(seen.ravel(), pa.int16())), pa.array(near)],
+                                             ["rep", "vec", "order", "near"])
 
-    return df.select("rep", "vec").mapInArrow(sort, "rep long, vec array<double>, order array<short>")
+    return df.select("rep", "vec").mapInArrow(sort, "rep long, vec array<double>, order array<short>, near double")
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS,
@@ -141,20 +155,19 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                 take = take[np.abs(place[take] - mine_place).sum(axis=1, dtype=np.int32) <= limit]
                 if not len(take):
                     continue
-                exact = np.sqrt(((vectors[take] - np.asarray(vec)) ** 2).sum(axis=1))
-                if len(take) > k + 1:
-                    far = np.partition(exact, k)[k]
-                    near = np.flatnonzero(exact <= far)
-                    near = near[np.lexsort((reps[take[near]], exact[near]))][:k + 1]
-                else:
-                    near = np.arange(len(take))
-                out.append((np.full(len(near), rep), reps[take[near]], exact[near]))
-        if not out:
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("query", "rep", "score"))})
+                out.append(_closest(rep, np.asarray(vec), vectors[take], reps[take], k))
+        return _found(out)
 
     by = ("pivot", "vb", "qb")
-    close = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query long, rep long, score double")
+    hits = stored(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, FOUND), "close-vectors")
+    typical = index.agg(F.percentile_approx("near", 0.5)).first()[0]
+    seen = hits.groupBy("query").agg(F.sum("seen").alias("seen"))
+    few = F.coalesce("seen", F.lit(0)) < LEAST * (k + 1)
+    hard = stored(wanted.join(seen, F.col("query") == F.col("rep"), "left").where(few | (F.col("near") > FAR * typical)).select("rep", "vec"), "open-queries")
+    close = hits.select("query", "rep", "score").where("rep IS NOT NULL")
+    n_hard = hard.count()
+    if n_hard:
+        close = close.join(hard.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(_exhaustive(index, hard, n_hard, k))
     top = F.row_number().over(W.partitionBy("query").orderBy("score", "rep"))
     best = stored(close.withColumn("_rn", top).where(F.col("_rn") <= k + 1).drop("_rn"), "nearest-vectors")
     ids = best.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -164,6 +177,43 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         .select("query_id", "rank", "vec_id", "score")
 
 
+#: What a block of a file gives a query: its nearest entries, and in the first row how many candidates it had.
+FOUND = "query long, rep long, score double, seen long"
+
+
+def _closest(query: int, vec: np.ndarray, vectors: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k + 1 entries nearest to a query (itself may be one), equal distances by id, as the columns of ``FOUND``."""
+    exact = np.sqrt(((vectors - vec) ** 2).sum(axis=1))
+    near = np.arange(len(exact))
+    if len(near) > k + 1:
+        near = np.flatnonzero(exact <= np.partition(exact, k)[k])
+        near = near[np.lexsort((reps[near], exact[near]))][:k + 1]
+    return np.full(len(near), query), reps[near], exact[near], np.where(np.arange(len(near)) == 0, len(exact), 0)
+
+
+def _found(out: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    if not out:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("query", "rep", "score", "seen"))})
+
+
+def _exhaustive(index: DataFrame, hard: DataFrame, n_hard: int, k: int) -> DataFrame:
+    """(query, rep, score): nearest entries of the open queries among all entries, block by block on both sides."""
+    blocks, query_blocks = -(-index.count() // BLOCK), -(-n_hard // QUERY_BLOCK)
+
+    def dealt(side: DataFrame, own: str, n: int, other: str, copies: int) -> DataFrame:
+        return side.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    def search(mine: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(entries):
+            return _found([])
+        vectors, reps = np.vstack(entries["vec"].to_numpy()), entries["rep"].to_numpy()
+        return _found([_closest(rep, np.asarray(vec), vectors, reps, k) for rep, vec in zip(mine["rep"], mine["vec"])])
+
+    left, right = dealt(hard, "qb", query_blocks, "vb", blocks), dealt(index, "vb", blocks, "qb", query_blocks)
+    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(search, FOUND).select("query", "rep", "score")
+
+
 def _blocks(side: DataFrame, size: int) -> dict[int, int]:
     """Number of blocks of every pivot; the driver gets one row per pivot."""
     return {r["pivot"]: -(-r["count"] // size) for r in side.groupBy("pivot").count().collect()}

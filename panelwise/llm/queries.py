@@ -21,7 +21,7 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(quality.measured(docs, ["doc_id"]), "quality-statistics")
     model = quality.train(stats, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
     return quality.score(stats, model, stats="stats") \
-        .select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+        .select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def _sized(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = langid.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     return langid.identify(docs.drop("lang"), model).select(
-        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"),
         F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"))
 
 
