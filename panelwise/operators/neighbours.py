@@ -1,10 +1,12 @@
-"""Exact nearest neighbours and the local outlier factor without an all-pairs join.
-
-Equal vectors are collapsed to one weighted row. Rows are ordered along one
-direction (a distance there never exceeds the real distance) and cut into
-cells of bounded size. A row searches the cells around its own, ring by ring,
-until its k-th distance is below the distance to the unsearched cells, which
-proves the answer. A task only ever sees two cells; it returns k rows per row.
+"""Exact nearest neighbours and the local outlier factor by a metric tree.
+
+Equal vectors are collapsed to one weighted row. Rows are put into balls, each
+level of the tree splitting a ball among sampled pivots; the depth follows
+from the number of rows, so balls stay small at any size. A row first searches
+its own ball, which bounds its k-th distance, then goes down the tree and
+keeps only balls that the triangle inequality allows to hold something nearer.
+Where rows of a ball or of a search are many, both sides are dealt in hashed
+blocks: a task sees one block of each, whatever the shape of the data.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.operators.ordering import with_range
-from panelwise.session import cut_lineage
+from panelwise.session import cut_lineage, written
 
-CELL_ROWS = 256
-MAX_CELLS = 8192
+#: Rows of a ball the tree aims at, children of a ball at most, rows of a block.
+CELL_ROWS, FAN, BLOCK = 256, 128, 2048
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,61 +43,118 @@ def _take(found: Column, k: int) -> Column:
             x["distance"].alias("distance"), x["id"].alias("id"), F.least(x["weight"], k - a["n"]).alias("weight"))).alias("kept"))), lambda a: a["kept"])
 
 
-def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((b - a) ** 2).sum(axis=1))
+
+
+def _paired(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a cogroup on ``key`` with columns lb and rb: hashed blocks of about ``BLOCK`` rows, each row copied to the blocks of the other side."""
+    sizes = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key) \
+        .select(key, F.ceil(F.col("_l") / BLOCK).cast("int").alias("_lb"), F.ceil(F.col("_r") / BLOCK).cast("int").alias("_rb"))
+    sizes = written(sizes)
+
+    def dealt(side: DataFrame, own: str, other: str, mine: str, copied: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("rid"), F.col(own)).cast("int").alias(mine)
+        return side.join(sizes, key).select(*side.columns, place, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(copied))
+
+    return dealt(left, "_lb", "_rb", "lb", "rb"), dealt(right, "_rb", "_lb", "rb", "lb")
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, key: str, function, schema: str) -> DataFrame:
+    a, b = _paired(left, right, key)
+    names = b.columns
+    b = b.toDF(*[f"{c}_r" for c in names])  # both sides may come from one table
+    return a.groupBy(key, "lb", "rb").cogroup(b.groupBy(f"{key}_r", "lb_r", "rb_r")).applyInPandas(lambda x, y: function(x, y.set_axis(names, axis=1)), schema)
+
+
+def _planted(base: DataFrame, cell_rows: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (rid, features, weight, node) with their ball, and per level the balls (node = parent, rid, pivot, radius, weight)."""
+    n = base.count()
+    depth = math.ceil(math.log(max(n / cell_rows, 1)) / math.log(fan))
+    rows, levels = base.select(F.col("id").alias("rid"), "features", "weight", F.lit(0).cast("long").alias("node")), []
+
+    def assign(mine: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or pivots.empty:
+            return pd.DataFrame({"rid": [], "features": [], "weight": [], "parent": [], "node": [], "far": []})
+        centres, ids = np.stack(pivots["features"].to_numpy()), pivots["rid"].to_numpy()
+        apart = [_apart(x, centres) for x in np.stack(mine["features"].to_numpy())]
+        best = [int(d.argmin()) for d in apart]
+        return pd.DataFrame({"rid": mine["rid"], "features": mine["features"], "weight": mine["weight"], "parent": mine["node"],
+                             "node": ids[best], "far": [d[i] for d, i in zip(apart, best)]})
+
+    for _ in range(depth):
+        wanted = rows.groupBy("node").agg(F.least(F.lit(fan), F.ceil(F.count("*") / cell_rows)).cast("int").alias("wanted"))
+        drawn = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("rid", F.lit(len(levels))), "rid"))
+        pivots = written(rows.withColumn("_k", drawn).where(F.col("_k") <= fan).join(wanted, "node").where("_k <= wanted").select("node", "rid", "features"))
+        # a pivot is copied to all blocks of its ball, since it is a right side of one block
+        rows = written(_cogrouped(rows, pivots, "node", assign, "rid long, features array<double>, weight long, parent long, node long, far double"))
+        balls = rows.groupBy("parent", "node").agg(F.max("far").alias("radius"), F.sum("weight").alias("weight"))
+        levels.append(written(balls.join(pivots.select(F.col("rid").alias("node"), F.col("features").alias("pivot")), "node")
+                              .select(F.col("parent").alias("node"), F.col("node").alias("rid"), "pivot", "radius", "weight")))
+        rows = rows.select("rid", "features", "weight", "node")
+    return rows, levels
+
+
+def nearest(points: DataFrame, k: int, cell_rows: int = CELL_ROWS, fan: int = FAN) -> DataFrame:
     """For every distinct vector: id (smallest of its copies), weight, features, and its k nearest with weights.
 
     ``points`` has (id bigint, features array<double>). A row's own copies
     count as neighbours at distance zero.
     """
-    base = points.groupBy("features").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn(
-        "proj", F.aggregate("features", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("features").cast("double")))
-    base = cut_lineage(base)
-    cells = max(1, min(MAX_CELLS, math.ceil(base.count() / cell_rows)))
-    base = cut_lineage(with_range(base, "proj", "cell", cells).withColumn("cell", F.col("cell").cast("int")))
-    edge = base.groupBy("cell").agg(F.min("proj").alias("lo"), F.max("proj").alias("hi"))
-    top = base.agg(F.max("cell").alias("m")).first()["m"] or 0
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "distance": [], "id": [], "weight": []})
-        a, b = np.stack(left["qvec"].to_numpy()), np.stack(right["features"].to_numpy())
-        ids, weights = right["id"].to_numpy(), right["weight"].to_numpy()
-        out = []
-        for qid, row in zip(left["qid"].to_numpy(), a):
-            dist = np.sqrt(((b - row) ** 2).sum(axis=1))
-            w = np.where(ids == qid, weights - 1, weights)
-            order = np.lexsort((ids, dist))[: k + 1]
-            order = order[w[order] > 0][:k]
-            out.append(pd.DataFrame({"qid": qid, "distance": dist[order], "id": ids[order], "weight": w[order]}))
-        return pd.concat(out)
-
+    base = written(points.groupBy("features").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    rows, levels = _planted(base, cell_rows, fan)
+    rows = written(rows)
     none = F.array().cast("array<struct<distance:double,id:bigint,weight:bigint>>")
-    open_rows = base.select(F.col("id").alias("qid"), F.col("features").alias("qvec"), F.col("proj").alias("qproj"), F.col("cell").alias("qcell"), none.alias("found"))
-    done, inner, outer = None, -1, 1
-    while True:
-        rings = F.array(*[F.lit(o) for o in range(-outer, outer + 1) if abs(o) > inner])
-        asked = open_rows.withColumn("tcell", F.explode(F.transform(rings, lambda o: F.col("qcell") + o))).where((F.col("tcell") >= 0) & (F.col("tcell") <= top))
-        keys = asked.select("qcell", "tcell").distinct()
-        there = keys.join(base, F.col("tcell") == F.col("cell")).select(
-            F.col("qcell").alias("rq"), F.col("tcell").alias("rt"), "id", "features", "weight")
-        hits = asked.select("qcell", "tcell", "qid", "qvec").groupBy("qcell", "tcell").cogroup(there.groupBy("rq", "rt")).applyInPandas(
-            search, "qid bigint, distance double, id bigint, weight bigint")
-        new = hits.groupBy("qid").agg(F.collect_list(F.struct("distance", "id", "weight")).alias("new"))
-        merged = open_rows.join(new, "qid", "left").withColumn("found", _take(F.concat("found", F.coalesce("new", none)), k)).drop("new")
-        lower = edge.select((F.col("cell") + outer + 1).alias("qcell"), F.col("hi").alias("below"))
-        upper = edge.select((F.col("cell") - outer - 1).alias("qcell"), F.col("lo").alias("above"))
-        m = merged.join(lower, "qcell", "left").join(upper, "qcell", "left")
-        reach = F.least(F.coalesce(F.col("qproj") - F.col("below"), F.lit(float("inf"))), F.coalesce(F.col("above") - F.col("qproj"), F.lit(float("inf"))))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if not left.empty and not right.empty:
+            b, ids, weights = np.stack(right["features"].to_numpy()), right["rid"].to_numpy(), right["weight"].to_numpy()
+            for qid, row in zip(left["rid"].to_numpy(), np.stack(left["features"].to_numpy())):
+                dist = _apart(row, b)
+                near = np.flatnonzero(dist <= np.partition(dist, k)[k]) if len(dist) > k + 1 else np.arange(len(dist))
+                near = near[np.lexsort((ids[near], dist[near]))][:k + 1]
+                left_over = weights[near] - (ids[near] == qid)
+                near, left_over = near[left_over > 0][:k], left_over[left_over > 0][:k]
+                out.append((np.full(len(near), qid), dist[near], ids[near], left_over))
+        if not out:
+            out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("qid", "distance", "id", "weight"))})
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """(rid, new) of asked (rid, features, node): the nearest in those balls, block by block."""
+        hits = _cogrouped(asked, rows, "node", search, "qid long, distance double, id long, weight long")
+        return hits.groupBy(F.col("qid").alias("rid")).agg(F.collect_list(F.struct("distance", "id", "weight")).alias("new"))
+
+    own = searched(rows.select("rid", "features", "node"))
+    first = written(rows.select("rid", "features", "node").join(own, "rid", "left").withColumn("found", _take(F.coalesce("new", none), k)).drop("new"))
+    if levels:
         full = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["weight"]) >= k
-        sure = (full & (F.element_at("found", -1)["distance"] <= reach)) | (F.col("below").isNull() & F.col("above").isNull())
-        m = cut_lineage(m.withColumn("sure", sure).drop("below", "above"))
-        part = m.where("sure").drop("sure")
-        done = part if done is None else done.unionByName(part)
-        open_rows = m.where("not sure").drop("sure")
-        if open_rows.isEmpty() or outer >= top:
-            break
-        inner, outer = outer, min(2 * outer + 1, max(top, 1))
-    return done.select(F.col("qid").alias("id"), "found").join(base.select("id", "features", "weight"), "id")
+        bound = F.when(full, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
+        open_at = first.select("rid", "features", F.lit(0).cast("long").alias("node"), bound.alias("bound"))
+
+        def descend(left: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple] = []
+            if not left.empty and not balls.empty:
+                pivots, ids = np.stack(balls["pivot"].to_numpy()), balls["rid"].to_numpy()
+                radius, enough = balls["radius"].to_numpy(), balls["weight"].to_numpy() > k
+                for i, (row, most) in enumerate(zip(left["features"], left["bound"])):
+                    dist = _apart(np.asarray(row), pivots)
+                    most = min(most, (dist + radius)[enough].min(initial=np.inf))
+                    # rounding may not close a ball that lies exactly at the bound
+                    hit = np.flatnonzero(dist - radius <= most + 1e-9 * (1 + dist))
+                    out.append((np.full(len(hit), i), ids[hit], np.full(len(hit), most)))
+            if not out:
+                return pd.DataFrame({"rid": [], "features": [], "node": [], "bound": []})
+            at = np.concatenate([x[0] for x in out])
+            return pd.DataFrame({"rid": left["rid"].to_numpy()[at], "features": left["features"].to_numpy()[at],
+                                 "node": np.concatenate([x[1] for x in out]), "bound": np.concatenate([x[2] for x in out])})
+
+        for balls in levels:
+            open_at = written(_cogrouped(open_at, balls, "node", descend, "rid long, features array<double>, node long, bound double"))
+        more = searched(open_at.join(first.select("rid", "node"), ["rid", "node"], "left_anti").select("rid", "features", "node"))
+        first = first.join(more, "rid", "left").withColumn("found", _take(F.concat("found", F.coalesce("new", none)), k))
+    return first.select(F.col("rid").alias("id"), "found").join(base, "id")
 
 
 def local_outlier_factor(points: DataFrame, k: int = 20) -> DataFrame:
