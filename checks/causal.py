@@ -109,7 +109,15 @@ add("r7_rank_causes", lambda s, d: causes.rank_causes(cands(s, d)).select("incid
     f"WITH RECURSIVE {CANDS} SELECT * FROM (SELECT id AS incident_id, m AS metric_name, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, m) AS rank FROM ca) WHERE rank <= 5")
 add("r8_relative_importance", lambda s, d: r(causes.relative_importance(causes.rank_causes(cands(s, d))).select("incident_id", "metric_name", "importance_pct"), "importance_pct"),
     f"""WITH RECURSIVE {CANDS}, rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, m) AS k FROM ca) SELECT id AS incident_id, m AS metric_name, round(score * 100 / sum(score) OVER (PARTITION BY id), 4) AS importance_pct FROM rk WHERE k <= 5""")
-add("r9_bootstrap_ci", lambda s, d: causes.bootstrap_ci(cands(s, d)))
+_U4 = ", ".join(f"(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u{i}" for i in range(4))
+_ANY = "least(1, greatest(0, {}))"
+add("r9_bootstrap_ci", lambda s, d: r(causes.bootstrap_ci(cands(s, d)), "ci_lower", "ci_upper", "std_error", digits=7),  # interpolated in steps of 2.5e-6
+    f"""WITH RECURSIVE {CANDS}, b1 AS (SELECT id, m, score, z, pr, px, q, md5('7:' || id || ':' || m || ':' || k) AS h FROM ca, range(1, 201) t(k)), b2 AS (SELECT *, {_U4} FROM b1),
+b3 AS (SELECT *, z * (1 + .05::DOUBLE * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1)) AS z1, pr * (1 + .05::DOUBLE * sqrt(-2 * ln(u0)) * sin(2 * pi() * u1)) AS p1,
+  px * (1 + .05::DOUBLE * sqrt(-2 * ln(u2)) * cos(2 * pi() * u3)) AS x1, q * (1 + .05::DOUBLE * sqrt(-2 * ln(u2)) * sin(2 * pi() * u3)) AS q1 FROM b2),
+b4 AS (SELECT id, m, any_value(score) AS score, round({_ANY.format(f".3 / (1 + exp(-.5 * (abs(z1) - 3))) + .3 * {_ANY.format('p1')} + .25 * {_ANY.format('x1')} + .15 * {_ANY.format('q1')}")}, 4) AS s FROM b3 GROUP BY id, m, h, z1, p1, x1, q1)
+SELECT id AS incident_id, m AS metric_name, any_value(score) AS point_estimate, round(quantile_cont(s, .025), 7) AS ci_lower, round(quantile_cont(s, .975), 7) AS ci_upper,
+  round(stddev_samp(s), 7) AS std_error, quantile_cont(s, .025) > .05 AS significant FROM b4 GROUP BY id, m""")
 _W = []
 for _n in config.CAUSE_WEIGHTS:
     for _dl in (0.05, -0.05, 0.10, -0.10):

@@ -293,7 +293,19 @@ add("e3_auc", lambda s, d: r(evaluation.auc(scored(s, d)), "roc_auc", "average_p
     f"""WITH {_P}, rk AS (SELECT y, avg(n) OVER (PARTITION BY s) AS ar FROM (SELECT s, y, row_number() OVER (ORDER BY s) AS n FROM p)), mw AS (SELECT (sum(ar) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y)) AS roc FROM rk),
 x AS (SELECT *, cp / (cp + cn) AS pn, coalesce(lag(cp / (cp + cn)) OVER (ORDER BY s DESC), 1) AS pb FROM cu) SELECT round(any_value(roc), 6) AS roc_auc, round(sum(pos * pn) / any_value(ap), 6) AS average_precision, round(sum(pos * (pn + pb) / 2) / any_value(ap), 6) AS pr_auc FROM x, mw""")
 add("e4_kfold_metrics", lambda s, d: r(evaluation.kfold_metrics(scored(s, d), "id"), "mean", "std", "half_width", digits=6))
-add("e5_roc_band", lambda s, d: r(evaluation.roc_band(scored(s, d), "id"), "mean_tpr", "low", "high"))
+_PU = "(('0x' || substr(h, {}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE"
+add("e5_roc_band", lambda s, d: r(evaluation.roc_band(scored(s, d)), "mean_tpr", "low", "high"),
+    f"""WITH {_P}, pt AS (SELECT n, j, sum(exp(j * ln(n::DOUBLE) - n - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END)) OVER (PARTITION BY n ORDER BY j) AS hi FROM range(1, 65) a(n), range(0, 151) b(j)),
+iv AS (SELECT n, j, coalesce(lag(hi) OVER (PARTITION BY n ORDER BY j), 0) AS lo, CASE WHEN j = 150 THEN 2 ELSE hi END AS hi FROM pt),
+ce AS (SELECT s, unnest([1, 0]) AS y, unnest([pos, neg])::BIGINT AS n FROM st),
+dr AS (SELECT s, y, n, k, md5('11:' || printf('%.12f', s::DOUBLE) || ':' || y || ':' || k) AS h FROM ce, range(1, 1001) t(k) WHERE n > 0),
+du AS (SELECT *, {_PU.format(1)} AS u, sqrt(-2 * ln({_PU.format(17)})) * cos(2 * pi() * {_PU.format(25)}) AS z FROM dr),
+dw AS (SELECT s, y, k, CASE WHEN du.n > 64 THEN greatest(0, floor(du.n + sqrt(du.n::DOUBLE) * z + (z * z - 1) / 6 + .5))::BIGINT ELSE coalesce(j, 0) END AS w FROM du LEFT JOIN iv ON iv.n = du.n AND u >= lo AND u < hi),
+dc AS (SELECT k, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM dw GROUP BY k, s),
+rc AS (SELECT k, sum(p) OVER o / nullif(sum(p) OVER (PARTITION BY k), 0)::DOUBLE AS tpr, sum(n) OVER o / nullif(sum(n) OVER (PARTITION BY k), 0)::DOUBLE AS fpr FROM dc WINDOW o AS (PARTITION BY k ORDER BY s DESC)),
+gb AS (SELECT k, ceil(fpr * 200)::INT AS g, max(tpr) AS tpr FROM rc WHERE fpr IS NOT NULL GROUP BY 1, 2),
+ga AS (SELECT k, g, coalesce(max(tpr) OVER (PARTITION BY k ORDER BY g), 0) AS tpr FROM (SELECT k, g FROM range(1, 1001) a(k), range(0, 201) b(g)) LEFT JOIN gb USING (k, g))
+SELECT g::INT AS fpr_grid, round(avg(tpr), 4) AS mean_tpr, round(quantile_cont(tpr, .025), 4) AS low, round(quantile_cont(tpr, .975), 4) AS high FROM ga GROUP BY g""")
 add("e6_series_metrics", lambda s, d: r(evaluation.series_metrics(scored(s, d), "l_suppkey", ("l_linestatus",)), "precision", "recall", "f1", "flag_rate", digits=6),
     f"""WITH {_P}, c AS (SELECT l_suppkey, l_linestatus, count(*) FILTER (y = 1 AND h = 1) AS tp, count(*) FILTER (y = 0 AND h = 1) AS fp, count(*) FILTER (y = 1 AND h = 0) AS fn, count(*) FILTER (y = 0 AND h = 0) AS tn FROM pp GROUP BY 1, 2)
 SELECT *, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + fp) / (tp + fp + fn + tn)::DOUBLE, 6) AS flag_rate FROM c""")

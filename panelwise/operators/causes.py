@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwise import config
+from panelwise.functions.draws import digest, normals
 from panelwise.functions.stats import array_mad, array_median, bind, logistic
 from panelwise.session import literal_table
 
@@ -150,10 +151,14 @@ def relative_importance(ranked: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(cands: DataFrame, draws: int = 200, noise: float = 0.05, seed: int = 7) -> DataFrame:
-    """Percentile interval of the score under relative Gaussian noise on every component."""
-    d = cands.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    for i, c in enumerate(("zscore", "precedence", "proximity", "quality")):
-        d = d.withColumn(c, F.col(c) * (1 + F.randn(seed + i) * noise))
+    """Percentile interval of the score under relative Gaussian noise on every component.
+
+    The noise follows from seed, incident, metric and draw, so it does not depend on partitioning.
+    """
+    d = cands.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))) \
+        .withColumn("_md5", digest(F.lit(seed), F.col("incident_id"), F.col("metric_name"), F.col("_draw")))
+    for c, z in zip(("zscore", "precedence", "proximity", "quality"), normals(F.col("_md5"))):
+        d = d.withColumn(c, F.col(c) * (1 + z * noise))
     s = d.withColumn("_s", _score(config.CAUSE_WEIGHTS)).groupBy("incident_id", "metric_name").agg(
         F.percentile("_s", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"), F.stddev_samp("_s").alias("std_error"))
     point = cands.select("incident_id", "metric_name", _score(config.CAUSE_WEIGHTS).alias("point_estimate"))

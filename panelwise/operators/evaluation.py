@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.operators.ordering import running_totals
+from panelwise.functions.draws import digest, poisson
+from panelwise.operators.ordering import running_totals, with_range
+from panelwise.session import written
 
 HALF_WIDTH = 1.96
 
@@ -79,29 +81,32 @@ def series_metrics(pred: DataFrame, series: str, extra: tuple[str, ...] = ()) ->
                           "flag_rate": (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
 
 
-def roc_band(pred: DataFrame, key: str, draws: int = 1000, grid: int = 200, seed: int = 11, bins: int = 10_000) -> DataFrame:
-    """Percentile band of the ROC curve over Poisson-weighted resamples.
+def roc_band(pred: DataFrame, score: str = "score", label: str = "label", draws: int = 1000, grid: int = 200, seed: int = 11, ranges: int = 16) -> DataFrame:
+    """Percentile band of the ROC curve over bootstrap resamples with Poisson weights, at exact distinct scores.
 
-    Weights follow from a hash of the row and the draw, so the result does not
-    depend on partitioning. Counts are summed per draw and score bin (bounded)
-    before any cumulative step. Every draw starts at (0, 0), so all of them
-    count at every false-positive rate.
+    The weights of rows with one score and label add up to a Poisson variable
+    of their number, so only distinct scores are drawn for, not rows. Draws
+    depend on seed, score, label and draw alone. Scores are cut into ranges; a
+    task sums one range of one draw and the totals of higher ranges are added.
+    Every draw starts at (0, 0), so all of them count at every false-positive rate.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    # inverse Poisson(1) distribution, cumulative probabilities up to 12
-    weight = F.lit(0)
-    total, term = 0.0, 0.36787944117144233
-    for j in range(13):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= j + 1
-    x = pred.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight).where("_w > 0") \
-        .groupBy("draw", F.floor(F.col("score") * bins).alias("bin")).agg(
-            F.sum(F.when(F.col("label") == 1, F.col("_w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("_w")).otherwise(0)).alias("n"))
-    w = W.partitionBy("draw").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
-    a = W.partitionBy("draw")
-    c = x.select("draw", (F.sum("p").over(w) / F.sum("p").over(a)).alias("tpr"), (F.sum("n").over(w) / F.sum("n").over(a)).alias("fpr"))
-    start = c.select("draw").distinct().select("draw", F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    at = c.unionByName(start).withColumn("fpr_grid", F.explode(F.sequence(F.ceil(F.col("fpr") * grid).cast("int"), F.lit(grid)))).groupBy("draw", "fpr_grid").agg(F.max("tpr").alias("tpr"))
+    y = F.col(label)
+    cells = with_range(pred.where(y.isin(0, 1)).groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")), "s", "_range", ranges)
+    x = written(cells).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    for name, kind in (("pos", 1), ("neg", 0)):
+        key = digest(F.lit(seed), F.format_string("%.12f", "s"), F.lit(kind), F.col("draw"))
+        x = poisson(x, name, key, f"w_{name}")
+    x = written(x.select("draw", "_range", "s", "w_pos", "w_neg"))
+    totals = x.groupBy("draw", "_range").agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("n"))
+    above, whole = W.partitionBy("draw").orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("draw")
+    before = totals.select("draw", "_range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"),
+                           F.sum("p").over(whole).alias("p1"), F.sum("n").over(whole).alias("n1"))
+    w = W.partitionBy("draw", "_range").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    c = x.withColumns({"cp": F.sum("w_pos").over(w), "cn": F.sum("w_neg").over(w)}).join(before, ["draw", "_range"]).select(
+        "draw", F.try_divide(F.col("cp") + F.col("p0"), "p1").alias("tpr"), F.try_divide(F.col("cn") + F.col("n0"), "n1").alias("fpr"))
+    best = c.where("fpr IS NOT NULL").groupBy("draw", F.ceil(F.col("fpr") * grid).cast("int").alias("fpr_grid")).agg(F.max("tpr").alias("tpr"))
+    points = pred.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("fpr_grid"))
+    up = W.partitionBy("draw").orderBy("fpr_grid").rowsBetween(W.unboundedPreceding, 0)  # grid + 1 rows
+    at = points.join(best, ["draw", "fpr_grid"], "left").withColumn("tpr", F.coalesce(F.max("tpr").over(up), F.lit(0.0)))
     return at.groupBy("fpr_grid").agg(F.avg("tpr").alias("mean_tpr"), F.percentile("tpr", F.lit(0.025)).alias("low"), F.percentile("tpr", F.lit(0.975)).alias("high"))
-

@@ -27,6 +27,8 @@ def with_range(df: DataFrame, value: str, out: str = "_range", ranges: int = RAN
         return df.withColumn(out, F.lit(0.0))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = sorted({c for c in df.approxQuantile(value, probs, 0.25 / ranges) if math.isfinite(c)})
+    if not cuts:  # an empty table
+        return df.withColumn(out, F.lit(0.0))
     splits = [-math.inf, *cuts, math.inf]
     return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
