@@ -95,17 +95,17 @@ def filter_urls(df: DataFrame, rules: DataFrame, listed: DataFrame | None = None
         bits = F.broadcast(bits)
 
     host, path = host_and_path(F.col("url"))
-    asked = df.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct().select("url", F.explode(_questions(
+    asked = df.select(F.col(url).alias("url")).distinct().select("url", F.explode(_questions(
         host, path, sorted(shape["labels"]), sorted(shape["prefix"]))).alias("key"))
     asked = asked.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
     possible = asked.join(bits, "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("url", "key")
     hits = possible.join(table, "key")
     single = F.col("key").startswith("=")
     best = stored(hits.groupBy("url").agg(
-        F.max(F.when(~single, F.struct(F.length("key").alias("n"), "verdict", F.col("key").alias("rule")))).alias("best"),
+        F.min(F.when(~single, F.struct((-F.length("key")).alias("n"), (F.col("verdict") != "block").alias("open"), F.col("key").alias("rule"), "verdict"))).alias("best"),
         F.max(F.when(single, F.col("verdict"))).alias("own")), "url-verdicts")
     verdicts = best.select(F.col("url").alias("_url"), F.col("best.rule").alias("_rule"), F.coalesce("best.verdict", "own").alias("_verdict"))
     plain = df.drop("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col(url))
-    return plain.join(verdicts, F.col(url) == F.col("_url"), "left").select(
+    return plain.join(verdicts, F.col(url).eqNullSafe(F.col("_url")), "left").select(
         *plain.columns, host.alias("host"), path.alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))

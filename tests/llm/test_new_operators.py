@@ -217,3 +217,17 @@ def test_resampling_edges(spark):
     assert by_id[4]["n_features"] == 3 * 200000 - 3
     assert resampling.resample(docs.where("false"), target).count() == 0
     assert resampling.resample(docs, target.where("false")).count() == 65
+
+
+# 4 url filters: ties and null urls
+
+def test_equally_long_rules_and_null_urls(spark):
+    from panelwise.llm import urls
+
+    pages = spark.createDataFrame([(1, "http://a.b.com/xx/1"), (2, None), (3, "no scheme"), (4, "http://a.b.com/"), (2, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("b.com", "/xx", "allow"), ("a.b.com", "/", "allow"), ("", "", "block")], "host string, path string, verdict string")
+    got = {(r["page_id"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
+    assert got == {(1, "a.b.com/", "allow"), (2, "", "block"), (3, "", "block"), (4, "a.b.com/", "allow")}  # of equal length the smaller text
+    assert urls.filter_urls(pages, rules).count() == 5
+    tied = spark.createDataFrame([("b.com", "/xx", "block"), ("a.b.com", "/", "allow")], "host string, path string, verdict string")
+    assert {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, tied).collect()}[1] == "block"
