@@ -108,8 +108,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the fitted models and hashes; the tests hold the stages that are not fitted (near duplicates, mix, packing) against
-#: brute force and the fitted ones against labels and planted documents.
+#: SQL cannot express the fitted models and hashes. The operators have tests or SQL of their own; the tests of the stages are invariants
+#: (columns, kept documents, agreement with the labels, words taken), no brute force of the whole run.
 ORACLE_SQL = None
 
 
