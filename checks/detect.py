@@ -145,7 +145,10 @@ SQL["d6_univariate_features"] = (f"WITH {with_rolled(MONEY)}, {_UNI} SELECT strf
 
 def detector_flags(s, d):
     """Three deterministic detectors on the univariate panel: level, deviation and jump beyond 3 spreads."""
-    u = univariate(s, d)
+    return flags_of(univariate(s, d))
+
+
+def flags_of(u):
     return u.select("metric_date", F.inline(F.array(
         F.struct(F.lit("level").alias("detector"), (F.col("value") > 0.8).alias("flag")),
         F.struct(F.lit("deviation").alias("detector"), (F.abs("deviation") > 2 * F.col("rolling_std")).alias("flag")),

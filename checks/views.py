@@ -69,18 +69,21 @@ ACTIVITY = " UNION ALL ".join(
     for raw, (kind, etype) in _ET.items())
 
 _OCUST, _TICKET = "'customer:shop:' || o_custkey", "'ticket:shop:' || o_orderkey"
-SUPPORT = " UNION ALL ".join([
+TICKETS = " UNION ALL ".join([
     _sel("support_ticket_opened", "o_orderkey", "o_orderdate", "ticket", _TICKET, "orders",
          "o_orderpriority IN ('1-URGENT', '2-HIGH')", customer=_OCUST),
     _sel("support_ticket_closed", "o_orderkey", "o_orderdate", "ticket", _TICKET, "orders", "o_orderpriority = '5-LOW'",
          customer=_OCUST, resolution_time_hours="o_orderkey % 72"),
     _sel("review_submitted", "o_orderkey", "o_orderdate", "order", "'order:shop:' || o_orderkey", "orders",
-         "o_orderpriority = '3-MEDIUM'", customer=_OCUST, score="1 + o_custkey % 5"),
+         "o_orderpriority = '3-MEDIUM'", customer=_OCUST, score="1 + o_custkey % 5")])
+SUPPORT = " UNION ALL ".join([
+    TICKETS,
     _sel("invoice_paid", "o_orderkey", "o_orderdate", "invoice", _INV, "orders", "o_orderstatus = 'F'",
          amount="o_totalprice", customer=_OCUST, days_to_pay="o_orderkey % 45 + 1"),
     CHURN])
 MONEY = f"{ORDER} UNION ALL {LEDGER}"
 PANEL = f"{ORDER} UNION ALL {LEDGER} UNION ALL {SHIPMENT} UNION ALL {CHURN}"
+WHOLE = f"{PANEL} UNION ALL {TICKETS}"
 
 _G = "coalesce(sum(CASE WHEN event_type IN ({k}) THEN {v} END), 0)"
 

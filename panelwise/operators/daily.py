@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwise import config
 from panelwise.functions.stats import safe_divide
-from panelwise.session import cut_lineage
+from panelwise.session import written
 
 ROUNDING = 6
 EXACT = "decimal(38,6)"
@@ -262,8 +262,8 @@ def gold_wide(ev: DataFrame, by: tuple[str, ...] = (), lo: str | None = None, hi
     are written and everything else is derived from them.
     """
     keys = [*by, "metric_date"]
-    daily = cut_lineage(daily_base(ev, by))
-    people = cut_lineage(customer_days(ev, by))
+    daily = written(daily_base(ev, by), "daily")
+    people = written(customer_days(ev, by), "customer-days")
     spined = on_spine(daily, by, lo, hi)
     rolled = rolling_metrics(spined, by)
     spine = spined.select(*keys)

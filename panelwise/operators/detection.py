@@ -76,12 +76,14 @@ def baseline_stats(gold: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def changepoints(gold: DataFrame, penalty: str | float = "bic", min_size: int = 5,
-                 by: tuple[str, ...] = ()) -> DataFrame:
+                 by: tuple[str, ...] = (), grid: float | None = None) -> DataFrame:
     """Optimal mean-shift segmentation: least squared error plus a penalty per break.
 
     Candidate breaks lie on multiples of ``min_size``. Prefix sums come from a
     window; one array of candidates per metric is folded through the exact
     recurrence F(j) = min_i F(i) + cost(i, j) + penalty, ties to the earliest i.
+    With ``grid``, costs are rounded to its multiples, so that equal costs of
+    series of whole numbers stay equal however their sums were added up.
     """
     keys = [*by, "metric_name"]
     order = _by_metric(by)
@@ -112,6 +114,7 @@ def changepoints(gold: DataFrame, penalty: str | float = "bic", min_size: int =
         def option(i: Column) -> Column:
             wide_enough = F.get("c", j)["i"] - F.get("c", i)["i"] >= min_size
             total = F.get(best, i)["cost"] + cost(i, j) + F.col("pen")
+            total = total if grid is None else F.rint(total / grid) * grid
             return F.struct(F.when(wide_enough, total).otherwise(F.lit(float("inf"))).alias("cost"), i.alias("prev"))
         return F.concat(best, F.array(F.array_min(F.transform(F.sequence(F.lit(0), j - 1), option))))
 

@@ -155,18 +155,25 @@ def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                               amount=F.lit(None)))
 
 
-def support_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets and reviews derived from order priorities, with paid invoices and churn."""
-    o = table(spark, sf_dir, "orders")
+def _ticket_kinds() -> list[dict]:
+    """Tickets and reviews derived from the priority of an order."""
     key, day = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
     customer, ticket, priority = _entity("customer", "o_custkey"), _entity("ticket", key), F.col("o_orderpriority")
-    return _fan_out(
-        o,
+    return [
         _on(priority.isin("1-URGENT", "2-HIGH"), _event("support_ticket_opened", key, day, "ticket", ticket, customer=customer)),
         _on(priority == "5-LOW", _event("support_ticket_closed", key, day, "ticket", ticket, customer=customer,
                       resolution_time_hours=F.col("o_orderkey") % 72)),
         _on(priority == "3-MEDIUM", _event("review_submitted", key, day, "order", _entity("order", key), customer=customer,
                       score=1 + F.col("o_custkey") % 5)),
+    ]
+
+
+def support_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets and reviews derived from order priorities, with paid invoices and churn."""
+    key, day, customer = F.col("o_orderkey").cast("string"), F.col("o_orderdate"), _entity("customer", "o_custkey")
+    return _fan_out(
+        table(spark, sf_dir, "orders"),
+        *_ticket_kinds(),
         _on(F.col("o_orderstatus") == "F", _event("invoice_paid", key, day, "invoice", _entity("invoice", key), amount=F.col("o_totalprice"),
                       customer=customer, days_to_pay=F.col("o_orderkey") % 45 + 1)),
     ).unionByName(churn_events(spark, sf_dir))
@@ -182,6 +189,11 @@ def order_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of the order panel and its tickets and reviews: every one of the 27 metrics has a source."""
+    return order_panel_events(spark, sf_dir).unionByName(_fan_out(table(spark, sf_dir, "orders"), *_ticket_kinds()))
+
+
 def money_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the branches that carry money: no join is needed for the financial metrics."""
     return order_events(spark, sf_dir).unionByName(ledger_events(spark, sf_dir))
