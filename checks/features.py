@@ -265,6 +265,10 @@ add("x7_label_encode", lambda s, d: features.label_encode(t(s, d, "part"), "p_br
     "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part")
 add("x8_impute_and_flag", lambda s, d: features.impute_and_flag(t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("v")), "v"),
     "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice END AS v FROM orders), q AS (SELECT median(v) AS m, quantile_cont(v, .75) AS h FROM o) SELECT o_orderkey, v, coalesce(v, m) AS v_filled, (coalesce(v, m) > h)::INT AS v_high FROM o, q")
+add("x8_quantile_bins", lambda s, d: features.quantile_bins(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("v")), "v", 8)
+    .groupBy("v", "v_bin").agg(F.count("*").alias("n")),
+    "WITH o AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity::DOUBLE END AS v FROM lineitem), q AS (SELECT list_distinct(quantile_cont(v, [.125, .25, .375, .5, .625, .75, .875])) AS e FROM o)"
+    " SELECT v, CASE WHEN v IS NOT NULL THEN len(list_filter(e, lambda x: x < v)) END::INT AS v_bin, count(*) AS n FROM o, q GROUP BY ALL")
 _CC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 add("x9_corr_matrix", lambda s, d: r(features.corr_matrix(t(s, d, "lineitem"), _CC), "r", digits=6),
     " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_CC) for b in _CC[i:]))

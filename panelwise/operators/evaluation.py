@@ -81,12 +81,12 @@ def series_metrics(pred: DataFrame, series: str, extra: tuple[str, ...] = ()) ->
                           "flag_rate": (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
 
 
-def roc_band(pred: DataFrame, score: str = "score", label: str = "label", draws: int = 1000, grid: int = 200, seed: int = 11, ranges: int = 16) -> DataFrame:
+def roc_band(pred: DataFrame, score: str = "score", label: str = "label", draws: int = 1000, grid: int = 200, seed: int = 11, ranges: int | None = None) -> DataFrame:
     """Percentile band of the ROC curve over bootstrap resamples with Poisson weights, at exact distinct scores.
 
     The weights of rows with one score and label add up to a Poisson variable
     of their number, so only distinct scores are drawn for, not rows. Draws
-    depend on seed, score, label and draw alone. Scores are cut into ranges; a
+    depend on seed, score, label and draw alone. Scores are cut into ranges, whose number follows from theirs; a
     task sums one range of one draw and the totals of higher ranges are added.
     Every draw starts at (0, 0), so all of them count at every false-positive rate.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwise.functions.scalar import calendar_features, haversine_km
-from panelwise.operators.ordering import dense_index, exact_quantiles
+from panelwise.operators.ordering import RANGE_ROWS, dense_index, exact_quantiles, parts_for
 
 
 def order_panel(orders: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ TELCO = ["gender_code", "senior_code", *[f"{c}_code" for c in ("partner", "depen
 def label_code(df: DataFrame, column: str, out: str, missing: str = "Unknown") -> DataFrame:
     """Add the 0-based position of a text category among all categories in sorted order."""
     filled = df.withColumn("_c", F.coalesce(F.col(column), F.lit(missing)))
-    return filled.join(dense_index(filled, "_c", out), "_c").drop("_c")
+    return filled.join(dense_index(filled, "_c", out, ranges=None), "_c").drop("_c")
 
 
 def supply_features(df: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ SUPPLY = ["hour", "day", "weekend", "scheduled_days", *MONEY, "mode_code", "segm
 
 def label_encode(df: DataFrame, column: str, unknown: int = -1) -> DataFrame:
     """Sorted position of a category; missing values get ``unknown``."""
-    codes = dense_index(df, column, f"{column}_code")
+    codes = dense_index(df, column, f"{column}_code", ranges=None)
     return df.join(codes, column, "left").fillna(unknown, subset=[f"{column}_code"])
 
 
@@ -249,6 +249,17 @@ def impute_and_flag(df: DataFrame, column: str) -> DataFrame:
         .withColumn(f"{column}_high", (F.col(f"{column}_filled") > at(0.75)).cast("int"))
 
 
+def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Number of the equal-frequency bin of each value, from 0; nulls have none.
+
+    Edges are exact interpolated quantiles; equal edges are one, and a value on
+    an edge belongs to the lower bin.
+    """
+    edges = exact_quantiles(df, column, [i / bins for i in range(1, bins)]).agg(F.array_sort(F.collect_set("quantile")).alias("e")).scalar()
+    value = F.col(column).cast("double")
+    return df.withColumn("_edges", edges).withColumn(f"{column}_bin", F.when(value.isNotNull(), F.size(F.filter("_edges", lambda e: e < value)))).drop("_edges")
+
+
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair from one pass of sums."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
@@ -256,15 +267,17 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])))
 
 
-def stratified_split(df: DataFrame, key: str, label: str, ratios: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, ratios: tuple[float, float] = (0.70, 0.15), rows: int = RANGE_ROWS) -> DataFrame:
     """train / valid / test by the position of a row's key hash within its label.
 
     Positions come from counts per hash bucket plus an in-bucket rank, so no
-    label is ordered in one task.
+    label is ordered in one task. A bucket is a prefix of the hash, as many bits
+    as leave about ``rows`` rows in it; the split does not depend on it.
     """
-    h = df.withColumn("_h", F.xxhash64(F.lit("split"), F.col(key))).withColumn("_b", F.shiftright("_h", 54))
+    bits = (parts_for(df.count(), rows) - 1).bit_length()
+    h = df.withColumn("_h", F.xxhash64(F.lit("split"), F.col(key))).withColumn("_b", F.floor(F.col("_h") / float(2 ** (64 - bits))).cast("long"))
     counts = h.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    w = W.partitionBy(label)  # at most 1024 buckets per label
+    w = W.partitionBy(label)  # one row per bucket
     base = counts.select(label, "_b", (F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_o"), F.sum("_n").over(w).alias("_all"))
     pos = (F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)) - 1 + F.col("_o")) / F.col("_all")
     share = h.join(base, [label, "_b"]).withColumn("_p", pos)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.operators.ordering import exact_quantiles
+from panelwise.operators.ordering import exact_quantiles, parts_for
 from panelwise.session import cut_lineage
 
 SEED = 42
@@ -195,9 +195,9 @@ def permutation_importance(df: DataFrame, key: str, columns: list[str], model: P
     """Loss of accuracy when one column takes the value of another row.
 
     The donor is the row holding the next position in a hash order within one
-    of many hash buckets, so the shuffle is a window over bounded buckets.
+    of the hash buckets, whose number follows from that of the rows.
     """
-    buckets = 1024
+    buckets = parts_for(df.count())
     base = df.withColumn("_b", F.pmod(F.xxhash64(F.lit("perm"), F.col(key)), F.lit(buckets)))
     ring = W.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(1)))
     whole = W.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(1))).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
