@@ -176,6 +176,11 @@ def _log(s, d):
 
 add("m5_alert_state", lambda s, d: monitors.alert_state(_log(s, d)).select("alert_id", "status", "incident_id"),
     """SELECT event_id % 997 AS alert_id, arg_max(CASE event_type WHEN 'click' THEN 'acknowledged' WHEN 'view' THEN 'dismissed' ELSE 'active' END, ts) AS status, arg_max('inc' || user_id, ts) FILTER (event_type = 'purchase') AS incident_id FROM events GROUP BY 1""")
+add("m5_active_alerts", lambda s, d: monitors.active_alerts(
+    alerts(s, d).withColumn("alert_id", F.col("alert_id") % 1499), _log(s, d)).groupBy("severity", "severity_rank").agg(F.count("*").alias("n"), F.count("incident_id").alias("linked")),
+    f"""WITH st AS ({SQL["m5_alert_state"]}), al AS (SELECT event_id % 1499 AS alert_id, CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity FROM events WHERE event_type = 'error')
+SELECT severity, severity_rank, count(*) AS n, count(incident_id) AS linked FROM al LEFT JOIN st USING (alert_id) JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in config.SEVERITY_RANK.items())}) k(severity, severity_rank) USING (severity)
+WHERE coalesce(status, 'active') = 'active' GROUP BY 1, 2""")
 add("m6_recommended_monitors", lambda s, d: monitors.recommended_monitors(panel_incidents(s, d)).groupBy("metric_name", "condition", "frequency", "severity_if_triggered").agg(F.count("*").alias("n")),
     f"""WITH {inc_sql()}, rec(t, m, c, f) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}', '{c}')" for k, v in monitors.RECOMMENDED.items() for a, b, c in v)})
 SELECT m AS metric_name, c AS condition, f AS frequency, CASE WHEN sev IN ('high', 'critical') THEN 'high' ELSE 'medium' END AS severity_if_triggered, count(*) AS n FROM inc JOIN rec USING (t) GROUP BY 1, 2, 3, 4""")

@@ -245,6 +245,10 @@ add("x3_tfidf", lambda s, d: r(features.tfidf(t(s, d, "conversations").withColum
     r"""WITH c AS (SELECT conv_id || '-' || turn AS k, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 1) AS w FROM conversations),
 g AS (SELECT k, unnest(w) AS term FROM c UNION ALL SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM c), tf AS (SELECT k, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM conversations),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT term, max(df) AS df, CAST(sum(tf) AS BIGINT) AS tf, round(sum(tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1)), 4) AS weight FROM tf JOIN df USING (term), n WHERE df >= 3 AND df <= .95 * n GROUP BY term""")
+_STOP = ("about", "and", "are", "but", "can", "for", "how", "in", "is", "it", "not", "of", "on", "that", "the", "this", "to", "was", "what", "with", "you")
+add("x3_tfidf_stop_words", lambda s, d: r(features.tfidf(t(s, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k", "text", stop_words=_STOP)
+    .groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("tf"), F.sum("weight").alias("weight")), "weight"),
+    SQL["x3_tfidf"].replace("lambda w: length(w) > 1", f"lambda w: length(w) > 1 AND w NOT IN {_STOP}"))
 add("x4_sentiment_label", lambda s, d: scalar.sentiment_label(t(s, d, "documents").withColumn("score", 1 + F.col("doc_id") % 5), "score", "text").groupBy("label").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN 1 + doc_id % 5 <= 2 THEN 0 WHEN 1 + doc_id % 5 = 3 THEN 1 ELSE 2 END AS label, count(*) AS n FROM documents WHERE length(trim(text)) > 10 GROUP BY 1")
 

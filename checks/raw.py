@@ -311,6 +311,30 @@ UNION ALL SELECT 'total_reviews', count(*)::VARCHAR FROM events WHERE event_type
 UNION ALL SELECT 'avg_review_score', round(avg(1 + CAST(json_extract_string(props, '$.k') AS INT) % 5), 4)::DECIMAL(38,4)::VARCHAR FROM events WHERE event_type = 'view'
 UNION ALL SELECT 'status:' || o_orderstatus, count(*)::VARCHAR FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'payment:' || l_returnflag, count(*)::VARCHAR FROM lineitem GROUP BY l_returnflag"""
 
+_AUDITED = ("customer", "orders", "lineitem", "documents", "pages", "labels")
+
+
+def _null_shares(s, d):
+    """Every column of six tables; columns of orders and customers are blanked where their keys say so, so that there is something to find."""
+    out = None
+    for name in _AUDITED:
+        df = star.table(s, d, name)
+        if name in _BLANKS:
+            column, key, step = _BLANKS[name]
+            df = df.withColumn(column, F.when(F.col(key) % step != 0, F.col(column)))
+        one = raw.null_shares(df, name)
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("share", F.round("share", 6))
+
+
+_BLANKS = {"orders": ("o_totalprice", "o_orderkey", 6), "customer": ("c_acctbal", "c_custkey", 4)}
+QUERIES["s13_null_shares"] = _null_shares
+# the columns of a table are those of its file: SQL turns each into a text and unpivots them
+SQL["s13_null_shares"] = " UNION ALL ".join(
+    "SELECT '{t}' AS \"table\", name AS \"column\", (sum((value IS NULL)::INT))::BIGINT AS nulls, count(*) AS rows, round(avg((value IS NULL)::INT), 6) AS share "
+    "FROM (SELECT COLUMNS(*)::VARCHAR FROM {src}) UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(*))) GROUP BY name".format(
+        t=t, src=t if t not in _BLANKS else "(SELECT * REPLACE (CASE WHEN {1} % {2} <> 0 THEN {0} END AS {0}) FROM {3})".format(*_BLANKS[t], t)) for t in _AUDITED)
+
 # --- quality ---------------------------------------------------------------------------
 QUERIES["q1_completeness"] = lambda s, d: quality.completeness(bronze(s, d)).groupBy("entity_type", "completeness").agg(F.count("*").alias("n"))
 SQL["q1_completeness"] = """WITH x AS (SELECT 'Invoice' AS k, ((o_orderkey % 97 <> 0)::INT + 2 + (o_custkey % 50 <> 0)::INT) / 4.0 AS c FROM orders

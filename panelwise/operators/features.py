@@ -299,9 +299,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(c, label).withColumn("weight", total / (k * F.col("_n"))).drop("_n")
 
 
-def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_df: float = 0.95, bigrams: bool = True) -> DataFrame:
-    """(key, term, tf, df, weight) with tf x (ln((1 + n) / (1 + df)) + 1), for 1- and 2-grams in range."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+def tfidf(df: DataFrame, key: str, text: str, min_df: int = 3, max_df: float = 0.95, bigrams: bool = True,
+          stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, tf, df, weight) with tf x (ln((1 + n) / (1 + df)) + 1), for 1- and 2-grams in range.
+
+    Stop words go before the 2-grams are made, so a 2-gram may span them.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words) if stop_words else F.length(w) > 1)
     t = df.select(key, words.alias("w"))
     grams = F.col("w")
     if bigrams:

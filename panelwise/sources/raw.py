@@ -246,3 +246,11 @@ def profile(orders: DataFrame, payments: DataFrame, sellers: DataFrame, products
                  shares(orders, "status", "status"), shares(payments, "payment_type", "payment")):
         out = out.unionByName(part)
     return out
+
+
+def null_shares(df: DataFrame, table: str) -> DataFrame:
+    """(table, column, nulls, rows, share) for every column, from one pass; NaN counts as a value, the share of an empty table is null."""
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    return counts.select("_rows", F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), (F.col("_rows") - F.col(f"_n{i}")).alias("nulls")) for i, c in enumerate(df.columns)]))) \
+        .select("table", "column", "nulls", F.col("_rows").alias("rows"), F.try_divide("nulls", F.col("_rows")).alias("share"))
