@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, hamming, langid, licences, mixing, neardup, packing, permutation, quality, resampling, urls, warc, whitening
+from panelwise.llm import bpe, hamming, langid, licences, mixing, neardup, notices, packing, permutation, quality, resampling, urls, warc, whitening
 from panelwise.llm.common import crc_mod, stored, word_count
 from panelwise.session import literal_table, shared_folder
 
@@ -86,6 +86,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files, "page_id", "path", licences.visible_text(F.col("html")), licence_file="")
 
 
+def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op10_license_scan``, by cosine alone, with all templates, the table's own frequencies and counter-templates."""
+    host, path = urls.host_and_path(F.col("url"))
+    files = _read(spark, sf_dir, "pages").select("page_id", F.concat(host, path).alias("path"), "html")
+    return notices.scan(files, "page_id", "path", licences.visible_text(F.col("html")), licence_file="")
+
+
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector and component, numbered from 1 by falling variance."""
     white = whitening.whiten(_read(spark, sf_dir, "embeddings"), parts=8)
@@ -114,7 +121,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_discriminant, op2_source_mix, op3_language_spans, op4_url_verdicts, op5_near_duplicates, op6_hamming_top_k,
-    op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan, op11_embedding_whitening, op12_bpe_round_trip,
+    op7_permutation_search, op8_length_buckets, op9_warc_archives, op10_license_scan, op10_license_notices, op11_embedding_whitening, op12_bpe_round_trip,
     op13_importance_resampling)}
 
 # --- DuckDB SQL where SQL can express a query; fitted models (1, 3), the approximate index (7), the packing optimum (8), eigenvectors (11) and
@@ -179,6 +186,54 @@ ne AS (SELECT d.dir, arg_max(granted, length(gr.dir)) AS granted, arg_max(gr.dir
 SELECT page_id, path, coalesce(licence, granted) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'notice' WHEN granted IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
   CASE WHEN licence IS NULL THEN from_directory END AS from_directory FROM m LEFT JOIN ne USING (dir)"""
 
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows) + ")"
+
+
+def _sql_terms(text: str) -> str:
+    negation = notices.NEGATION.replace("'", "''")
+    return f"regexp_extract_all(replace(regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), '{negation}', ' not', 'g'), 'licence', 'license'), '{notices.TERM}')"
+
+
+_END = notices.SENTENCE_END.replace("'", "''")
+_OP10_NOTICES = rf"""WITH {_URL}, x AS MATERIALIZED (SELECT page_id, host || path AS path, regexp_replace(html, '<!--|-->|<[^>]*>', chr(10), 'g') AS t FROM v),
+nm(licence, name) AS {_values((k, n) for k, v in notices.NAMES.items() for n in v)}, gr(g) AS {_values((g,) for g in notices.GRANTS)}, mn(m) AS {_values((m,) for m in notices.MENTIONS)},
+an AS (SELECT name FROM nm UNION ALL SELECT 'License'),
+tx AS (SELECT licence, 0 AS title, replace(g, '{{}}', name) AS t FROM nm, gr UNION ALL SELECT '', 0, replace(g, '{{}}', name) || ' not' FROM an, gr UNION ALL SELECT '', 0, replace(m, '{{}}', name) FROM an, mn
+  UNION ALL SELECT '', 0, replace(g, '{{}}', 'License') FROM gr UNION ALL SELECT licence, 1, name FROM nm UNION ALL SELECT a, 1, b FROM {_values(notices.TITLES)} y(a, b) UNION ALL SELECT a, 0, b FROM {_values(notices.SENTENCES)} y(a, b)),
+tm AS MATERIALIZED (SELECT licence, title, terms, row_number() OVER () AS template FROM (SELECT DISTINCT licence, title, list_sort(list_distinct({_sql_terms("t")})) AS terms FROM tx)),
+tt AS MATERIALIZED (SELECT template, licence, title, unnest(terms) AS term FROM tm), vo AS (SELECT DISTINCT term FROM tt), al AS (SELECT list(term) AS known FROM vo), cn AS (SELECT count(*) AS n FROM x),
+df AS (SELECT term, count(*) AS d FROM (SELECT unnest(list_distinct({_sql_terms("t")})) AS term FROM x) JOIN vo USING (term) GROUP BY term),
+i AS MATERIALIZED (SELECT term, pow(ln((1 + n) / (1 + coalesce(d, 0))) + 1, 2) AS sq FROM vo LEFT JOIN df USING (term), cn),
+ts AS (SELECT template, sum(sq) AS tsq FROM tt JOIN i USING (term) GROUP BY template),
+pa AS (SELECT page_id, unnest(regexp_split_to_array(regexp_replace(replace(t, chr(13), ''), '{notices.COMMENT}', '', 'g'), '{notices.BLANK}')) AS p FROM x),
+se AS (SELECT page_id, {_sql_terms("s")} AS w FROM (SELECT page_id, unnest(string_split(regexp_replace(p, '{_END}', '' || chr(10) || chr(10) || '', 'g'), chr(10) || chr(10))) AS s FROM pa)),
+he AS (SELECT page_id, w FROM (SELECT page_id, {_sql_terms("s")} AS w FROM (SELECT page_id, unnest([regexp_extract(p, '^[ 	
+]*([^
+]*)', 1), regexp_extract(p, '^[ 	
+]*([^
+]*
+[^
+]*)', 1)]) AS s FROM pa)) WHERE len(w) <= {notices.TITLE_WORDS}),
+sp AS (SELECT page_id, 0 AS title, CASE WHEN len(w) <= {notices.SPAN} THEN w ELSE list_slice(w, b, b + {notices.SPAN - 1}) END AS w
+  FROM (SELECT page_id, w, unnest(CASE WHEN len(w) <= {notices.SPAN} THEN [1] ELSE range(1, len(w) - {notices.SPAN // 2 - 1}, {notices.SPAN // 2}) END) AS b FROM se) UNION ALL SELECT page_id, 1, w FROM he),
+hd AS MATERIALIZED (SELECT DISTINCT page_id, title, held, CASE WHEN title = 1 THEN len(list_distinct(w)) - len(held) ELSE 0 END AS f FROM (SELECT page_id, title, w, list_sort(list_intersect(w, known)) AS held FROM sp, al) WHERE len(held) > 0),
+st AS MATERIALIZED (SELECT row_number() OVER () AS k, title, held, f FROM (SELECT DISTINCT title, held, f FROM hd)),
+su AS MATERIALIZED (SELECT k, title, f, unnest(held) AS term FROM st), ss AS (SELECT k, sum(sq) + any_value(f) * pow(ln(1 + any_value(n)) + 1, 2) AS ssq FROM su JOIN i USING (term), cn GROUP BY k),
+dt AS (SELECT k, template, any_value(su.title) AS title, any_value(licence) AS licence, sum(sq) AS dot FROM su JOIN i USING (term) JOIN tt ON tt.term = su.term AND tt.title = su.title GROUP BY k, template),
+sc AS (SELECT k, licence, max(round(dot / sqrt(tsq * ssq), 9)) AS score FROM dt JOIN ts USING (template) JOIN ss USING (k) WHERE round(dot / sqrt(tsq * ssq), 9) >= CASE WHEN title = 1 THEN {notices.TITLE_THRESHOLD} ELSE {notices.THRESHOLD} END GROUP BY k, licence),
+rk AS (SELECT k, licence, score, row_number() OVER w AS r, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY k ORDER BY score DESC, licence DESC)),
+cl AS (SELECT title, held, f, licence, score FROM rk JOIN st USING (k) WHERE r = 1 AND licence <> '' AND (second IS NULL OR round(score - second, 9) >= {notices.MARGIN})),
+fl AS (SELECT page_id, licence, max(score) AS score FROM hd JOIN cl USING (title, held, f) GROUP BY ALL),
+ow AS (SELECT page_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, licence) AS k FROM fl
+  WHERE NOT (licence = 'BSD-2-Clause' AND page_id IN (SELECT page_id FROM fl WHERE licence = 'BSD-3-Clause'))) WHERE k = 1),
+m AS (SELECT page_id, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE path || '/' END AS dir, licence, score FROM x LEFT JOIN ow USING (page_id)),
+ga AS (SELECT dir, licence AS granted FROM (SELECT dir, licence, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) AS k FROM m WHERE licence IS NOT NULL GROUP BY dir, licence) WHERE k = 1),
+ne AS (SELECT d.dir, arg_max(granted, length(ga.dir)) AS granted, arg_max(ga.dir, length(ga.dir)) AS from_directory FROM (SELECT DISTINCT dir FROM m) d JOIN ga ON starts_with(d.dir, ga.dir) GROUP BY 1)
+SELECT page_id, path, coalesce(licence, granted) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'notice' WHEN granted IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+  CASE WHEN licence IS NULL THEN from_directory END AS from_directory FROM m LEFT JOIN ne USING (dir)"""
+
+
 def _crc_table() -> list[int]:
     """The byte table of CRC-32 (reflected polynomial 0xEDB88320)."""
     def after(value: int) -> int:
@@ -203,5 +258,5 @@ x AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(wei
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS able FROM x WHERE n_features >= 57)
 SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * able // 100 THEN k END AS rank FROM x LEFT JOIN r USING (doc_id)"""
 
-SQL: dict[str, str] = {"op2_source_mix": _OP2, "op4_url_verdicts": _OP4, "op5_near_duplicates": _OP5, "op6_hamming_top_k": _OP6, "op9_warc_archives": _OP9, "op10_license_scan": _OP10,
+SQL: dict[str, str] = {"op2_source_mix": _OP2, "op4_url_verdicts": _OP4, "op5_near_duplicates": _OP5, "op6_hamming_top_k": _OP6, "op9_warc_archives": _OP9, "op10_license_scan": _OP10, "op10_license_notices": _OP10_NOTICES,
                        "op13_importance_resampling": _OP13}
