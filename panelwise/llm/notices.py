@@ -194,16 +194,17 @@ def sentences(paragraph: Column) -> Column:
 def inverse_frequencies(files: DataFrame, text: Column, terms_of: list[str]) -> tuple[dict[str, float], float]:
     """ln((1 + files) / (1 + files with the term)) + 1 for every term of the templates, and the value of a term that no file has; null texts are files too."""
     total = files.count()
-    held = files.select(F.explode(F.array_intersect(words(text), F.array(*[F.lit(t) for t in terms_of]))).alias("term"))
+    held = files.select(F.explode(F.array_distinct(F.filter(words(text), lambda t: t.isin(*terms_of)))).alias("term"))
     found = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
     return {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in terms_of}, math.log(1 + total) + 1
 
 
 def spans(files: DataFrame, key: str, text: Column, terms_of: list[str], wanted: set[str]) -> DataFrame:
     """(key, title, held, foreign): the template terms of every stretch that has an anchor; heads of paragraphs also count their foreign words."""
-    known, anchor = F.array(*[F.lit(t) for t in terms_of]), F.array(*[F.lit(t) for t in sorted(wanted)])
-    seen = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t).replace("license", "licen[cs]e") if t != "not" else NEGATION + "|not" for t in sorted(wanted)) + ")"
-    part = files.select(F.col(key).alias("key"), F.explode(F.filter(paragraphs(text), lambda p: p.rlike(seen))).alias("part"))
+    def anchored(w: Column) -> Column:
+        return F.exists(w, lambda t: t.isin(*sorted(wanted)))  # one hash set a task; array functions would build theirs anew for every row
+
+    part = files.select(F.col(key).alias("key"), F.explode_outer(paragraphs(text)).alias("part")).where(anchored(words(F.col("part"))))
 
     def stretch(s: Column) -> Column:
         n = F.size(s)
@@ -211,16 +212,17 @@ def spans(files: DataFrame, key: str, text: Column, terms_of: list[str], wanted:
         return F.when(n <= SPAN, F.array(s)).otherwise(F.transform(starts, lambda i: F.slice(s, i, SPAN)))
 
     def marked(s: Column, title: bool) -> Column:
-        held = F.array_sort(F.array_intersect(s, known))
+        held = F.array_sort(F.filter(F.array_distinct(s), lambda t: t.isin(*terms_of)))
         foreign = F.size(F.array_distinct(s)) - F.size(held) if title else F.lit(0)
         return F.struct(F.lit(title).alias("title"), held.alias("held"), foreign.alias("foreign"))
 
-    plain = F.flatten(F.transform(F.filter(sentences(F.col("part")), lambda s: s.rlike(seen)), lambda s: stretch(words(s))))
+    plain = F.flatten(F.transform(F.filter(F.transform(sentences(F.col("part")), words), anchored), stretch))
     heads = F.filter(F.transform(F.array(*[F.regexp_extract("part", p, 1) for p in (r"^[ \t\n]*([^\n]*)", r"^[ \t\n]*([^\n]*\n[^\n]*)")]), words),
                      lambda s: (F.size(s) > 0) & (F.size(s) <= TITLE_WORDS))
     both = F.concat(F.transform(plain, lambda s: marked(s, False)), F.transform(heads, lambda s: marked(s, True)))
-    return part.select("key", F.explode(F.array_distinct(F.filter(both, lambda x: F.arrays_overlap(x["held"], anchor)))).alias("s")) \
-        .select("key", "s.*").distinct()
+    # the outer form, since Spark tests the array of a plain explode before it, which computes it twice
+    return part.select("key", F.explode_outer(F.array_distinct(F.filter(both, lambda x: anchored(x["held"])))).alias("s")) \
+        .where("s IS NOT NULL").select("key", "s.*").distinct()
 
 
 def _from_json(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
