@@ -376,6 +376,22 @@ SQL["q4_reject_split"] = f"""WITH o AS (SELECT *, {_BAL} AS bal, CAST(o_orderdat
 e AS (SELECT o_orderkey AS k, o_totalprice AS a FROM o UNION ALL SELECT o_orderkey, o_totalprice FROM o WHERE bal = 0 UNION ALL SELECT o_orderkey, bal FROM o WHERE bal > 0 AND day + 30 < DATE '{AS_OF}'),
 f AS (SELECT concat_ws('+', CASE WHEN k % 10 = 0 THEN 'invalid_currency' END, CASE WHEN k % 14 = 0 AND a * 1e8 > 1e12 THEN 'amount_out_of_range' END) AS x FROM e)
 SELECT CASE WHEN x = '' THEN 'USD' ELSE x END AS reason, count(*) AS n FROM f GROUP BY 1"""
+
+
+def _rejects_whole(s, d):
+    """All entity types: currencies and amounts are spoilt where the whole amount says so."""
+    ev = silver.to_silver(bronze(s, d), AS_OF)
+    whole = F.floor(F.abs("amount"))
+    ev = ev.withColumn("currency", F.when(whole % 10 == 0, "US").otherwise("usd")).withColumn("amount", F.when(whole % 14 == 1, F.col("amount") * 1e9).otherwise(F.col("amount")))
+    valid, bad = quality.split_valid(ev)
+    return bad.groupBy("event_type", F.concat_ws("+", "reasons").alias("reason")).agg(F.count("*").alias("n")).unionByName(
+        valid.groupBy("event_type", F.col("currency").alias("reason")).agg(F.count("*").alias("n")))
+
+
+QUERIES["q4_reject_split_whole"] = _rejects_whole
+SQL["q4_reject_split_whole"] = SQL["t9_to_silver"].rsplit("SELECT k AS event_type", 1)[0] + """, f AS (SELECT k, floor(abs(a)) AS w, a FROM x WHERE NOT contains(k, ':')),
+g AS (SELECT k, concat_ws('+', CASE WHEN w % 10 = 0 THEN 'invalid_currency' END, CASE WHEN w % 14 = 1 AND abs(a) * 1e9 > 1e12 THEN 'amount_out_of_range' END) AS r FROM f)
+SELECT k AS event_type, CASE WHEN r = '' THEN 'USD' ELSE r END AS reason, count(*) AS n FROM g GROUP BY 1, 2"""
 QUERIES["q4_batch_totals"] = lambda s, d: quality.batch_totals(silver.order_file_events(*order_files(s, d)).withColumn("currency", F.when(F.col("amount") > 200000, "R$").otherwise(F.col("currency"))))
 SQL["q4_batch_totals"] = f"""WITH z AS ({SQL["t10_order_file_events"]})
 SELECT count(*) AS total, count(*) FILTER (coalesce(amount, 0) <= 200000) AS valid, count(*) FILTER (coalesce(amount, 0) > 200000) AS rejected FROM z"""
