@@ -7,6 +7,7 @@ from checks.detect import _UNI, MONEY_METRICS, gold_table, money_long, r, text_d
 from checks.features import order_star, t
 from checks.views import MONEY, with_rolled
 from panelwise.operators import causes, daily, ensemble, evaluation, features, forecast, learning, neighbours
+from panelwise.operators.ordering import parts_for
 from panelwise.session import cut_lineage
 from panelwise.sources import star
 
@@ -92,9 +93,9 @@ def texts(s, d):
 @_add("l8_text_models")
 def _text(s, d):
     x, out = features.stratified_split(texts(s, d), "doc_id", "label"), None
-    for kind in ("logistic", "bayes", "forest", "svm"):
-        p = learning.text_pipeline(kind).fit(x.where("split = 'train'")).transform(x.where("split <> 'train'"))
-        m = evaluation.summary_metrics(cut_lineage(p.select("label", "prediction"))).withColumn("model", F.lit(kind))
+    x = cut_lineage(x.repartition(parts_for(x.count(), 500)))
+    for kind, p in learning.text_predictions(x.where("split = 'train'"), x.where("split <> 'train'")).items():
+        m = evaluation.summary_metrics(cut_lineage(p)).withColumn("model", F.lit(kind))
         out = m if out is None else out.unionByName(m)
     return out
 

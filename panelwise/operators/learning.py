@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwise.operators import forest
 from panelwise.operators.ordering import exact_quantiles, parts_for
-from panelwise.session import cut_lineage
+from panelwise.session import cut_lineage, written
 
 SEED = 42
 
@@ -162,14 +163,48 @@ def fit_stacked(train: DataFrame, key: str, columns: list[str], kinds: tuple[str
     return lambda df: score(apply(df, base), meta, {})
 
 
-def text_pipeline(kind: str, text: str = "text", vocabulary: int = 1 << 24, min_df: int = 3) -> Pipeline:
-    """Tokens, bigrams, counts and idf in front of a text classifier; all terms of at least ``min_df`` texts unless ``vocabulary`` is set."""
-    model = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "bayes": lambda: NaiveBayes(),
-             "forest": lambda: RandomForestClassifier(numTrees=20, seed=SEED), "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=15))}[kind]()
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+"), StopWordsRemover(inputCol="_w", outputCol="_k", locale="en_US"), NGram(n=2, inputCol="_k", outputCol="_b"),
+def text_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_k``, the words without stop words, and ``_b``, their bigrams."""
+    words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+").transform(df)
+    kept = StopWordsRemover(inputCol="_w", outputCol="_k", locale="en_US").transform(words).drop("_w")
+    return NGram(n=2, inputCol="_k", outputCol="_b").transform(kept)
+
+
+def text_features(train: DataFrame, vocabulary: int = 1 << 24, min_df: int = 3) -> PipelineModel:
+    """Counts and idf of words and bigrams (see ``text_tokens``); all terms of at least ``min_df`` texts unless ``vocabulary`` is set."""
+    counts = Pipeline(stages=[
         CountVectorizer(inputCol="_k", outputCol="_c1", vocabSize=vocabulary, minDF=min_df), CountVectorizer(inputCol="_b", outputCol="_c2", vocabSize=vocabulary, minDF=min_df),
-        VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_c"), IDF(inputCol="_c", outputCol="features"), model])
+        VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_c")]).fit(train)
+    idf = IDF(inputCol="_c", outputCol="features").fit(cut_lineage(counts.transform(train).select("_c")))
+    return PipelineModel(stages=[*counts.stages, idf])
+
+
+def text_predictions(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("logistic", "bayes", "forest", "svm"), text: str = "text",
+                     min_df: int = 3) -> dict[str, DataFrame]:
+    """(label, prediction) of ``test`` by each kind of text classifier.
+
+    Texts are tokenised and counted once for all kinds. The forest takes the
+    counts as rows of (row, term, n); idf is a factor per term, so it has the same splits.
+    """
+    def tokens(df: DataFrame, test_row: bool) -> DataFrame:
+        return text_tokens(df, text).select("label", F.lit(test_row).alias("test"), "_k", "_b")
+    both = tokens(train, False).unionByName(tokens(test, True)).withColumn("row", F.monotonically_increasing_id())
+    both = cut_lineage(both)
+    known = both.where("NOT test")
+    models = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "bayes": lambda: NaiveBayes(), "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=15))}
+    out = {}
+    if set(kinds) - {"forest"}:
+        x = cut_lineage(text_features(known, min_df=min_df).transform(both).select("label", "test", "features"))
+        out = {kind: models[kind]().fit(x.where("NOT test")).transform(x.where("test")).select("label", "prediction") for kind in kinds if kind != "forest"}
+    if "forest" in kinds:
+        terms = both.select("row", "test", F.explode(F.concat("_k", "_b")).alias("term")).groupBy("row", "test", "term").agg(F.count("*").alias("n"))
+        terms = written(terms, "text-terms")
+        common = terms.where("NOT test").groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df).select("term")
+        terms = written(terms.join(common, "term"), "text-terms")
+        model = forest.fit_forest(known.select("row", "label"), terms.where("NOT test").drop("test"), trees=20)
+        asked = both.where("test").select("row", "label")
+        out["forest"] = asked.join(model.predict(asked, terms.where("test").drop("test")), "row").select("label", "prediction")
+    return {kind: out[kind] for kind in kinds}
 
 
 def fit_embedding(train: DataFrame, vector: str = "embedding") -> PipelineModel:
