@@ -24,7 +24,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from panelwise import config
 from panelwise.operators import monitors
+from panelwise.session import written
 
+SHARDS = "spark.sql.shuffle.partitions"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RELEASED = "monitor_id long, alert_id long, at long"
@@ -79,10 +81,14 @@ def link(df: DataFrame, batch: int, root: str, hours: float = config.SUPPRESSION
     """Judge the alerts that a micro-batch released: ``emitted`` gets those that pass, ``last`` every monitor's latest one."""
     spark = df.sparkSession
     out, kept = f"{root}/emitted/batch={batch}", f"{root}/last/batch={batch}"
-    now = df.select("alert_id", "monitor_id", "at")
+    now = written(df.select("alert_id", "monitor_id", "at"), "released")  # every other use would run the stateful stage again
     if batch:
         last = _table(spark, root, "last", EMITTED).where(F.col("batch") == batch - 1).drop("batch")
-        now = now.withColumn("old", F.lit(False)).unionByName(last.join(df.select("monitor_id").distinct(), "monitor_id").withColumn("old", F.lit(True)))
+        if now.isEmpty():
+            last.limit(0).write.mode("overwrite").parquet(out)
+            last.select("alert_id", "monitor_id", "at").write.mode("overwrite").parquet(kept)
+            return
+        now = now.withColumn("old", F.lit(False)).unionByName(last.join(now.select("monitor_id").distinct(), "monitor_id").withColumn("old", F.lit(True)))
     else:
         now = now.withColumn("old", F.lit(False))
     judged = monitors.suppress(now.withColumn("triggered_at", F.timestamp_micros("at")), hours)
@@ -94,17 +100,24 @@ def link(df: DataFrame, batch: int, root: str, hours: float = config.SUPPRESSION
         .select("alert_id", "monitor_id", "at").write.mode("overwrite").parquet(kept)
 
 
-def run(alerts: DataFrame, root: str, hours: float = config.SUPPRESSION_HOURS, delay: str = "1 day") -> None:
-    """Take all alerts that are available; the next call goes on from the checkpoint."""
+def run(alerts: DataFrame, root: str, hours: float = config.SUPPRESSION_HOURS, delay: str = "1 day", shards: int | None = None) -> None:
+    """Take all alerts that are available; the next call goes on from the checkpoint.
+
+    Every shard of the state opens its store and a Python worker in every
+    batch, so unless ``shards`` says otherwise there is one per core. A stream
+    keeps the number it was first started with.
+    """
     spark = alerts.sparkSession
-    before = spark.conf.get(PROVIDER)
+    before, width = spark.conf.get(PROVIDER), spark.conf.get(SHARDS)
     spark.conf.set(PROVIDER, ROCKSDB)  # timers and lists need it; a query keeps what it was started with
+    spark.conf.set(SHARDS, str(shards or min(int(width), spark.sparkContext.defaultParallelism)))
     try:
         query = released(alerts, hours, delay).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint") \
             .foreachBatch(lambda df, batch: link(df, batch, root, hours)).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set(SHARDS, width)
 
 
 def emitted(spark: SparkSession, root: str) -> DataFrame:
