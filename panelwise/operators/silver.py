@@ -34,24 +34,39 @@ def _eid(kind: str, key: Column) -> Column:
 
 def make_event(kind: str | Column, time: Column, entity_type: str, key: Column, *, entity_kind: str | None = None,
                related: dict[str, Column] | None = None, amount: Column | None = None, currency: Column | str = "USD",
-               flags: Column | None = None, **attrs: Column) -> Column:
-    """Struct of one canonical event; ids are derived from the natural key."""
+               flags: Column | None = None, **attrs: Column) -> dict[str, Column | dict[str, Column]]:
+    """Column expressions of one canonical event (see ``fan_out``); ids are derived from the natural key."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     entries = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), _eid(k, v).alias("value"))) for k, v in (related or {}).items()]
     empty = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
     rel = F.map_from_entries(F.array_compact(F.array(*entries, F.when(F.lit(False), empty))))
-    fields = [attrs.get(n, F.lit(None)).cast(t).alias(n) for n, t in _SPLIT]
-    return F.struct(
-        F.concat_ws(":", kind, F.col("source"), key).alias("event_id"), kind.alias("event_type"),
-        time.alias("event_time"), F.col("ingested_at"), F.col("source"), key.alias("source_entity_id"),
-        F.lit(entity_type).alias("entity_type"), _eid(entity_kind or entity_type, key).alias("entity_id"),
-        rel.alias("related"), (F.lit(None) if amount is None else amount).cast("double").alias("amount"),
-        (F.lit(currency) if isinstance(currency, str) else currency).alias("currency"),
-        F.struct(*fields).alias("attributes"), (_flags() if flags is None else flags).alias("data_quality_flags"))
+    return {
+        "event_id": F.concat_ws(":", kind, F.col("source"), key), "event_type": kind, "event_time": time, "ingested_at": F.col("ingested_at"),
+        "source": F.col("source"), "source_entity_id": key, "entity_type": F.lit(entity_type), "entity_id": _eid(entity_kind or entity_type, key),
+        "related": rel, "amount": (F.lit(None) if amount is None else amount).cast("double"),
+        "currency": F.lit(currency) if isinstance(currency, str) else currency, "attributes": attrs,
+        "data_quality_flags": _flags() if flags is None else flags}
+
 
+def fan_out(df: DataFrame, *events: tuple[Column, dict]) -> DataFrame:
+    """One row per (condition, event) that applies.
+
+    Only the number of the event is exploded. All columns are chosen by it
+    after the explode, so a query computes no column that it does not read.
+    """
+    numbers = F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(events)]))
+    table = [e for _, e in events]
 
-def fan_out(df: DataFrame, *events: Column) -> DataFrame:
-    return df.select(F.inline(F.array_compact(F.array(*events))))
+    def pick(cells: dict[int, Column]) -> Column:
+        out = None
+        for i, cell in cells.items():
+            here = F.col("_event") == i
+            out = F.when(here, cell) if out is None else out.when(here, cell)
+        return F.lit(None) if out is None else out
+    plain = [pick({i: e[name] for i, e in enumerate(table)}).alias(name) for name in table[0] if name not in ("attributes", "data_quality_flags")]
+    fields = [pick({i: e["attributes"][n].cast(t) for i, e in enumerate(table) if n in e["attributes"]}).cast(t).alias(n) for n, t in _SPLIT]
+    flags = pick({i: e["data_quality_flags"] for i, e in enumerate(table)}).alias("data_quality_flags")
+    return df.withColumn("_event", F.explode(numbers)).select(*plain, F.struct(*fields).alias("attributes"), flags)
 
 
 def parse_payload(bronze: DataFrame) -> DataFrame:
@@ -91,8 +106,8 @@ def _party(role: str) -> tuple[dict[str, Column], tuple[Column, str]]:
     return {role: ref}, (ref.isNull(), f"missing_{role}_ref")
 
 
-def _api_events(as_of: Column) -> dict[str, list[Column]]:
-    """Events per raw entity type, as conditional structs over the parsed payload ``p``."""
+def _api_events(as_of: Column) -> dict[str, list[tuple[Column, dict]]]:
+    """Events per raw entity type, each with its condition, over the parsed payload ``p``."""
     key, known = safe_text("p.Id"), safe_text("p.Id").isNotNull()
     txn = safe_time("p.TxnDate")
     when = F.coalesce(txn, as_of)
@@ -111,8 +126,8 @@ def _api_events(as_of: Column) -> dict[str, list[Column]]:
     category = F.get(F.filter("p.Line", lambda x: x["DetailType"] == "AccountBasedExpenseLineDetail"), F.lit(0))
     account = category["AccountBasedExpenseLineDetail"]["AccountRef"]
 
-    def only(cond: Column, event: Column) -> Column:
-        return F.when(known & cond, event)
+    def only(cond: Column, event: dict) -> tuple[Column, dict]:
+        return known & cond, event
 
     yes = F.lit(True)
     return {
@@ -152,7 +167,7 @@ def to_silver(bronze: DataFrame, as_of: str, kinds: list[str] | None = None) ->
     chosen = kinds or ENTITY_KINDS
     src = bronze.where(F.col("entity_type").isin(chosen)) if kinds else bronze
     table = _api_events(F.lit(as_of).cast("timestamp"))
-    cells = [F.when(F.col("entity_type") == k, e) for k in chosen for e in table[k]]
+    cells = [((F.col("entity_type") == k) & cond, e) for k in chosen for cond, e in table[k]]
     return fan_out(parse_payload(src), *cells)
 
 
@@ -216,12 +231,12 @@ def order_file_events(orders: DataFrame, items: DataFrame, reviews: DataFrame |
     ok = key.isNotNull() & bought.isNotNull()
     out = fan_out(
         o,
-        F.when(ok, make_event("order_placed", bought, "order", key, related=related, amount=amount, currency=currency,
+        (ok, make_event("order_placed", bought, "order", key, related=related, amount=amount, currency=currency,
                               flags=_flags((customer.isNull(), "missing_customer_id"), (amount.isNull(), "missing_amount")),
                               seller_id=safe_text("seller_id"))),
-        F.when(ok & delivered.isNotNull(), make_event("order_delivered", delivered, "order", key, related=related, amount=amount,
+        (ok & delivered.isNotNull(), make_event("order_delivered", delivered, "order", key, related=related, amount=amount,
                                                       currency=currency, delivery_days=days(delivered, bought))),
-        F.when(ok & (delivered > promised), make_event("order_late", delivered, "order", key, related=related, amount=amount,
+        (ok & (delivered > promised), make_event("order_late", delivered, "order", key, related=related, amount=amount,
                                                        currency=currency, days_late=days(delivered, promised))))
     return out.unionByName(review_file_events(reviews, source, currency)) if reviews is not None else out
 
@@ -230,7 +245,7 @@ def review_file_events(reviews: DataFrame, source: str = "orders_file", currency
     r = reviews.withColumn("source", F.lit(source)).withColumn("ingested_at", F.lit(None).cast("timestamp"))
     key, order, score, at = safe_text("review_id"), safe_text("order_id"), safe_number("review_score"), safe_time("review_creation_date")
     bad = F.coalesce((score < 1) | (score > 5), F.lit(True))
-    return fan_out(r, F.when(key.isNotNull() & order.isNotNull() & at.isNotNull(), make_event(
+    return fan_out(r, (key.isNotNull() & order.isNotNull() & at.isNotNull(), make_event(
         "review_submitted", at, "order", key, entity_kind="review", related={"order": order}, currency=currency,
         flags=_flags((bad, "invalid_review_score")), score=score, comment=safe_text("review_comment_message"))))
 
@@ -243,7 +258,7 @@ def churn_file_events(df: DataFrame, snapshot: str, source: str = "churn_file")
     tenure, monthly, total = safe_number("tenure"), safe_number("monthly_charges"), safe_number("total_charges")
     flags = _flags((tenure.isNull(), "missing_tenure"), (monthly.isNull(), "missing_monthly_charges"),
                    (total.isNull(), "missing_total_charges"), (monthly < 0, "invalid_monthly_charges"), (total < 0, "invalid_total_charges"))
-    return fan_out(d, F.when(key.isNotNull() & churned, make_event(
+    return fan_out(d, (key.isNotNull() & churned, make_event(
         "customer_churned", F.lit(snapshot).cast("timestamp"), "customer", key, amount=F.when(total >= 0, total), flags=flags,
         tenure=tenure, contract_type=safe_text("contract_type"), monthly_charges=F.when(monthly >= 0, monthly),
         total_charges=F.when(total >= 0, total))))
@@ -259,12 +274,12 @@ def shipment_file_events(df: DataFrame, source: str = "shipments_file") -> DataF
     related = {"order": order, "vendor": vendor}
     return fan_out(
         d,
-        F.when(key.isNotNull() & (actual > expected), make_event(
+        (key.isNotNull() & (actual > expected), make_event(
             "shipment_delayed", actual, "order", key, entity_kind="shipment", related=related, amount=amount,
             flags=_flags((safe_text("carrier").isNull(), "missing_carrier"),
                          (safe_text("origin").isNull() | safe_text("destination").isNull(), "missing_location_data")),
             carrier=safe_text("carrier"), days_delayed=(F.unix_timestamp(actual) - F.unix_timestamp(expected)) / 86400.0)),
-        F.when(order.isNotNull() & vendor.isNotNull() & placed.isNotNull(), make_event(
+        (order.isNotNull() & vendor.isNotNull() & placed.isNotNull(), make_event(
             "purchase_order_placed", placed, "order", order, related=related, amount=amount,
             flags=_flags((F.coalesce(amount, F.lit(0.0)) == 0, "missing_amount"), (safe_text("line_items").isNull(), "missing_line_items")))))
 
@@ -278,10 +293,10 @@ def ticket_file_events(df: DataFrame, source: str = "tickets_file") -> DataFrame
     hours = F.when(closed > opened, F.round((F.unix_timestamp(closed) - F.unix_timestamp(opened)) / 3600.0, 2))
     return fan_out(
         d,
-        F.when(ok, make_event("support_ticket_opened", opened, "ticket", key, related=related, subject=safe_text("subject"), flags=_flags(
+        (ok, make_event("support_ticket_opened", opened, "ticket", key, related=related, subject=safe_text("subject"), flags=_flags(
             (customer.isNull(), "missing_customer_id"), (safe_text("category").isNull(), "missing_category"),
             (safe_text("priority").isNull(), "missing_priority")))),
-        F.when(ok & closed.isNotNull(), make_event(
+        (ok & closed.isNotNull(), make_event(
             "support_ticket_closed", closed, "ticket", key, related=related, resolution_time_hours=hours,
             satisfaction_score=safe_number("satisfaction_score"),
             flags=_flags((hours.isNull(), "invalid_resolution_time"), (safe_number("satisfaction_score").isNull(), "missing_satisfaction_score")))))
