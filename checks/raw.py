@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelwise.operators import quality, silver
 from panelwise.sources import raw, star
-from panelwise.session import shared_folder
+from panelwise.session import shared_folder, written
 from checks.detect import INC_SELECT, inc_out, inc_sql, long_panel, panel_incidents
 from checks.shared import keep
 from checks.views import MONEY, _LKEY, with_rolled
@@ -383,7 +383,7 @@ def _rejects_whole(s, d):
     ev = silver.to_silver(bronze(s, d), AS_OF)
     whole = F.floor(F.abs("amount"))
     ev = ev.withColumn("currency", F.when(whole % 10 == 0, "US").otherwise("usd")).withColumn("amount", F.when(whole % 14 == 1, F.col("amount") * 1e9).otherwise(F.col("amount")))
-    valid, bad = quality.split_valid(ev)
+    valid, bad = quality.split_valid(written(ev.select("event_type", "event_time", "amount", "currency"), "silver"))  # both sides, one parse
     return bad.groupBy("event_type", F.concat_ws("+", "reasons").alias("reason")).agg(F.count("*").alias("n")).unionByName(
         valid.groupBy("event_type", F.col("currency").alias("reason")).agg(F.count("*").alias("n")))
 
