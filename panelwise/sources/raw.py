@@ -98,7 +98,7 @@ def resolve_columns(df: DataFrame, aliases: dict[str, list[str]], required: list
 
 def write_bronze(df: DataFrame, path: str) -> None:
     """Append raw records; one folder per entity type so reads prune."""
-    df.write.mode("append").partitionBy("entity_type").parquet(path)
+    df.write.mode("append").partitionBy("entity_type").option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(path)
 
 
 def read_bronze(bronze: DataFrame, source: str | None = None, entity_type: str | None = None,
