@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.scalar import calendar_features, haversine_km
 from panelwise.operators.ordering import RANGE_ROWS, dense_index, exact_quantiles, parts_for
+from panelwise.session import written
 
 
 def order_panel(orders: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -202,9 +203,13 @@ TELCO = ["gender_code", "senior_code", *[f"{c}_code" for c in ("partner", "depen
 
 
 def label_code(df: DataFrame, column: str, out: str, missing: str = "Unknown") -> DataFrame:
-    """Add the 0-based position of a text category among all categories in sorted order."""
+    """Add the 0-based position of a text category among all categories in sorted order.
+
+    The dictionary is written, so that the optimizer knows its size: a small one
+    is broadcast and the rows stay where they are.
+    """
     filled = df.withColumn("_c", F.coalesce(F.col(column), F.lit(missing)))
-    return filled.join(dense_index(filled, "_c", out, ranges=None), "_c").drop("_c")
+    return filled.join(written(dense_index(filled, "_c", out, ranges=None), "codes"), "_c").drop("_c")
 
 
 def supply_features(df: DataFrame) -> DataFrame:
@@ -212,8 +217,10 @@ def supply_features(df: DataFrame) -> DataFrame:
 
     df(ordered_at, status, mode, scheduled_days, segment, market, region,
     category, department, the money columns of ``MONEY``). Every status keeps its
-    rows; those past shipment are coded 0.
+    rows; those past shipment are coded 0. The rows are written once: two
+    quantiles, four dictionaries and the features themselves read them.
     """
+    df = written(df, "supply")
     cuts = {c: exact_quantiles(df.select(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)), c, [0.75]).select("quantile").scalar() for c in ("sales", "item_quantity")}
     x = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in MONEY})
     at = F.col("ordered_at")
