@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.business import _LAST, AS_OF, LONG, scored_sql
 from checks.shared import keep
-from checks.detect import EV_MAP, PAIR_SQL, gold_table, inc_sql, pairs, panel_incidents, r, text_date, LOOK
+from checks.detect import EV_MAP, PAIR_SQL, gold_table, inc_sql, pairs, panel_incidents, panel_types, r, text_date, LOOK
 from panelwise import config
 from panelwise.operators import blast, cascades, causes, health, ranking, reports
 from panelwise.session import cut_lineage
@@ -172,7 +172,7 @@ def _impact(s, d):
     ev = star.order_panel_events(s, d)
     spine = spine_of(s, d)
     inc = panel_incidents(s, d)
-    return inc, blast.impact(inc, ev, spine)
+    return inc, blast.impact(inc, ev, spine, types=panel_types(s, d))
 
 
 _ENT = """en AS (SELECT DISTINCT d, k, e FROM (SELECT d, entity_type AS k, entity_id AS e FROM ev UNION ALL SELECT d, 'customer', customer FROM ev UNION ALL SELECT d, 'vendor', vendor FROM ev

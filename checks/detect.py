@@ -182,9 +182,14 @@ SELECT k AS detector, round(coalesce(f1, 0), 4)::DOUBLE AS f1, round(greatest(co
 
 
 # --- incidents ---------------------------------------------------------------
+def panel_types(s, d):
+    """Daily sums per event type of the order panel: its events are read once for everything daily."""
+    return keep(("type days", d), lambda: daily.type_days(star.order_panel_events(s, d)))
+
+
 def gold_table(s, d):
     """The order panel as a written table, for queries that read it several times."""
-    return keep(("gold", d), lambda: long_panel(s, d))
+    return keep(("gold", d), lambda: daily.to_long(daily.rolling_gold(star.order_panel_events(s, d), PANEL_METRICS, types=panel_types(s, d)), keep_nulls=True))
 
 
 def panel_incidents(s, d, window_days=1):
@@ -362,7 +367,7 @@ def pairs(s, d):
 
 
 def _pairs(s, d):
-    return cascades.cascade_pairs_from_events(panel_incidents(s, d, LOOK), star.order_panel_events(s, d))
+    return cascades.cascade_pairs_from_events(panel_incidents(s, d, LOOK), star.order_panel_events(s, d), types=panel_types(s, d))
 
 
 PAIR_SQL = f"""{inc_sql()}, {EV_MAP}, ce(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in config.CASCADE_EDGES)}),
@@ -400,9 +405,9 @@ SELECT n AS node, min(r) AS component FROM r GROUP BY n"""
 def _summary(s, d):
     inc, ev = panel_incidents(s, d, LOOK), star.order_panel_events(s, d)
     comp = cascades.components(pairs(s, d))
-    full = inc.join(incidents.evidence_counts(inc, ev), "incident_id")
+    full = inc.join(incidents.evidence_counts(inc, ev, types=panel_types(s, d)), "incident_id")
     out = cascades.cascade_summary(full, comp)
-    uniq = cascades.distinct_evidence(inc, ev, comp) \
+    uniq = cascades.distinct_evidence(inc, ev, comp, types=panel_types(s, d)) \
         .withColumn("cascade_id", F.concat(F.lit("cascade:"), "component")).drop("component")
     return r(out.join(uniq, "cascade_id").drop("incident_ids").withColumn("cascade_path", F.concat_ws(">", "cascade_path")),
              "cascade_score")

@@ -21,7 +21,12 @@ def add(name, fn, sql):
 
 # --- the panel: built from both event families, written once per query ------------------------
 def wide(s, d):
-    return keep(("whole wide", d), lambda: daily.gold_wide(star.whole_panel_events(s, d)))
+    return keep(("whole wide", d), lambda: daily.gold_wide(star.whole_panel_events(s, d), types=types(s, d)))
+
+
+def types(s, d):
+    """Daily sums per event type: events are read once for everything daily."""
+    return keep(("whole type days", d), lambda: daily.type_days(star.whole_panel_events(s, d)))
 
 
 def gold(s, d):
@@ -111,7 +116,7 @@ def fused(s, d):
 add("i9_whole_confidence", fused,
     f"WITH RECURSIVE {_INC}, {_UNI}, {detect._FLAGS}, ml AS (SELECT d, sum(f::INT) >= 2 AS a FROM fl GROUP BY d), {_DP},"
     + "\ncp AS" + detect.SQL["i9_confidence"].partition("\ncp AS")[2])
-add("i10_whole_evidence_counts", lambda s, d: incidents.evidence_counts(found(s, d, 3), star.whole_panel_events(s, d)),
+add("i10_whole_evidence_counts", lambda s, d: incidents.evidence_counts(found(s, d, 3), star.whole_panel_events(s, d), types=types(s, d)),
     f"""WITH {_INC}, {detect.EV_MAP}, days AS (SELECT event_type, d, count(*) AS n FROM ev GROUP BY 1, 2)
 SELECT id AS incident_id, coalesce(sum(n), 0)::BIGINT AS evidence_event_count FROM inc LEFT JOIN em USING (t)
 LEFT JOIN days ON days.event_type = et AND days.d BETWEEN inc.d - 2 AND inc.d GROUP BY 1""")
@@ -119,7 +124,7 @@ LEFT JOIN days ON days.event_type = et AND days.d BETWEEN inc.d - 2 AND inc.d GR
 
 # --- cascades over all nine edges ---------------------------------------------------------------
 def pairs(s, d):
-    return keep(("whole pairs", d), lambda: cascades.cascade_pairs_from_events(found(s, d, detect.LOOK), star.whole_panel_events(s, d)))
+    return keep(("whole pairs", d), lambda: cascades.cascade_pairs_from_events(found(s, d, detect.LOOK), star.whole_panel_events(s, d), types=types(s, d)))
 
 
 _PAIRS = _INC + detect.PAIR_SQL[len(inc_sql()):]

@@ -7,12 +7,12 @@ sums and start/end deltas and joined to the incidents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwise import config
-from panelwise.operators.daily import _running_on_spine
+from panelwise.operators.daily import _running_on_spine, total_of, type_days
 from panelwise.session import cut_lineage
 
 LOOKBACK = 30
@@ -31,11 +31,12 @@ def followups(inc: DataFrame, hours: int = 48) -> DataFrame:
 
 def entity_days(ev: DataFrame) -> DataFrame:
     """Distinct (kind, entity, day) seen as the event's entity or among its related entities."""
-    own = F.array(F.struct(F.col("entity_type").alias("kind"), F.col("entity_id").alias("entity")))
-    linked = F.transform(F.map_entries(F.coalesce("related", F.create_map().cast("map<string,string>"))),
-                         lambda e: F.struct(F.lower(e["key"]).alias("kind"), e["value"].alias("entity")))
-    return ev.select(F.to_date("event_time").alias("metric_date"), F.explode(F.array_distinct(F.concat(own, linked))).alias("e")) \
-        .select("metric_date", "e.kind", "e.entity").where("entity is not null").groupBy("kind", "entity", "metric_date").agg(F.lit(1).alias("_one"))
+    own = F.array(F.struct(F.coalesce("entity_type", F.lit("")).alias("key"), F.col("entity_id").alias("value")))
+    linked = F.map_entries(F.coalesce("related", F.create_map().cast("map<string,string>")))
+    kind = F.when(F.col("pos") == 0, F.col("entity_type")).otherwise(F.lower("e.key"))
+    return ev.select(F.to_date("event_time").alias("metric_date"), "entity_type", F.posexplode(F.concat(own, linked)).alias("pos", "e")) \
+        .select("metric_date", kind.alias("kind"), F.col("e.value").alias("entity")).where("entity is not null") \
+        .groupBy("kind", "entity", "metric_date").agg(F.lit(1).alias("_one"))
 
 
 def affected_by_day(ev: DataFrame, spine: DataFrame, days: int = LOOKBACK + 1) -> DataFrame:
@@ -53,16 +54,12 @@ def affected_entities(inc: DataFrame, ev: DataFrame, spine: DataFrame) -> DataFr
     return inc.select("incident_id", F.col("window_end").alias("metric_date")).join(affected_by_day(ev, spine), "metric_date").drop("metric_date")
 
 
-def _total(kinds: list[str], what: Column) -> Column:
-    return F.coalesce(F.sum(F.when(F.col("event_type").isin(kinds), what)), F.lit(0.0))
-
-
-def impact(inc: DataFrame, ev: DataFrame, spine: DataFrame) -> DataFrame:
-    """Exposure figures of each incident's trailing window."""
+def impact(inc: DataFrame, ev: DataFrame, spine: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Exposure figures of each incident's trailing window; ``types`` are the events' ``type_days`` where they are there already."""
     revenue, refunds, orders = ["invoice_paid", "payment_received", "invoice_issued"], ["refund_issued", "credit_memo_issued"], ["order_placed", "invoice_issued"]
-    daily = ev.groupBy(F.to_date("event_time").alias("metric_date")).agg(
-        _total(revenue, F.col("amount")).alias("rev"), _total(refunds, F.col("amount")).alias("ref"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("all"),
-        _total(orders, F.col("amount")).alias("ord"), F.count_if(F.col("event_type").isin(orders) & F.col("amount").isNotNull()).alias("ord_n"))
+    daily = (type_days(ev) if types is None else types).groupBy(F.col("event_date").alias("metric_date")).agg(
+        total_of(revenue).alias("rev"), total_of(refunds).alias("ref"), F.coalesce(F.sum("amount_sum"), F.lit(0.0)).alias("all"),
+        total_of(orders).alias("ord"), F.sum(F.when(F.col("event_type").isin(orders), F.col("amount_n"))).alias("ord_n"))
     w = W.partitionBy().orderBy(F.unix_date("metric_date")).rangeBetween(-LOOKBACK, 0)  # one row per calendar day
     rolled = spine.join(daily, "metric_date", "left").fillna(0).select(
         "metric_date", F.sum("rev").over(w).alias("revenue_exposure"), F.sum("ref").over(w).alias("refund_exposure"),

@@ -12,6 +12,7 @@ from panelwise import config
 from panelwise.functions.stats import erfc
 from panelwise.operators.incidents import _windows, daily_type_counts
 from panelwise.operators.graph import connected_components
+from panelwise.session import written
 
 EMPTY_OVERLAP = 0.1
 
@@ -61,13 +62,15 @@ def cascade_pairs(inc: DataFrame, threshold: float = 0.3, decay_days: float = 3.
 
 
 def cascade_pairs_from_events(inc: DataFrame, ev: DataFrame, threshold: float = 0.3, decay_days: float = 3.0,
-                              by: tuple[str, ...] = ()) -> DataFrame:
+                              by: tuple[str, ...] = (), types: DataFrame | None = None) -> DataFrame:
     """Pairs scored without materialising evidence ids.
 
     Evidence is (event types x window days) and every event id occurs once, so
-    set sizes and intersections are sums of daily event counts.
+    set sizes and intersections are sums of daily event counts. These are
+    written, since three joins read them; a caller that has them passes ``types``.
     """
-    cells = _windows(inc, by).join(daily_type_counts(ev, by), [*by, "event_type", "event_date"]) \
+    counts = written(daily_type_counts(ev, by), "type-counts") if types is None else types
+    cells = _windows(inc, by).join(counts, [*by, "event_type", "event_date"]) \
         .select(*by, "incident_id", "event_type", "event_date", "n")
     size = cells.groupBy(*by, "incident_id").agg(F.sum("n").alias("size"))
     pairs = candidate_pairs(inc, threshold, decay_days, by)
@@ -114,7 +117,7 @@ def cascade_summary(inc: DataFrame, comp: DataFrame) -> DataFrame:
         .alias("cascade_score"))
 
 
-def distinct_evidence(inc: DataFrame, ev: DataFrame, comp: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def distinct_evidence(inc: DataFrame, ev: DataFrame, comp: DataFrame, by: tuple[str, ...] = (), types: DataFrame | None = None) -> DataFrame:
     """Distinct evidence events per cascade.
 
     An event is evidence by its type and day, and every event id occurs once:
@@ -122,7 +125,7 @@ def distinct_evidence(inc: DataFrame, ev: DataFrame, comp: DataFrame, by: tuple[
     counts, give the number without touching an event.
     """
     cells = _windows(inc, by).join(comp, "incident_id").select(*by, "component", "event_type", "event_date").distinct()
-    return cells.join(daily_type_counts(ev, by), [*by, "event_type", "event_date"]) \
+    return cells.join(daily_type_counts(ev, by) if types is None else types, [*by, "event_type", "event_date"]) \
         .groupBy(*by, "component").agg(F.sum("n").alias("unique_evidence_entities"))
 
 

@@ -22,16 +22,32 @@ ROUNDING = 6
 EXACT = "decimal(38,6)"
 
 
-def _total(kinds: list[str], value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(F.col("event_type").isin(kinds), value)), F.lit(0.0))
+#: Attributes that daily figures need, by their sum and their number.
+MEASURED = ("days_to_pay", "balance_remaining", "days_late", "days_delayed", "resolution_time_hours", "score")
 
 
-def _count(kind: str) -> Column:
-    return F.count_if(F.col("event_type") == kind)
+def type_days(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Events per type and day with the sums behind all daily figures: one pass over the events, a table of types x days."""
+    attributes = [f(f"attributes.{name}").alias(f"{name}_{what}") for name in MEASURED for f, what in ((F.sum, "sum"), (F.count, "n"))]
+    return ev.groupBy(*by, "event_type", F.to_date("event_time").alias("event_date")).agg(
+        F.count("*").alias("n"), F.sum("amount").alias("amount_sum"), F.count("amount").alias("amount_n"), *attributes)
 
 
-def _attr(kind: str, name: str) -> Column:
-    return F.when(F.col("event_type") == kind, F.col(f"attributes.{name}"))
+def total_of(kinds: list[str], name: str = "amount_sum") -> Column:
+    """Sum of a column of :func:`type_days` over event types, 0.0 without any."""
+    return F.coalesce(F.sum(_of(kinds, name)), F.lit(0.0))
+
+
+def _of(kinds: list[str], name: str) -> Column:
+    return F.when(F.col("event_type").isin(kinds), F.col(name))
+
+
+def _count(kind: str, name: str = "n") -> Column:
+    return F.coalesce(F.sum(_of([kind], name)), F.lit(0))
+
+
+def _mean(kind: str, name: str) -> Column:
+    return F.try_divide(F.sum(_of([kind], f"{name}_sum")), F.sum(_of([kind], f"{name}_n")))
 
 
 REVENUE = ["invoice_paid", "payment_received"]
@@ -40,28 +56,32 @@ REFUNDS = ["refund_issued", "credit_memo_issued"]
 
 def daily_base(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sums and counts per day; everything else is derived from this small table."""
-    amount = F.col("amount")
-    return ev.groupBy(*by, F.to_date("event_time").alias("metric_date")).agg(
-        _total(REVENUE, amount).alias("revenue"),
-        _total(["expense_posted"], amount).alias("expenses"),
-        _total(REFUNDS, amount).alias("refunds"),
-        F.sum(_attr("invoice_paid", "days_to_pay")).alias("pay_days"),
-        F.count(_attr("invoice_paid", "days_to_pay")).alias("pay_n"),
-        _total(["invoice_overdue"], F.col("attributes.balance_remaining")).alias("overdue_amount"),
+    return daily_of(type_days(ev, by), by)
+
+
+def daily_of(types: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`daily_base` from the table of :func:`type_days`."""
+    return types.groupBy(*by, F.col("event_date").alias("metric_date")).agg(
+        total_of(REVENUE).alias("revenue"),
+        total_of(["expense_posted"]).alias("expenses"),
+        total_of(REFUNDS).alias("refunds"),
+        F.sum(_of(["invoice_paid"], "days_to_pay_sum")).alias("pay_days"),
+        _count("invoice_paid", "days_to_pay_n").alias("pay_n"),
+        total_of(["invoice_overdue"], "balance_remaining_sum").alias("overdue_amount"),
         _count("invoice_overdue").alias("overdue_n"),
         _count("expense_paid").alias("expense_paid_n"),
         _count("order_placed").alias("placed"),
         _count("order_delivered").alias("delivered"),
         _count("order_late").alias("late"),
-        F.avg(_attr("order_late", "days_late")).alias("late_days"),
+        _mean("order_late", "days_late").alias("late_days"),
         _count("purchase_order_placed").alias("po"),
         _count("shipment_delayed").alias("delayed"),
-        F.avg(_attr("shipment_delayed", "days_delayed")).alias("delayed_days"),
+        _mean("shipment_delayed", "days_delayed").alias("delayed_days"),
         _count("support_ticket_opened").alias("opened"),
         _count("support_ticket_closed").alias("closed"),
-        F.avg(_attr("support_ticket_closed", "resolution_time_hours")).alias("resolution_hours"),
-        F.sum(_attr("review_submitted", "score")).alias("score_sum"),
-        F.count(_attr("review_submitted", "score")).alias("score_n"),
+        _mean("support_ticket_closed", "resolution_time_hours").alias("resolution_hours"),
+        F.sum(_of(["review_submitted"], "score_sum")).alias("score_sum"),
+        _count("review_submitted", "score_n").alias("score_n"),
         _count("customer_churned").alias("churned"),
     )
 
@@ -155,10 +175,11 @@ def customer_days(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     Both customer metrics follow from this table, so events are read once for it.
     """
     related = F.element_at("related", F.lit("customer"))
-    seen = F.array_distinct(F.array_compact(F.array(F.when(F.col("entity_type") == "customer", F.col("entity_id")), related)))
     revenue = F.when(F.col("event_type").isin(REVENUE) & (F.col("amount") != 0), F.col("amount").cast(EXACT))
-    each = F.transform(seen, lambda c: F.struct(c.alias("customer"), F.when(c == related, revenue).alias("paid")))
-    return ev.select(*by, F.to_date("event_time").alias("metric_date"), F.inline(each)) \
+    own = (F.col("entity_type") == "customer") & F.col("entity_id").isNotNull() & ~F.col("entity_id").eqNullSafe(related)
+    each = F.array(F.struct(related.alias("customer"), revenue.alias("paid")),
+                   F.when(own, F.struct(F.col("entity_id").alias("customer"), F.lit(None).cast(EXACT).alias("paid"))))
+    return ev.select(*by, F.to_date("event_time").alias("metric_date"), F.inline(each)).where("customer IS NOT NULL") \
         .groupBy(*by, "customer", "metric_date").agg(F.sum("paid").cast(EXACT).alias("paid"))
 
 
@@ -255,14 +276,15 @@ def concentration(people: DataFrame, spine: DataFrame, by: tuple[str, ...] = (),
 
 
 def gold_wide(ev: DataFrame, by: tuple[str, ...] = (), lo: str | None = None, hi: str | None = None,
-              digits: int = ROUNDING) -> DataFrame:
+              digits: int = ROUNDING, types: DataFrame | None = None) -> DataFrame:
     """All 27 metrics, one row per series and calendar day.
 
     Events are read twice, for the daily and for the customer-day table; both
-    are written and everything else is derived from them.
+    are written and everything else is derived from them. A caller that holds
+    the events' :func:`type_days` already passes them as ``types``.
     """
     keys = [*by, "metric_date"]
-    daily = written(daily_base(ev, by), "daily")
+    daily = written(daily_base(ev, by) if types is None else daily_of(types, by), "daily")
     people = written(customer_days(ev, by), "customer-days")
     spined = on_spine(daily, by, lo, hi)
     rolled = rolling_metrics(spined, by)
@@ -278,9 +300,10 @@ def rounded(wide: DataFrame, digits: int = ROUNDING) -> DataFrame:
         for c in wide.columns])
 
 
-def rolling_gold(ev: DataFrame, metrics: list[str], by: tuple[str, ...] = (), digits: int = ROUNDING) -> DataFrame:
+def rolling_gold(ev: DataFrame, metrics: list[str], by: tuple[str, ...] = (), digits: int = ROUNDING,
+                 types: DataFrame | None = None) -> DataFrame:
     """Only metrics that need no per-customer state; unused aggregates are pruned by the optimizer."""
-    spined = on_spine(daily_base(ev, by), by)
+    spined = on_spine(daily_base(ev, by) if types is None else daily_of(types, by), by)
     return rounded(rolling_metrics(spined, by).select(*by, "metric_date", *metrics), digits)
 
 

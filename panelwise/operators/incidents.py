@@ -176,8 +176,9 @@ def evidence_rows(inc: DataFrame, ev: DataFrame, by: tuple[str, ...] = ()) -> Da
     return _windows(inc, by).join(e, [*by, "event_type", "event_date"]).select("incident_id", "event_id")
 
 
-def evidence_counts(inc: DataFrame, ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    hits = _windows(inc, by).join(daily_type_counts(ev, by), [*by, "event_type", "event_date"]) \
+def evidence_counts(inc: DataFrame, ev: DataFrame, by: tuple[str, ...] = (), types: DataFrame | None = None) -> DataFrame:
+    """Evidence events per incident; ``types`` are the events' daily type counts where they are there already."""
+    hits = _windows(inc, by).join(daily_type_counts(ev, by) if types is None else types, [*by, "event_type", "event_date"]) \
         .groupBy("incident_id").agg(F.sum("n").alias("evidence_event_count"))
     return inc.select("incident_id").join(hits, "incident_id", "left").fillna(0, subset=["evidence_event_count"])
 

@@ -40,15 +40,24 @@ def _event(kind: str, key: Column, time: Column, entity_type: str, entity: Colum
            order: Column | None = None, **attributes: Column) -> dict:
     """Column expressions of one event kind; see ``_fan_out``."""
     related = {"customer": customer, "vendor": vendor, "product": product, "order": order}
-    pairs = [x for name, col in related.items() if col is not None for x in (F.lit(name), col)]
     return {
-        "kind": kind, "event_id": F.concat_ws(":", F.lit(kind), key), "event_time": time.cast("timestamp"),
-        "entity_type": F.lit(entity_type), "entity_id": entity,
-        "related": F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>"),
-        "amount": (F.lit(None) if amount is None else amount).cast("double"), "attributes": attributes,
+        "kind": kind, "event_id": key, "event_time": time, "entity_type": entity_type, "entity_id": entity,
+        "related": {name: col for name, col in related.items() if col is not None}, "amount": amount, "attributes": attributes,
     }
 
 
+def _related(columns: dict[str, Column]) -> Column:
+    pairs = [x for name, col in columns.items() for x in (F.lit(name), col)]
+    return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+
+
+def _same(a, b) -> bool:
+    """Whether two events were given the very same columns or values."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return list(a) == list(b) and all(a[k] is b[k] for k in a)
+    return a is b or (isinstance(a, str) and a == b)
+
+
 def _on(condition: Column, event: dict) -> dict:
     return {**event, "condition": condition}
 
@@ -58,9 +67,11 @@ def _fan_out(df: DataFrame, *events: dict) -> DataFrame:
 
     Only the event kinds are exploded; every other column is chosen by kind
     after the explode, so columns a query does not read are never computed.
+    What all kinds have in common is not chosen at all. ``df`` holds the texts
+    that several kinds use (keys, entities), which are made once a row.
     """
     kinds = [F.when(e["condition"], e["kind"]) if "condition" in e else F.lit(e["kind"]) for e in events]
-    x = df.withColumn("event_type", F.explode(F.array_compact(F.array(*kinds))))
+    x = df.withColumn("event_type", F.explode(F.array(*kinds))).where("event_type IS NOT NULL")
 
     def pick(choose) -> Column:
         out = None
@@ -68,28 +79,34 @@ def _fan_out(df: DataFrame, *events: dict) -> DataFrame:
             here = F.col("event_type") == e["kind"]
             out = F.when(here, choose(e)) if out is None else out.when(here, choose(e))
         return out
+
+    def plain(name: str, make) -> Column:
+        if all(_same(e[name], events[0][name]) for e in events):
+            return make(events[0][name])
+        return pick(lambda e: make(e[name]))
     fields = []
     for part in ATTRIBUTES.split(", "):
         name, kind = part.split(" ")
         having = any(name in e["attributes"] for e in events)
         value = pick(lambda e, name=name, kind=kind: e["attributes"].get(name, F.lit(None)).cast(kind)) if having else F.lit(None).cast(kind)
         fields.append(value.alias(name))
-    plain = ("event_time", "entity_type", "entity_id", "related", "amount")
-    return x.select(pick(lambda e: e["event_id"]).alias("event_id"), "event_type",
-                    *[pick(lambda e, c=c: e[c]).alias(c) for c in plain], F.struct(*fields).alias("attributes"))
+    return x.select(
+        pick(lambda e: F.concat_ws(":", F.lit(e["kind"]), e["event_id"])).alias("event_id"), "event_type",
+        plain("event_time", lambda c: c.cast("timestamp")).alias("event_time"), plain("entity_type", F.lit).alias("entity_type"),
+        plain("entity_id", lambda c: c).alias("entity_id"), plain("related", _related).alias("related"),
+        plain("amount", lambda c: (F.lit(None) if c is None else c).cast("double")).alias("amount"), F.struct(*fields).alias("attributes"))
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders -> order_placed, invoice_issued, invoice_paid (F) or invoice_overdue (O), one pass."""
-    o = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey").cast("string")
+    o = table(spark, sf_dir, "orders").withColumns({"_key": F.col("o_orderkey").cast("string"), "_customer": _entity("customer", "o_custkey")}) \
+        .withColumns({"_order": _entity("order", "_key"), "_invoice": _entity("invoice", "_key")})
+    key, customer, invoice = F.col("_key"), F.col("_customer"), F.col("_invoice")
     day, total = F.col("o_orderdate"), F.col("o_totalprice")
-    customer = _entity("customer", "o_custkey")
     due = F.date_add(F.to_date(day), 30)
-    invoice = _entity("invoice", key)
     return _fan_out(
         o,
-        _event("order_placed", key, day, "order", _entity("order", key), amount=total, customer=customer),
+        _event("order_placed", key, day, "order", F.col("_order"), amount=total, customer=customer),
         _event("invoice_issued", key, day, "invoice", invoice, amount=total, customer=customer, due_date=due,
                balance=F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(total)),
         _on(F.col("o_orderstatus") == "F", _event("invoice_paid", key, day, "invoice", invoice, amount=total, customer=customer,
@@ -99,21 +116,25 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _line_entities(lines: DataFrame) -> DataFrame:
+    """Line items with the texts of their key and entities."""
+    return lines.withColumns({
+        "_key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.to_date("l_shipdate"))),
+        "_vendor": _entity("vendor", "l_suppkey"), "_product": _entity("product", "l_partkey"), "_order": _entity("order", "l_orderkey")})
+
+
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem -> expense_posted, refund_issued (R), expense_paid (F) or purchase_order_placed (O)."""
-    li = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                      F.unix_date(F.to_date("l_shipdate")))
+    li = _line_entities(table(spark, sf_dir, "lineitem")).withColumn("_expense", _entity("expense", "_key"))
+    key, vendor, product, order, expense = (F.col(c) for c in ("_key", "_vendor", "_product", "_order", "_expense"))
     day, gross = F.col("l_shipdate"), F.col("l_extendedprice")
-    vendor, product = _entity("vendor", "l_suppkey"), _entity("product", "l_partkey")
-    order = _entity("order", "l_orderkey")
     tax = gross * F.col("l_tax")
     return _fan_out(
         li,
-        _event("expense_posted", key, day, "expense", _entity("expense", key), amount=tax, vendor=vendor),
+        _event("expense_posted", key, day, "expense", expense, amount=tax, vendor=vendor),
         _on(F.col("l_returnflag") == "R", _event("refund_issued", key, day, "payment", _entity("payment", key),
                       amount=gross * (1 - F.col("l_discount")), product=product, order=order)),
-        _on(F.col("l_linestatus") == "F", _event("expense_paid", key, day, "expense", _entity("expense", key), amount=tax, vendor=vendor)),
+        _on(F.col("l_linestatus") == "F", _event("expense_paid", key, day, "expense", expense, amount=tax, vendor=vendor)),
         _on(F.col("l_linestatus") == "O", _event("purchase_order_placed", key, day, "order", order, amount=gross, vendor=vendor,
                       product=product)),
     )
@@ -129,13 +150,10 @@ def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped lines -> order_delivered, order_late (> 60 days), shipment_delayed (> 90 days)."""
-    s = shipped_lines(spark, sf_dir)
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                      F.unix_date(F.to_date("l_shipdate")))
+    s = _line_entities(shipped_lines(spark, sf_dir)).withColumn("_customer", _entity("customer", "o_custkey"))
+    key, vendor, product, order, customer = (F.col(c) for c in ("_key", "_vendor", "_product", "_order", "_customer"))
     day = F.col("l_shipdate")
     taken = (F.unix_timestamp("l_shipdate") - F.unix_timestamp("o_orderdate")) / 86400.0
-    order, customer = _entity("order", "l_orderkey"), _entity("customer", "o_custkey")
-    vendor, product = _entity("vendor", "l_suppkey"), _entity("product", "l_partkey")
     return _fan_out(
         s,
         _event("order_delivered", key, day, "order", order, customer=customer, product=product),
