@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import stored
+from panelwise.llm.common import small_batches, stored
 
 LEAST_BYTES = 1000
 FILE_BYTES = 64 << 20
@@ -96,11 +97,25 @@ def _file(files: int) -> Column:
     return F.pmod(F.xxhash64("id", "url"), F.lit(files)).cast("int")
 
 
+def _packed(pages: DataFrame, keepers: DataFrame, files: int, key: str, url: str, payload: str) -> DataFrame:
+    """A row per record with its file; payloads are packed and headers not yet made, so that little is shuffled."""
+    pack = F.udf(lambda raw: None if raw is None else zlib.compress(raw, 6), "binary", useArrow=True)
+    typed = _typed(_facts(pages, key, url, payload), keepers).withColumn("file", _file(files))
+    block = F.when(F.col("refers_to").isNull(), F.col("body").cast("binary"))
+    return typed.select("file", "id", "url", F.unhex("digest").alias("sha1"), "bytes", "refers_to", pack(block).alias("packed"))
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """The records of :func:`_packed` as they stand in the archives."""
+    unpack = F.udf(lambda raw: None if raw is None else zlib.decompress(raw), "binary", useArrow=True)
+    typed = packed.withColumn("digest", F.lower(F.hex("sha1"))).withColumn("block", unpack("packed").cast("string")).withColumn("head", _headers())
+    return typed.select("file", "id", "url", "digest", F.concat("head", F.coalesce("block", F.lit(""))).alias("value"))
+
+
 def write_archives(pages: DataFrame, keepers: DataFrame, files: int, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write all records; (file, path, size) of the archives. One shuffle of the payloads, to their files."""
-    records = _typed(_facts(pages, key, url, payload), keepers).withColumn("file", _file(files)) \
-        .withColumn("value", F.concat("head", F.when(F.col("refers_to").isNotNull(), F.lit("")).otherwise(F.col("body")))) \
-        .select("file", "id", "url", "digest", "value").repartition(files, "file").sortWithinPartitions("file", "id", "url", "digest")
+    """Write all records; (file, path, size) of the archives. One shuffle of the packed payloads, to their files."""
+    small_batches(pages.sparkSession)
+    records = _unpacked(_packed(pages, keepers, files, key, url, payload).repartition(files, "file")).sortWithinPartitions("file", "id", "url", "digest")
     records.select("file", "value").write.partitionBy("file").option("lineSep", END).text(folder)
     return pages.sparkSession.read.format("binaryFile").load(folder).select(F.col("file").cast("int").alias("file"), "path", F.col("length").alias("size"))
 
