@@ -169,7 +169,7 @@ def spine_of(s, d):
 
 
 def _impact(s, d):
-    ev = star.order_panel_events(s, d)
+    ev = star.order_panel_events(s, d, linked=True)
     spine = spine_of(s, d)
     inc = panel_incidents(s, d)
     return inc, blast.impact(inc, ev, spine, types=panel_types(s, d))
@@ -182,7 +182,7 @@ idays AS (SELECT DISTINCT d FROM inc), af AS (SELECT i.d, count(DISTINCT e) FILT
 
 
 def _affected(s, d):
-    ev = star.order_panel_events(s, d)
+    ev = star.order_panel_events(s, d, linked=True)
     return blast.affected_entities(panel_incidents(s, d), ev, spine_of(s, d))
 
 

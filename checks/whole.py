@@ -21,7 +21,7 @@ def add(name, fn, sql):
 
 # --- the panel: built from both event families, written once per query ------------------------
 def wide(s, d):
-    return keep(("whole wide", d), lambda: daily.gold_wide(star.whole_panel_events(s, d), types=types(s, d)))
+    return keep(("whole wide", d), lambda: daily.gold_wide(star.whole_panel_events(s, d, linked=True), types=types(s, d)))
 
 
 def types(s, d):

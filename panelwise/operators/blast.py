@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwise import config
-from panelwise.operators.daily import _running_on_spine, total_of, type_days
+from panelwise.operators.daily import _running_on_spine, related_to, total_of, type_days
 from panelwise.session import cut_lineage
 
 LOOKBACK = 30
@@ -31,23 +31,71 @@ def followups(inc: DataFrame, hours: int = 48) -> DataFrame:
 
 def entity_days(ev: DataFrame) -> DataFrame:
     """Distinct (kind, entity, day) seen as the event's entity or among its related entities."""
+    return _entity_rows(ev).groupBy("kind", "entity", "metric_date").agg(F.lit(1).alias("_one"))
+
+
+def _entity_rows(ev: DataFrame) -> DataFrame:
+    """(metric_date, kind, entity) for the entity of every event and each of its related entities.
+
+    Where all related entities have columns, no map is built or taken apart.
+    """
+    day = F.to_date("event_time").alias("metric_date")
+    if all(f"related_{k}" in ev.columns for k in KINDS):
+        cells = [F.struct(F.col("entity_type").alias("kind"), F.col("entity_id").alias("entity"))]
+        cells += [F.struct(F.lit(k).alias("kind"), related_to(ev, k).alias("entity")) for k in KINDS]
+        return ev.select(day, F.inline(F.array(*cells))).where("entity is not null")
     own = F.array(F.struct(F.coalesce("entity_type", F.lit("")).alias("key"), F.col("entity_id").alias("value")))
     linked = F.map_entries(F.coalesce("related", F.create_map().cast("map<string,string>")))
     kind = F.when(F.col("pos") == 0, F.col("entity_type")).otherwise(F.lower("e.key"))
-    return ev.select(F.to_date("event_time").alias("metric_date"), "entity_type", F.posexplode(F.concat(own, linked)).alias("pos", "e")) \
-        .select("metric_date", kind.alias("kind"), F.col("e.value").alias("entity")).where("entity is not null") \
-        .groupBy("kind", "entity", "metric_date").agg(F.lit(1).alias("_one"))
+    return ev.select(day, "entity_type", F.posexplode(F.concat(own, linked)).alias("pos", "e")) \
+        .select("metric_date", kind.alias("kind"), F.col("e.value").alias("entity")).where("entity is not null")
+
+
+#: Days in a block of :func:`affected_by_day`: a window from any of its days ends in it or in the next one.
+BLOCK = 62
+
+
+def _active_blocks(seen: DataFrame, days: int) -> DataFrame:
+    """(kind, entity, block, mask): bit i of the mask is set if the entity was seen in the ``days`` days up to day i of the block."""
+    pos = F.pmod(F.unix_date("metric_date"), F.lit(BLOCK))
+    window = F.lit((1 << days) - 1).cast("long")
+    here = F.call_function("shiftleft", window, F.col("_pos")).bitwiseAND(F.lit((1 << BLOCK) - 1))
+    over = F.when(F.col("_pos") + days > BLOCK, F.struct((F.col("_block") + 1).alias("block"), F.call_function("shiftright", window, F.lit(BLOCK) - F.col("_pos")).alias("mask")))
+    at = seen.withColumn("_pos", pos).withColumn("_block", ((F.unix_date("metric_date") - F.col("_pos")) / BLOCK).cast("int"))
+    return at.select("kind", "entity", F.inline(F.array(F.struct(F.col("_block").alias("block"), here.alias("mask")), over))) \
+        .where("mask is not null").groupBy("kind", "entity", "block").agg(F.bit_or("mask").alias("mask"))
 
 
 def affected_by_day(ev: DataFrame, spine: DataFrame, days: int = LOOKBACK + 1) -> DataFrame:
-    """Distinct entities per kind in the trailing window of every spine day (deltas, no expansion)."""
-    seen = entity_days(ev).where(F.col("kind").isin(KINDS))
-    w = W.partitionBy("kind", "entity").orderBy("metric_date")
-    stop = F.least(F.date_add("metric_date", days), F.coalesce(F.lead("metric_date").over(w), F.date_add("metric_date", days)))
-    deltas = seen.withColumn("_stop", stop).select("kind", F.inline(F.array(
-        F.struct(F.col("metric_date"), F.lit(1).alias("d")), F.struct(F.col("_stop").alias("metric_date"), F.lit(-1).alias("d"))))) \
+    """Distinct entities per kind in the trailing window (at most ``BLOCK`` days) of every spine day.
+
+    An entity's active days are one long of bits per block, or'ed in one
+    shuffle without sorting, and counted bit by bit. An entity that was also
+    seen without a day counts from the beginning until its first day.
+    """
+    if not 0 < days <= BLOCK:
+        raise ValueError(f"windows have 1 to {BLOCK} days")
+    dated, undated = ev.where("event_time is not null"), ev.where("event_time is null")
+    masks = _active_blocks(_entity_rows(dated).where(F.col("kind").isin(KINDS)), days)
+    bits = masks.groupBy("kind", "block").agg(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).alias(f"_{i}") for i in range(BLOCK)])
+    counts = bits.select("kind", "block", F.posexplode(F.array(*[f"_{i}" for i in range(BLOCK)])).alias("_pos", "n")) \
+        .select(F.date_from_unix_date(F.col("block") * BLOCK + F.col("_pos")).alias("metric_date"), "kind", "n") \
+        .groupBy("metric_date").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}s_affected") for k in KINDS])
+    names = [f"{k}s_affected" for k in KINDS]
+    found = spine.join(counts, "metric_date", "left").fillna(0, subset=names).where("metric_date is not null")
+    lost = entity_days(undated).where(F.col("kind").isin(KINDS)).select("kind", "entity")
+    if not lost.isEmpty():
+        found = _with_undated(found, _entity_rows(dated).join(lost, ["kind", "entity"], "left_semi"), spine)
+    return found.select("metric_date", *names)
+
+
+def _with_undated(found: DataFrame, seen: DataFrame, spine: DataFrame) -> DataFrame:
+    """Add the entities that were also seen without a day, each until its first day in ``seen``."""
+    first = seen.groupBy("kind", "entity").agg(F.min("metric_date").alias("metric_date"))
+    deltas = first.select("kind", F.inline(F.array(F.struct(F.lit(None).cast("date").alias("metric_date"), F.lit(1).alias("d")), F.struct("metric_date", F.lit(-1).alias("d"))))) \
         .groupBy("metric_date").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in KINDS])
-    return _running_on_spine(deltas, spine, (), {k: f"{k}s_affected" for k in KINDS})
+    early = _running_on_spine(deltas, spine, (), {k: f"_{k}" for k in KINDS})
+    return found.join(early, "metric_date", "left").select("metric_date", *[(F.col(f"{k}s_affected") + F.coalesce(f"_{k}", F.lit(0))).alias(f"{k}s_affected") for k in KINDS])
 
 
 def affected_entities(inc: DataFrame, ev: DataFrame, spine: DataFrame) -> DataFrame:

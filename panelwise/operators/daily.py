@@ -168,13 +168,22 @@ def review_trend(by: tuple[str, ...] = (), days: int = 14, start: float = 3.0) -
     return F.aggregate(window, zero, step, lambda acc: acc["sxy"] / sxx)
 
 
+def related_to(ev: DataFrame, kind: str) -> Column:
+    """The related entity of a kind: its own column where the view has one, else the entry of the map."""
+    own = f"related_{kind}"
+    return F.col(own) if own in ev.columns else F.element_at("related", F.lit(kind))
+
+
 def customer_days(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per customer and day with an event: the event entity when it is a customer, and the related customer.
 
     ``paid`` is the day's revenue of the related customer, null without any.
     Both customer metrics follow from this table, so events are read once for it.
+    Where related customers have a column, branches of events without customers are never read.
     """
-    related = F.element_at("related", F.lit("customer"))
+    related = related_to(ev, "customer")
+    if "related_customer" in ev.columns:
+        ev = ev.where(related.isNotNull() | (F.col("entity_type") == "customer"))
     revenue = F.when(F.col("event_type").isin(REVENUE) & (F.col("amount") != 0), F.col("amount").cast(EXACT))
     own = (F.col("entity_type") == "customer") & F.col("entity_id").isNotNull() & ~F.col("entity_id").eqNullSafe(related)
     each = F.array(F.struct(related.alias("customer"), revenue.alias("paid")),

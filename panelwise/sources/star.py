@@ -62,7 +62,11 @@ def _on(condition: Column, event: dict) -> dict:
     return {**event, "condition": condition}
 
 
-def _fan_out(df: DataFrame, *events: dict) -> DataFrame:
+#: Names that an event can be related to; ``linked`` views hold each as a column ``related_<name>`` beside the map.
+LINKS = ("customer", "vendor", "product", "order")
+
+
+def _fan_out(df: DataFrame, *events: dict, linked: bool = False) -> DataFrame:
     """One row per event that applies.
 
     Only the event kinds are exploded; every other column is chosen by kind
@@ -90,14 +94,22 @@ def _fan_out(df: DataFrame, *events: dict) -> DataFrame:
         having = any(name in e["attributes"] for e in events)
         value = pick(lambda e, name=name, kind=kind: e["attributes"].get(name, F.lit(None)).cast(kind)) if having else F.lit(None).cast(kind)
         fields.append(value.alias(name))
+    none = F.lit(None).cast("string")
+
+    def link(name: str) -> Column:
+        given = [e["related"].get(name) for e in events]
+        if all(c is given[0] for c in given):
+            return none if given[0] is None else given[0]
+        return pick(lambda e: e["related"].get(name, none))
+    links = [link(name).alias(f"related_{name}") for name in LINKS] if linked else []
     return x.select(
         pick(lambda e: F.concat_ws(":", F.lit(e["kind"]), e["event_id"])).alias("event_id"), "event_type",
         plain("event_time", lambda c: c.cast("timestamp")).alias("event_time"), plain("entity_type", F.lit).alias("entity_type"),
         plain("entity_id", lambda c: c).alias("entity_id"), plain("related", _related).alias("related"),
-        plain("amount", lambda c: (F.lit(None) if c is None else c).cast("double")).alias("amount"), F.struct(*fields).alias("attributes"))
+        plain("amount", lambda c: (F.lit(None) if c is None else c).cast("double")).alias("amount"), F.struct(*fields).alias("attributes"), *links)
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """orders -> order_placed, invoice_issued, invoice_paid (F) or invoice_overdue (O), one pass."""
     o = table(spark, sf_dir, "orders").withColumns({"_key": F.col("o_orderkey").cast("string"), "_customer": _entity("customer", "o_custkey")}) \
         .withColumns({"_order": _entity("order", "_key"), "_invoice": _entity("invoice", "_key")})
@@ -113,7 +125,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                       days_to_pay=F.col("o_orderkey") % 45 + 1)),
         _on(F.col("o_orderstatus") == "O", _event("invoice_overdue", key, day, "invoice", invoice, amount=total, customer=customer,
                       balance_remaining=total, days_overdue=F.col("o_orderkey") % 120, original_due_date=due)),
-    )
+        linked=linked)
 
 
 def _line_entities(lines: DataFrame) -> DataFrame:
@@ -123,7 +135,7 @@ def _line_entities(lines: DataFrame) -> DataFrame:
         "_vendor": _entity("vendor", "l_suppkey"), "_product": _entity("product", "l_partkey"), "_order": _entity("order", "l_orderkey")})
 
 
-def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """lineitem -> expense_posted, refund_issued (R), expense_paid (F) or purchase_order_placed (O)."""
     li = _line_entities(table(spark, sf_dir, "lineitem")).withColumn("_expense", _entity("expense", "_key"))
     key, vendor, product, order, expense = (F.col(c) for c in ("_key", "_vendor", "_product", "_order", "_expense"))
@@ -137,7 +149,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _on(F.col("l_linestatus") == "F", _event("expense_paid", key, day, "expense", expense, amount=tax, vendor=vendor)),
         _on(F.col("l_linestatus") == "O", _event("purchase_order_placed", key, day, "order", order, amount=gross, vendor=vendor,
                       product=product)),
-    )
+        linked=linked)
 
 
 def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +160,7 @@ def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
 
 
-def shipment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipment_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """Shipped lines -> order_delivered, order_late (> 60 days), shipment_delayed (> 90 days)."""
     s = _line_entities(shipped_lines(spark, sf_dir)).withColumn("_customer", _entity("customer", "o_custkey"))
     key, vendor, product, order, customer = (F.col(c) for c in ("_key", "_vendor", "_product", "_order", "_customer"))
@@ -161,16 +173,16 @@ def shipment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                       days_late=taken - PROMISED_DAYS)),
         _on(taken > SUPPLIER_DAYS, _event("shipment_delayed", key, day, "order", order, vendor=vendor, customer=customer,
                       days_delayed=taken - SUPPLIER_DAYS)),
-    )
+        linked=linked)
 
 
-def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def churn_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """Customers with a negative balance count as churned on a day derived from their key."""
     c = table(spark, sf_dir, "customer").where("c_acctbal < 0")
     key = F.col("c_custkey").cast("string")
     day = F.expr("date_add(DATE'1995-01-01', int(c_custkey * 37 % 2400))")
     return _fan_out(c, _event("customer_churned", key, day, "customer", _entity("customer", key),
-                              amount=F.lit(None)))
+                              amount=F.lit(None)), linked=linked)
 
 
 def _ticket_kinds() -> list[dict]:
@@ -197,19 +209,19 @@ def support_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unionByName(churn_events(spark, sf_dir))
 
 
-def order_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_panel_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """All events of the order panel (1995-2001)."""
     return (
-        order_events(spark, sf_dir)
-        .unionByName(ledger_events(spark, sf_dir))
-        .unionByName(shipment_events(spark, sf_dir))
-        .unionByName(churn_events(spark, sf_dir))
+        order_events(spark, sf_dir, linked)
+        .unionByName(ledger_events(spark, sf_dir, linked))
+        .unionByName(shipment_events(spark, sf_dir, linked))
+        .unionByName(churn_events(spark, sf_dir, linked))
     )
 
 
-def whole_panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_panel_events(spark: SparkSession, sf_dir: str, linked: bool = False) -> DataFrame:
     """All events of the order panel and its tickets and reviews: every one of the 27 metrics has a source."""
-    return order_panel_events(spark, sf_dir).unionByName(_fan_out(table(spark, sf_dir, "orders"), *_ticket_kinds()))
+    return order_panel_events(spark, sf_dir, linked).unionByName(_fan_out(table(spark, sf_dir, "orders"), *_ticket_kinds(), linked=linked))
 
 
 def money_events(spark: SparkSession, sf_dir: str) -> DataFrame:
