@@ -72,3 +72,18 @@ def test_lexicon_terms_and_buckets(spark):
     assert got[1] == (["neutral:thank", "neutral:thanks", "neutral:great"], 0.0, "low")
     assert got[2] == (["no_text"], 0.0, "low") and got[3] == (["no_text"], 0.0, "low")
     assert sentiment_summary(df).first().asDict() == {"tickets_analyzed": 4, "escalating_frustration_count": 1, "high_risk_count": 1, "avg_sentiment_score": 16.0}
+
+
+def test_graph_shrinks_in_every_round(spark):
+    rng = random.Random(3)
+    ids = list(range(2000))
+    rng.shuffle(ids)
+    near = spark.createDataFrame([(min(e), max(e)) for e in zip(ids, ids[1:])], "u long, v long").localCheckpoint()
+    left = graph._renamed(near, graph._moves(near, 0))
+    assert 0 < left.count() < 1200 and left.where("u >= v").isEmpty()
+
+
+def test_text_ids_loops_and_copies(spark):
+    df = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "b"), ("b", "b"), ("z", "z"), ("z", "z"), (None, "q"), ("y", "x")], "a string, b string")
+    got = sorted((r["node"], r["component"]) for r in graph.connected_components(df, "a", "b").collect())
+    assert got == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
