@@ -355,7 +355,7 @@ CUT = "2001-07-15"
 
 
 def _scored(s, d):
-    return quality.with_scores(silver.to_silver(bronze(s, d), AS_OF, ["Invoice", "Bill"]), CUT)
+    return quality.with_scores(silver.to_silver(bronze(s, d), AS_OF, ["Invoice", "Bill"], quality.SCORED), CUT)
 
 
 _SCORED = f"""o AS (SELECT *, {_BAL} AS bal, CAST(o_orderdate AS DATE) AS day, o_orderkey % 40 AS lag, o_orderkey % 45 + 1 AS pay FROM orders WHERE o_orderkey % 97 <> 0),

@@ -10,6 +10,8 @@ from panelwise.functions.stats import safe_divide
 from panelwise.sources.raw import PAYLOAD
 
 MAX_AMOUNT = 1e12
+#: The attributes of events that ``with_scores`` reads.
+SCORED = "balance double, line_items array<struct<amount:double>>"
 
 
 def completeness(bronze: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwise.sources.raw import PAYLOAD, safe_number, safe_text, safe_time
 
@@ -20,7 +21,13 @@ ATTRS = (
     "seller_id string, linked array<struct<id:string,amount:double>>, product_ids array<string>, "
     "line_items array<struct<description:string,amount:double,quantity:double,item_id:string>>"
 )
-_SPLIT = [p.strip().split(" ", 1) for p in ATTRS.replace(", ", "\n").split("\n")]
+#: Payload fields behind the plain columns of an event, behind each attribute that needs more, and the fields of a line behind what is read of lines.
+_PLAIN = {"Id", "TxnDate", "DueDate", "TotalAmt", "Balance", "CurrencyRef", "CustomerRef", "VendorRef", "MetaData"}
+_MORE = {"doc_number": {"DocNumber"}, "expected_date": {"ShipDate"}, "payment_method": {"PaymentMethodRef", "PaymentType"}, "reason": {"CustomerMemo"},
+         "display_name": {"DisplayName"}, "email": {"PrimaryEmailAddr"}}
+_SALE, _ITEM, _ACCOUNT = "SalesItemLineDetail", "ItemBasedExpenseLineDetail", "AccountBasedExpenseLineDetail"
+_OF_LINES = {"category": {"DetailType", _ACCOUNT}, "linked": {"Amount", "LinkedTxn"}, "line_items": {"DetailType"}}
+_OF_ITEMS = {"description": {"Description"}, "amount": {"Amount"}, "quantity": {_SALE, _ITEM}, "item_id": {_SALE, _ITEM, _ACCOUNT}}
 ENTITY_KINDS = ["Invoice", "Payment", "Bill", "BillPayment", "CreditMemo", "RefundReceipt", "Customer", "PurchaseOrder"]
 
 
@@ -48,14 +55,19 @@ def make_event(kind: str | Column, time: Column, entity_type: str, key: Column,
         "data_quality_flags": _flags() if flags is None else flags}
 
 
-def fan_out(df: DataFrame, *events: tuple[Column, dict]) -> DataFrame:
-    """One row per (condition, event) that applies.
+def fan_out(df: DataFrame, *events: tuple[Column, dict], attributes: str = ATTRS, turns: list[int] | None = None) -> DataFrame:
+    """One row per (condition, event) that applies, with the named attributes.
 
-    Only the number of the event is exploded. All columns are chosen by it
-    after the explode, so a query computes no column that it does not read.
+    Only the number of the event is exploded, without a lambda. All columns are
+    chosen by it after the explode, so a query computes no column that it does
+    not read. Events with the same turn exclude each other and share a place in
+    the exploded array (default: each has its own).
     """
-    numbers = F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(events)]))
     table = [e for _, e in events]
+    places: dict[int, Column] = {}
+    for i, (cond, _) in enumerate(events):
+        turn = turns[i] if turns else i
+        places[turn] = places[turn].when(cond, F.lit(i)) if turn in places else F.when(cond, F.lit(i))
 
     def pick(cells: dict[int, Column]) -> Column:
         out = None
@@ -64,29 +76,51 @@ def fan_out(df: DataFrame, *events: tuple[Column, dict]) -> DataFrame:
             out = F.when(here, cell) if out is None else out.when(here, cell)
         return F.lit(None) if out is None else out
     plain = [pick({i: e[name] for i, e in enumerate(table)}).alias(name) for name in table[0] if name not in ("attributes", "data_quality_flags")]
-    fields = [pick({i: e["attributes"][n].cast(t) for i, e in enumerate(table) if n in e["attributes"]}).cast(t).alias(n) for n, t in _SPLIT]
+    named = [part.strip().split(" ", 1) for part in attributes.split(", ")]
+    fields = [pick({i: e["attributes"][n].cast(t) for i, e in enumerate(table) if n in e["attributes"]}).cast(t).alias(n) for n, t in named]
     flags = pick({i: e["data_quality_flags"] for i, e in enumerate(table)}).alias("data_quality_flags")
-    return df.withColumn("_event", F.explode(numbers)).select(*plain, F.struct(*fields).alias("attributes"), flags)
+    return df.withColumn("_event", F.explode(F.array(*places.values()))).where("_event IS NOT NULL") \
+        .select(*plain, F.struct(*fields).alias("attributes"), flags)
 
 
-def parse_payload(bronze: DataFrame) -> DataFrame:
+def _item_fields(attributes: str) -> list[str]:
+    """Fields of a line item that an attribute schema names."""
+    wanted = T.StructType.fromDDL(attributes)
+    return wanted["line_items"].dataType.elementType.names if "line_items" in wanted.names else []
+
+
+def payload_schema(attributes: str) -> T.StructType:
+    """The part of ``PAYLOAD`` behind the plain columns of an event and the named attributes."""
+    names, items = T.StructType.fromDDL(attributes).names, _item_fields(attributes)
+    top = _PLAIN.union(*[_MORE.get(n, set()) for n in names])
+    line = set().union(*[_OF_LINES.get(n, set()) for n in names], *[_OF_ITEMS[n] for n in items])
+    out = []
+    for f in T.StructType.fromDDL(PAYLOAD):
+        if f.name == "Line" and line:
+            out.append(T.StructField("Line", T.ArrayType(T.StructType([x for x in f.dataType.elementType if x.name in line]))))
+        elif f.name in top:
+            out.append(f)
+    return T.StructType(out)
+
+
+def parse_payload(bronze: DataFrame, schema: T.StructType | str = PAYLOAD) -> DataFrame:
     return bronze.select("record_id", "entity_type", "source", F.col("created_at").alias("ingested_at"),
-                         F.from_json("raw_payload", PAYLOAD).alias("p"))
+                         F.from_json("raw_payload", schema).alias("p"))
 
 
-def line_items(lines: Column) -> Column:
-    """Kept lines in one shape: sub-totals and discounts dropped, quantity and item id by detail type."""
+def line_items(lines: Column, names: list[str]) -> Column:
+    """Kept lines in one shape, with the named fields: sub-totals and discounts dropped, quantity and item id by detail type."""
     kept = F.filter(lines, lambda x: ~F.coalesce(x["DetailType"].isin("SubTotalLineDetail", "DiscountLineDetail"), F.lit(False)))
 
     def shape(x: Column) -> Column:
         kind = x["DetailType"]
-        sale, item, account = (x[n] for n in ("SalesItemLineDetail", "ItemBasedExpenseLineDetail", "AccountBasedExpenseLineDetail"))
-        return F.struct(
-            x["Description"].alias("description"), x["Amount"].alias("amount"),
-            F.when(kind == "SalesItemLineDetail", sale["Qty"]).when(kind == "ItemBasedExpenseLineDetail", item["Qty"]).alias("quantity"),
-            F.when(kind == "SalesItemLineDetail", sale["ItemRef"]["value"])
-            .when(kind == "ItemBasedExpenseLineDetail", item["ItemRef"]["value"])
-            .when(kind == "AccountBasedExpenseLineDetail", account["AccountRef"]["value"]).alias("item_id"))
+        sale, item, account = (x[n] for n in (_SALE, _ITEM, _ACCOUNT))
+        made = {
+            "description": x["Description"], "amount": x["Amount"],
+            "quantity": F.when(kind == _SALE, sale["Qty"]).when(kind == _ITEM, item["Qty"]),
+            "item_id": F.when(kind == _SALE, sale["ItemRef"]["value"]).when(kind == _ITEM, item["ItemRef"]["value"])
+            .when(kind == _ACCOUNT, account["AccountRef"]["value"])}
+        return F.struct(*[made[n].alias(n) for n in names])
     return F.transform(kept, shape)
 
 
@@ -106,9 +140,10 @@ def _party(role: str) -> tuple[dict[str, Column], tuple[Column, str]]:
     return {role: ref}, (ref.isNull(), f"missing_{role}_ref")
 
 
-def _api_events(as_of: Column) -> dict[str, list[tuple[Column, dict]]]:
-    """Events per raw entity type, each with its condition, over the parsed payload ``p``."""
-    key, known = safe_text("p.Id"), safe_text("p.Id").isNotNull()
+def _api_events(as_of: Column, item_fields: list[str]) -> dict[str, list[tuple[Column, dict]]]:
+    """Events per raw entity type, each with its condition, over the parsed payload ``p`` and its ``_key``."""
+    key = F.col("_key")
+    known = key.isNotNull()
     txn = safe_time("p.TxnDate")
     when = F.coalesce(txn, as_of)
     total, currency = F.col("p.TotalAmt"), F.coalesce("p.CurrencyRef.value", F.lit("USD"))
@@ -120,7 +155,7 @@ def _api_events(as_of: Column) -> dict[str, list[tuple[Column, dict]]]:
     due, balance = safe_time("p.DueDate"), F.coalesce("p.Balance", total)
     paid = safe_time("p.MetaData.LastUpdatedTime")
     inv_flags = _flags(no_customer, bad_date)
-    items = line_items(F.col("p.Line"))
+    items = line_items(F.col("p.Line"), item_fields)
     created, updated = safe_time("p.MetaData.CreateTime"), safe_time("p.MetaData.LastUpdatedTime")
     is_new = F.coalesce(F.abs(F.unix_timestamp(updated) - F.unix_timestamp(created)) < 60, F.lit(True))
     category = F.get(F.filter("p.Line", lambda x: x["DetailType"] == "AccountBasedExpenseLineDetail"), F.lit(0))
@@ -162,13 +197,18 @@ def _api_events(as_of: Column) -> dict[str, list[tuple[Column, dict]]]:
     }
 
 
-def to_silver(bronze: DataFrame, as_of: str, kinds: list[str] | None = None) -> DataFrame:
-    """Dispatch every raw record by entity type in one pass; unknown types emit nothing."""
+def to_silver(bronze: DataFrame, as_of: str, kinds: list[str] | None = None, attributes: str = ATTRS) -> DataFrame:
+    """Dispatch every raw record by entity type in one pass; unknown types emit nothing.
+
+    ``attributes`` is the part of ``ATTRS`` to be read, as in ``spark.read.schema``:
+    payloads are parsed for these and the plain columns.
+    """
     chosen = kinds or ENTITY_KINDS
     src = bronze.where(F.col("entity_type").isin(chosen)) if kinds else bronze
-    table = _api_events(F.lit(as_of).cast("timestamp"))
+    table = _api_events(F.lit(as_of).cast("timestamp"), _item_fields(attributes))
     cells = [((F.col("entity_type") == k) & cond, e) for k in chosen for cond, e in table[k]]
-    return fan_out(parse_payload(src), *cells)
+    parsed = parse_payload(src, payload_schema(attributes)).withColumn("_key", safe_text("p.Id"))
+    return fan_out(parsed, *cells, attributes=attributes, turns=[i for k in chosen for i in range(len(table[k]))])
 
 
 def skipped_records(bronze: DataFrame) -> DataFrame:
