@@ -85,8 +85,13 @@ def _binary(s, d):
     return out
 
 
+#: Up to so many labels (16 bytes each) are sent to every task, so that texts without a label are not shuffled.
+SENT_LABELS = 2_000_000
+
+
 def texts(s, d):
-    docs = t(s, d, "documents").join(t(s, d, "labels"), "doc_id")
+    labels = t(s, d, "labels").select("doc_id", "quality")
+    docs = t(s, d, "documents").join(F.broadcast(labels) if labels.count() <= SENT_LABELS else labels, "doc_id")
     return cut_lineage(docs.select("doc_id", "text", F.col("quality").cast("double").alias("label")))
 
 

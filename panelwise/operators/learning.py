@@ -1,7 +1,7 @@
 """Model fitting and scoring with pyspark.ml, isolation forest and lagged regressions.
 
-Python appears only inside tasks on groups of fixed size: a tree's hash sample,
-or one metric pair's daily series.
+Python appears inside tasks on groups of fixed size (a tree's hash sample, one
+metric pair's daily series) and on blocks of terms.
 """
 
 from __future__ import annotations
@@ -10,18 +10,21 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import PCA, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwise.operators import forest
+from panelwise.operators import forest, linear, terms
 from panelwise.operators.ordering import exact_quantiles, parts_for
-from panelwise.session import cut_lineage, written
+from panelwise.operators.terms import Block, TermTable
+from panelwise.session import cut_lineage
 
 SEED = 42
 
@@ -164,47 +167,96 @@ def fit_stacked(train: DataFrame, key: str, columns: list[str], kinds: tuple[str
 
 
 def text_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_k``, the words without stop words, and ``_b``, their bigrams."""
+    """Add ``_k``, the words without stop words."""
     words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+").transform(df)
-    kept = StopWordsRemover(inputCol="_w", outputCol="_k", locale="en_US").transform(words).drop("_w")
-    return NGram(n=2, inputCol="_k", outputCol="_b").transform(kept)
+    return StopWordsRemover(inputCol="_w", outputCol="_k", locale="en_US").transform(words).drop("_w")
 
 
-def text_features(train: DataFrame, vocabulary: int = 1 << 24, min_df: int = 3) -> PipelineModel:
-    """Counts and idf of words and bigrams (see ``text_tokens``); all terms of at least ``min_df`` texts unless ``vocabulary`` is set."""
-    counts = Pipeline(stages=[
-        CountVectorizer(inputCol="_k", outputCol="_c1", vocabSize=vocabulary, minDF=min_df), CountVectorizer(inputCol="_b", outputCol="_c2", vocabSize=vocabulary, minDF=min_df),
-        VectorAssembler(inputCols=["_c1", "_c2"], outputCol="_c")]).fit(train)
-    idf = IDF(inputCol="_c", outputCol="features").fit(cut_lineage(counts.transform(train).select("_c")))
-    return PipelineModel(stages=[*counts.stages, idf])
+def _logistic_terms(table: TermTable, y: np.ndarray, classes: int) -> np.ndarray:
+    """Predicted class of the asked rows."""
+    send = table.blocks.sparkSession.sparkContext.broadcast
+
+    def times(a: np.ndarray, side: str) -> np.ndarray:
+        sent, n = send(a), getattr(table, side)
+
+        def give(block: Block) -> list[np.ndarray]:
+            return [np.stack([block.spread(block.gathered(x), side) for x in sent.value.T], axis=1)]
+        return table.sums(give, [(n, a.shape[1])], tuple({"known", side}))[0]
+    rows, shift, _ = linear.logistic(lambda a: times(a, "known"), y, classes, 20, 0.01)
+    margins = times(rows, "asked") + shift
+    return (margins[:, 0] > 0).astype(int) if margins.shape[1] == 1 else margins.argmax(axis=1)
+
+
+def _bayes_terms(table: TermTable, y: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """Predicted position among the classes of ``y`` of the asked rows, from counts times idf."""
+    kinds, seen = np.unique(y, return_counts=True)
+    sent = table.blocks.sparkSession.sparkContext.broadcast((y, kinds))
+
+    def give(block: Block) -> list[np.ndarray]:
+        own, of = sent.value
+        sums = [block.idf * block.by_term(block.known_counts * (own == c)[block.known_rows]) for c in of]
+        logs = np.stack([block.counted(block.idf * np.log(s + smoothing), "asked") for s in sums], axis=1)
+        return [np.array([s.sum() for s in sums]), logs, block.counted(block.idf, "asked")]
+    total, logs, weight = table.sums(give, [(len(kinds),), (table.asked, len(kinds)), (table.asked,)], ("known", "asked"))
+    return (logs - weight[:, None] * np.log(total + smoothing * table.terms) + np.log(seen + smoothing)).argmax(axis=1)
+
+
+def _support_terms(table: TermTable, y: np.ndarray) -> np.ndarray:
+    """Margins of the asked rows by support vectors of label 1 against 0."""
+    n, send = table.known, table.blocks.sparkSession.sparkContext.broadcast
+
+    def of(block: Block):
+        return lambda rows: block.gathered(rows.value) / n
+
+    def one(rows) -> np.ndarray:
+        return np.array([rows.value.sum() / n])
+
+    def gram(done: linear.Steps) -> np.ndarray:
+        own = linear.inner_products(one, done)
+        return own + table.sums(lambda block: [linear.inner_products(of(block), done)], [own.shape])[0]
+
+    def margins(done: linear.Steps, factors: tuple, lengths: list[float]) -> np.ndarray:
+        own = linear.trials(one, done, factors, lengths)
+        return np.concatenate(own) + table.sums(lambda block: [np.stack([block.spread(v) for v in linear.trials(of(block), done, factors, lengths)], axis=1)], [(n, len(own))])[0]
+    done, _ = linear.support_vectors(gram, margins, send, y, 15)
+    return linear.repeated(one, done)[0] + table.sums(lambda block: [block.spread(linear.repeated(of(block), done)[0], "asked")], [(table.asked,)], ("known", "asked"))[0]
 
 
 def text_predictions(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("logistic", "bayes", "forest", "svm"), text: str = "text",
                      min_df: int = 3) -> dict[str, DataFrame]:
-    """(label, prediction) of ``test`` by each kind of text classifier.
+    """(label, prediction) of ``test`` by each kind of text classifier, over words and bigrams that at least ``min_df`` texts of ``train`` have.
 
-    Texts are tokenised and counted once for all kinds. The forest takes the
-    counts as rows of (row, term, n); idf is a factor per term, so it has the same splits.
+    Texts are tokenised and counted once for all kinds, into blocks of terms (``terms.py``). Logistic regression, naive Bayes and
+    one support vector model per class are those of ``pyspark.ml`` over counts times idf. The forest takes the counts; idf is a
+    factor per term, so it has the same splits. Both tables are read twice and have to have the same rows in the same order: give
+    written ones. Labels are 0, 1, ... The driver holds some dozen numbers per text, none per term.
     """
-    def tokens(df: DataFrame, test_row: bool) -> DataFrame:
-        return text_tokens(df, text).select("label", F.lit(test_row).alias("test"), "_k", "_b")
-    both = tokens(train, False).unionByName(tokens(test, True)).withColumn("row", F.monotonically_increasing_id())
-    both = cut_lineage(both)
-    known = both.where("NOT test")
-    models = {"logistic": lambda: LogisticRegression(maxIter=20, regParam=0.01), "bayes": lambda: NaiveBayes(), "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=15))}
-    out = {}
-    if set(kinds) - {"forest"}:
-        x = cut_lineage(text_features(known, min_df=min_df).transform(both).select("label", "test", "features"))
-        out = {kind: models[kind]().fit(x.where("NOT test")).transform(x.where("test")).select("label", "prediction") for kind in kinds if kind != "forest"}
-    if "forest" in kinds:
-        terms = both.select("row", "test", F.explode(F.concat("_k", "_b")).alias("term")).groupBy("row", "test", "term").agg(F.count("*").alias("n"))
-        terms = written(terms, "text-terms")
-        common = terms.where("NOT test").groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df).select("term")
-        terms = written(terms.join(common, "term"), "text-terms")
-        model = forest.fit_forest(known.select("row", "label"), terms.where("NOT test").drop("test"), trees=20)
-        asked = both.where("test").select("row", "label")
-        out["forest"] = asked.join(model.predict(asked, terms.where("test").drop("test")), "row").select("label", "prediction")
-    return {kind: out[kind] for kind in kinds}
+    spark, trees = train.sparkSession, 20
+    both = train.select("label", F.lit(False).alias("test"), F.col(text).alias("text")).unionByName(
+        test.select("label", F.lit(True).alias("test"), F.col(text).alias("text"))).withColumn("row", F.monotonically_increasing_id())
+    rows = both.select("row", "test", "label", F.length("text").alias("size"), F.when(~F.col("test"), forest.weights(F.col("row"), trees)).alias("w")).toArrow()
+    known, asked = rows.filter(pc.invert(rows.column("test"))), rows.filter(rows.column("test"))
+    labels = known.column("label").to_numpy().astype(float)
+    if set(kinds) - {"forest"} and not (len(labels) and (labels >= 0).all() and (labels == np.floor(labels)).all()):
+        raise ValueError("labels have to be 0, 1, ...")
+    chars = pc.sum(rows.column("size")).as_py() or 0
+    tokens = text_tokens(both.coalesce(max(spark.sparkContext.defaultParallelism, parts_for(chars, terms.BLOCK_CHARS))))
+    table = terms.from_words(tokens.select("row", "_k"), known.column("row").to_numpy(), asked.column("row").to_numpy(), chars, min_df)
+    found, y = sorted(set(labels)), labels.astype(int)
+    classes = int(labels.max()) + 1
+
+    def predicted(kind: str) -> np.ndarray:
+        if kind == "forest":
+            grown = forest.grow(table, np.searchsorted(found, labels), len(found), forest.drawn_weights(known.column("w"), trees), 5)
+            return np.array(found)[grown.votes()]
+        if kind == "bayes":
+            return _bayes_terms(table, y)
+        if kind == "logistic":
+            return np.full(table.asked, found[0]) if len(found) == 1 else _logistic_terms(table, y, classes)
+        if classes <= 2:  # the models of two classes mirror each other
+            return _support_terms(table, y) > 0
+        return np.stack([_support_terms(table, (y == c).astype(int)) for c in range(classes)], axis=1).argmax(axis=1)
+    return {kind: spark.createDataFrame(pa.table({"label": asked.column("label"), "prediction": predicted(kind).astype(float)})) for kind in kinds}
 
 
 def fit_embedding(train: DataFrame, vector: str = "embedding") -> PipelineModel:
